@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, sharding, token_store
+from . import bpe, decontaminate, hmm, linededup, ngram_join, quality, secrets, sharding, substring_dedup, token_store
 from .store import Workspace
 
 SHARDS = 40
@@ -17,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_documents(spark, sf_dir), 3, Fraction(9, 10))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), SHARDS)
 
@@ -25,6 +31,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("text_key")
+
+
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_documents(spark, sf_dir))
     base = sum(quality.bit(r) for r in quality.BASE_RULES)
@@ -41,6 +56,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "tokens")
     manifest = token_store.write(_documents(spark, sf_dir), ws.path("files"), public_tokenizers.path("word_bpe_49k.json"), 2, ws)
@@ -48,11 +72,102 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontamination": op4_decontamination,
+    "op5_hmm_scores": op5_hmm_scores,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op6_quality_rules"] = f"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') text, {_WORDS} w from documents),
+g as (select r, unnest(range(1, len(w) - 1)) i, w from d),
+h as (select r, i, list_slice(w, i, i + 2) k from g),
+dup as (select r, k from h group by r, k having count(*) > 1),
+cov as (select distinct h.r, unnest([h.i, h.i + 1, h.i + 2]) p from h join dup on h.r = dup.r and h.k = dup.k),
+c as (select r, count(*) n from cov group by r),
+l as (select r, unnest(string_split(text, chr(10))) line from d),
+u as (select r, count(*) n, count(distinct line) u from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by r),
+m as (select doc_id, cast(len(w) as bigint) n_words,
+        cast(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) as bigint) word_chars,
+        cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols,
+        cast(coalesce(u.n - u.u, 0) as bigint) n_dup_lines, cast(coalesce(c.n, 0) as bigint) n_repeat_words,
+        cast(coalesce(u.n, 0) as bigint) n_lines,
+        cast(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as bigint) n_upper
+      from d left join c using (r) left join u using (r)),
+f as (select *, cast((case when n_words < 50 then 1 else 0 end) + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
+        + (case when 10 * n_symbols > n_words then 4 else 0 end) + (case when word_chars < 2 * n_words then 8 else 0 end)
+        + (case when word_chars > 25 * n_words then 16 else 0 end) + (case when 10 * n_dup_lines > 5 * n_lines then 32 else 0 end)
+        + (case when 10 * n_upper > 7 * word_chars then 64 else 0 end) as bigint) failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 base_failed, (failed & 63) = 0 kept,
+       n_lines, n_upper, failed from f
+"""
+
+ORACLE_SQL["op4_decontamination"] = f"""
+with d as (select doc_id, row_number() over () r, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+b as (select cast(item_id as varchar) item_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
+b1 as (select item_id, w, least(len(w), 13) t from b where len(w) > 0),
+bi as (select item_id, w, t, unnest(range(1, len(w) - t + 2)) i from b1),
+bw as (select distinct item_id, t, array_to_string(list_slice(w, i, i + t - 1), ' ') k from bi),
+ts as (select distinct t from b1),
+di as (select r, w, t, unnest(range(1, len(w) - t + 2)) i from d, ts where len(w) >= t),
+dw as (select r, t, i, array_to_string(list_slice(w, i, i + t - 1), ' ') k from di),
+hit as (select r, dw.t, i, item_id from dw join bw on dw.t = bw.t and dw.k = bw.k),
+pos as (select distinct r, unnest(range(i, i + t)) p from hit),
+n as (select r, count(*) n from pos group by r),
+it as (select r, count(distinct item_id) n, string_agg(distinct item_id, ',' order by item_id) s from hit group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n.n, 0) as bigint) n_hit, cast(coalesce(it.n, 0) as bigint) n_items,
+       sha256(coalesce(it.s, '')) items_sha256, coalesce(n.n, 0) > 0 and 20 * coalesce(n.n, 0) >= len(w) contaminated
+from d left join n using (r) left join it using (r)
+"""
+
+ORACLE_SQL["op8_substring_dedup"] = f"""
+with d as (select row_number() over () r, doc_id, {_WORDS} w from documents),
+i as (select r, doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13),
+k as (select r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') k from i),
+m as (select k, min(doc_id) m from k group by k),
+p as (select distinct r, unnest(range(i, i + 13)) p from k join m using (k) where m.m < k.doc_id),
+x as (select r, unnest(w) word, unnest(range(1, len(w) + 1)) p from d),
+kept as (select x.r, string_agg(word, ' ' order by x.p) s, count(*) n from x left join p on x.r = p.r and x.p = p.p where p.r is null group by x.r)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(kept.n, 0) as bigint) n_removed, sha256(coalesce(kept.s, '')) kept_sha256
+from d left join kept using (r)
+"""
+
+ORACLE_SQL["op9_line_dedup"] = """
+with d as (select row_number() over () r, doc_id, text, string_split(coalesce(text, ''), chr(10)) l from documents),
+x as (select r, doc_id, unnest(l) line, unnest(range(1, len(l) + 1)) p from d),
+u as (select r, doc_id, line, p, row_number() over (partition by r order by p) j from x where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+w as (select r, doc_id, j, line || chr(10) || lead(line, 1) over (partition by r order by j) || chr(10) || lead(line, 2) over (partition by r order by j) k from u),
+f as (select k, min({'d': doc_id, 'j': j}) f from w where k is not null group by k),
+g as (select distinct r, unnest([j, j + 1, j + 2]) j from w join f using (k) where {'d': w.doc_id, 'j': w.j} > f.f),
+gone as (select u.r, u.p from u join g on u.r = g.r and u.j = g.j),
+n as (select r, count(*) n from u group by r),
+c as (select r, count(*) n from gone group by r),
+kept as (select x.r, string_agg(line, chr(10) order by x.p) s from x left join gone on x.r = gone.r and x.p = gone.p where gone.r is null group by x.r)
+select doc_id, cast(coalesce(n.n, 0) as bigint) n_lines, cast(coalesce(c.n, 0) as bigint) n_removed, sha256(coalesce(kept.s, '')) kept_sha256
+from d left join n using (r) left join c using (r) left join kept using (r)
+"""
+
+ORACLE_SQL["op1_ngram_join"] = f"""
+with recursive d as (select doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') w from documents),
+i as (select doc_id, w, least(len(w), 3) t, unnest(range(1, len(w) - least(len(w), 3) + 2)) i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + t - 1), ' ') k from i),
+n as (select doc_id, count(*) n from s group by doc_id),
+c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+both as (select a, b from e union all select b, a from e),
+reach(doc_id, other) as (select a, b from both union select reach.doc_id, both.b from reach join both on reach.other = both.a),
+m as (select doc_id, least(doc_id, min(other)) m from reach group by doc_id)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, coalesce(m.m, d.doc_id) component_id
+from d left join n using (doc_id) left join m using (doc_id)
+"""
