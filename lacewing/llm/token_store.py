@@ -23,7 +23,8 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,30 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None] * missing + known, np.concatenate([[0], ends]), ids
 
 
+class Pretokens(dict):
+    """Packed ids of pre-tokens; a missing one is encoded on the way.
+
+    The first REMEMBERED stay, and frequent words come early; later ones share a
+    second table of that size, which is emptied when full.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.recent = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.recent.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+            if len(self) < REMEMBERED:
+                self[piece] = ids
+            else:
+                if len(self.recent) >= REMEMBERED:
+                    self.recent.clear()
+                self.recent[piece] = ids
+        return ids
+
+
 class WordBPE:
     """The tokenizers library behind a table of pre-tokens it has already encoded.
 
@@ -137,45 +162,40 @@ class WordBPE:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
-        # the library's \s is Unicode white space
-        self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # the library's \s is Unicode white space; no other branch begins with a letter, so letters can go first
+        self.split = regex.compile(r"\p{L}+|" + pattern.replace(r"\s", r"\p{White_Space}"))
         self.bytes = byte_characters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.around = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
-        self.known: dict[str, list[int]] = {}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.known = Pretokens(self._encode_pretoken)
 
     def _normal(self, text: str) -> str:
         if text.isascii() or (unicodedata.is_normalized("NFC", text) and "İ" not in text and "Σ" not in text):
             return text.lower()  # white space is dropped by the split, so it needn't be folded
         return self.tokenizer.normalizer.normalize_str(text)
 
-    def _encode_pretoken(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize("".join([self.bytes[b] for b in piece.encode("utf-8")]))]
-
-    def _plain(self, text: str, out: list[int]) -> None:
-        known = self.known
-        for p in self.split.findall(self._normal(text)):
-            ids = known.get(p)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[p] = self._encode_pretoken(p)
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _encode_pretoken(self, piece: str) -> bytes:
+        return self.pack([t.id for t in self.tokenizer.model.tokenize("".join([self.bytes[b] for b in piece.encode("utf-8")]))])
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split.findall(self._normal(text))))
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids, ``width`` bytes each in the machine's order."""
         if "<|" not in text or not self.around.search(text):
-            self._plain(text, out)
-            return out
+            return self._plain(text)
+        out = []
         at = 0
         for m in self.around.finditer(text):
-            self._plain(text[at : m.start()], out)
-            out.append(self.special[m[0]])
+            out += [self._plain(text[at : m.start()]), self.pack([self.special[m[0]]])]
             at = m.end()
-        self._plain(text[at:], out)
-        return out
+        return b"".join([*out, self._plain(text[at:])])
 
 
 _loaded: dict[str, WordBPE] = {}
@@ -220,30 +240,29 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, workspace: Wo
         enc = encoder(tokenizer)
         doc_ids: list[int | None] = []
         ends: list[int] = []
-        ids = np.zeros(1 << 16, np.uint32)
+        ids: list[bytes] = []
+        end = enc.pack([end_id])
         size, done, part = 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            nonlocal doc_ids, ends, size, done
+            nonlocal doc_ids, ends, ids, size, done
             where = f"{target}/part-{part:06d}-{done:06d}.tok"
-            _put(where, pack(doc_ids, np.array(ends, np.int64), ids[:size], enc.width))
+            _put(where, pack(doc_ids, np.array(ends, np.int64), np.frombuffer(b"".join(ids), f"u{enc.width}"), enc.width))
             row = pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "file": pa.array([done], pa.int32()), "path": [where], "documents": pa.array([len(ends)], pa.int64()), "tokens": pa.array([size], pa.int64())}
             )
-            doc_ids, ends, size, done = [], [], 0, done + 1
+            doc_ids, ends, ids, size, done = [], [], [], 0, done + 1
             return row
 
         for b in batches:
             for d, t, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 part = p
-                found = enc.encode(t.as_py() or "")
-                found.append(end_id)
-                if ends and size + len(found) > FILE_TOKENS:
+                found = enc.encode(t.as_py() or "") + end
+                n = len(found) // enc.width
+                if ends and size + n > FILE_TOKENS:
                     yield close()
-                while size + len(found) > len(ids):
-                    ids = np.concatenate([ids, np.zeros(len(ids), np.uint32)])
-                ids[size : size + len(found)] = found
-                size += len(found)
+                ids.append(found)
+                size += n
                 doc_ids.append(d)
                 ends.append(size)
         if ends:

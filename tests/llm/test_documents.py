@@ -91,9 +91,10 @@ def test_models_tell_random_strings_from_identifiers(spark):
 
 def test_contamination_equals_brute_force(spark):
     rows = documents(6, 60)
+    rows += [(901, f"{' '.join(rows[2][1].split()[:1])} " + "filler words " * 200 + " ".join(f"k{i}" for i in range(13)))]
     long_texts = [t for _, t in rows if t and len(t) > 200]
     pick = lambda t, a, z: " ".join(re.split(r"\s+", t)[a:z])
-    items = [(1, pick(long_texts[0], 3, 30)), (2, pick(long_texts[1], 5, 18).upper()), (10, pick(long_texts[2], 0, 9)), (11, "one two"), (12, ""), (13, None), (14, "one"), (None, pick(long_texts[3], 2, 40)), (1, pick(long_texts[0], 3, 30)), (15, "nothing of this is anywhere " * 4)]
+    items = [(1, pick(long_texts[0], 3, 30)), (2, pick(long_texts[1], 5, 18).upper()), (10, pick(long_texts[2], 0, 9)), (11, "one two"), (12, ""), (13, None), (14, "onlyhere"), (None, pick(long_texts[3], 2, 40)), (1, pick(long_texts[0], 3, 30)), (16, " ".join(f"K{i}" for i in range(13))), (15, "nothing of this is anywhere " * 4)]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, words string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall((t or "").translate(LOWER))
