@@ -15,6 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fence import computed, exploded
 from .store import Workspace
 
 WINDOW = 13
@@ -47,11 +48,12 @@ def _kept(grams: str, width: int) -> Column:
 
 def fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """``rows`` with ``words`` to the same rows with n_words and prints_T for each length T."""
-    out = rows.withColumn("n_words", F.size("words")).withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
+    out = computed(rows, n_words=F.size("words"), _h=F.transform("words", lambda w: F.xxhash64(w)))
     keep = [c for c in rows.columns if c != "words"] + ["n_words"]
     for t in lengths:
         k = min(GRAM, t)
-        out = out.withColumn(f"_g{k}", _grams("_h", F.col("n_words"), k))
+        if f"_g{k}" not in out.columns:
+            out = computed(out, **{f"_g{k}": _grams("_h", F.col("n_words"), k)})
         out = out.withColumn(f"prints_{t}", _kept(f"_g{k}", t - k + 1))
     return out.select(*keep, *[f"prints_{t}" for t in lengths])
 
@@ -76,7 +78,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, workspace: Workspace |
     """
     ws = workspace or Workspace(docs.sparkSession, "decontaminate")
     items = ws.keep(
-        benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), words_of(benchmark["text"]).alias("words"))
+        computed(benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].alias("text")), words=words_of(F.col("text")))
+        .select("item_id", "words")
         .withColumn("t", F.least(F.size("words"), F.lit(WINDOW)))
         .filter("t > 0"),
         "items",
@@ -84,15 +87,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, workspace: Workspace |
     lengths = sorted(r.t for r in items.select("t").distinct().collect())  # WINDOW different values at most
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("text_key"), text.alias("text"))
-    printed = ws.keep(fingerprints(keyed.withColumn("words", words_of(F.col("text"))).drop("text"), lengths), "prints")
+    printed = ws.keep(fingerprints(computed(keyed, words=words_of(F.col("text"))).drop("text"), lengths), "prints")
     if not lengths:
         return _result(printed, None)
     item_prints = None
     windows = None
     for t in lengths:
         own = items.filter(F.col("t") == t)
-        p = fingerprints(own.select("words"), [t]).select(F.lit(t).alias("t"), F.explode(f"prints_{t}").alias("print"))
-        w = own.select("item_id", F.explode(_windows("words", _upto(F.size("words") - (t - 1)), t)).alias("w")).select("item_id", F.col("w.window").alias("window"))
+        p = exploded(fingerprints(own.select("words"), [t]), F.col(f"prints_{t}"), "print").select(F.lit(t).alias("t"), "print")
+        w = exploded(own, _windows("words", _upto(F.size("words") - (t - 1)), t), "w").select("item_id", F.col("w.window").alias("window"))
         item_prints = p if item_prints is None else item_prints.unionByName(p)
         windows = w if windows is None else windows.unionByName(w)
     item_prints = ws.keep(item_prints.distinct(), "item_prints")
@@ -100,26 +103,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, workspace: Workspace |
     n_prints, n_windows = item_prints.count(), windows.count()
     hits = None
     for t in lengths:
-        h = printed.select("doc_id", "text_key", F.lit(t).alias("t"), F.explode(f"prints_{t}").alias("print"))
+        h = exploded(printed.select("doc_id", "text_key", f"prints_{t}"), F.col(f"prints_{t}"), "print").select("doc_id", "text_key", F.lit(t).alias("t"), "print")
         hits = h if hits is None else hits.unionByName(h)
     # the documents' prints meet in one row a document: at most as many as the benchmark has
     matched = hits.join(_small(item_prints, n_prints), ["t", "print"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("t", "print")).alias("prints"))
     matched = ws.keep(matched, "matched")
     close = _small(matched.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_key", "_k"), matched.count())
     candidates = keyed.join(close, keyed["doc_id"].eqNullSafe(close["_d"]) & (keyed["text_key"] == close["_k"])).drop("_d", "_k")
-    candidates = candidates.withColumn("words", words_of(F.col("text"))).drop("text").withColumn("n_words", F.size("words"))
-    candidates = candidates.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
+    candidates = computed(candidates, words=words_of(F.col("text"))).drop("text")
+    candidates = computed(candidates, n_words=F.size("words"), _h=F.transform("words", lambda w: F.xxhash64(w)))
     extended = None
     for t in lengths:
         k = min(GRAM, t)
-        own = candidates.withColumn("_p", F.transform(F.filter("prints", lambda p: p["t"] == t), lambda p: p["print"])).filter(F.size("_p") > 0)
-        own = own.withColumn("_g", _grams("_h", F.col("n_words"), k))
-        at = F.filter(_upto(F.size("_g")), lambda i: F.array_contains(F.col("_p"), F.get(F.col("_g"), i)))
-        own = own.withColumn("_at", at)
+        own = computed(candidates, _p=F.transform(F.filter("prints", lambda p: p["t"] == t), lambda p: p["print"])).filter(F.size("_p") > 0)
+        own = computed(own, _g=_grams("_h", F.col("n_words"), k))
+        own = computed(own, _at=F.filter(_upto(F.size("_g")), lambda i: F.array_contains(F.col("_p"), F.get(F.col("_g"), i))))
         # every window that contains a hit
         starts = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.sequence(F.greatest(F.lit(0), i - (t - k)), F.least(i, F.col("n_words") - t)))))
-        own = own.withColumn("_w", _windows("words", starts, t))
-        e = own.select("doc_id", "text_key", F.explode("_w").alias("w")).select("doc_id", "text_key", F.lit(t).alias("t"), F.col("w.s").alias("s"), F.col("w.window").alias("window"))
+        e = exploded(own.select("doc_id", "text_key", _windows("words", starts, t).alias("_w")), F.col("_w"), "w")
+        e = e.select("doc_id", "text_key", F.lit(t).alias("t"), F.col("w.s").alias("s"), F.col("w.window").alias("window"))
         extended = e if extended is None else extended.unionByName(e)
     confirmed = ws.keep(extended.distinct().join(_small(windows, n_windows), "window").select("doc_id", "text_key", "t", "s", "item_id").distinct(), "confirmed")
     per_doc = confirmed.groupBy("doc_id", "text_key").agg(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fence import computed, exploded
 from .store import Workspace
 
 WINDOW = 3
@@ -24,8 +25,9 @@ def _upto(n: Column) -> Column:
 def _keyed(docs: DataFrame, name: str = "row") -> DataFrame:
     """All columns packed in one, beside doc_id, the lines, and a digest of both."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(name), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("text_key"), F.split(text, "\n").alias("lines"))
-    return out.withColumn("used", F.filter(_upto(F.size("lines")), lambda i: F.get(F.col("lines"), i).rlike(_WORD)))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(name), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("text_key"), text.alias("_text"))
+    out = computed(out, lines=F.split("_text", "\n")).drop("_text")
+    return computed(out, used=F.filter(_upto(F.size("lines")), lambda i: F.get(F.col("lines"), i).rlike(_WORD)))
 
 
 def repeated_windows(docs: DataFrame, workspace: Workspace) -> DataFrame:
@@ -40,7 +42,7 @@ def repeated_windows(docs: DataFrame, workspace: Workspace) -> DataFrame:
         # 64 and 32 bits of two different hashes
         lambda j: F.struct(j.alias("j"), F.xxhash64(*[lines(j + k) for k in range(WINDOW)]).alias("a"), F.hash(*[lines(j + k) for k in range(WINDOW)]).alias("b")),
     )
-    rows = _keyed(docs).select("doc_id", "text_key", hashed.alias("w")).select("doc_id", "text_key", F.explode("w").alias("w"))
+    rows = exploded(_keyed(docs).select("doc_id", "text_key", hashed.alias("ws")), F.col("ws"), "w")
     rows = workspace.keep(rows.select("doc_id", "text_key", "w.j", "w.a", "w.b", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord")), "windows")
     place = F.struct("ord", "text_key", "j")
     # one row a window and task goes into the shuffle, however often the window occurs
@@ -66,9 +68,9 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None, drop_emptied: boo
     joined = rows.join(starts, rows["doc_id"].eqNullSafe(starts["_d"]) & (rows["text_key"] == starts["_k"]), "left").drop("_d", "_k")
     # merge the covered positions: used line numbers, then line numbers
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda j: F.sequence(j, j + (WINDOW - 1)))))
-    joined = joined.withColumn("gone", F.transform(covered, lambda j: F.get(F.col("used"), j)))
+    joined = computed(joined, gone=F.transform(covered, lambda j: F.get(F.col("used"), j)))
     # what is left are the stretches between neighbouring removed lines
-    joined = joined.withColumn("edges", F.concat(F.array(F.lit(-1)), F.sort_array("gone"), F.array(F.size("lines"))))
+    joined = computed(joined, edges=F.concat(F.array(F.lit(-1)), F.sort_array("gone"), F.array(F.size("lines"))))
     edge = lambda i: F.get(F.col("edges"), i)
     left = F.flatten(F.transform(_upto(F.size("edges") - 1), lambda i: F.slice(F.col("lines"), edge(i) + 2, edge(i + 1) - edge(i) - 1)))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))

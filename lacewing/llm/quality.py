@@ -75,8 +75,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     chars = F.length(F.col("_text"))
     # one code point each, so a length difference counts them
     spaces = F.length(F.regexp_replace(F.col("_text"), _SPACE, ""))
-    return base.select(
-        *keep,
+    measures = F.struct(
         "n_words",
         spaces.cast("long").alias("word_chars"),
         (chars - F.length(F.translate(F.col("_text"), _SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -86,6 +85,8 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         (chars - F.length(F.regexp_replace(F.col("_text"), "[A-Z]+", ""))).cast("long").alias("n_upper"),
         spaces.cast("long").alias("n_chars_seen"),
     )
+    # a generator of one row: conditions on the measures aren't moved below it, where each would measure again
+    return base.select(*keep, F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
