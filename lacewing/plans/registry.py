@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph_queries, vector_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.Q, **vector_queries.Q}
+ORACLE_SQL: dict[str, str] = {**graph_queries.S, **vector_queries.S}
