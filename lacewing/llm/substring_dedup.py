@@ -37,11 +37,24 @@ _U = np.uint64
 LAST = (1 << 63) - 1
 
 
+_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def range_keys(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A digest of each stretch of the word sequence, the same wherever it stands."""
+    if len(_powers[0]) < len(words) + 1:
+        n = 2 * len(words) + 1024
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers[0][: len(words)], out=total[1:])
+    return signed(mix((total[stops] - total[starts]) * _powers[1][starts] + (stops - starts).astype(np.uint64)))
+
+
 def sequence_key(words: np.ndarray) -> int:
-    """A digest of the word sequence."""
-    powers = np.full(len(words), 0xD1342543DE82EF95, np.uint64)
-    powers[:1] = 1
-    return int(mix(np.array([np.add.reduce(words * np.multiply.accumulate(powers)) + _U(len(words))], np.uint64)).view(np.int64)[0])
+    """A digest of the whole word sequence."""
+    return int(range_keys(words, np.array([0]), np.array([len(words)]))[0])
 
 
 def minimizers(words: np.ndarray) -> np.ndarray:
@@ -97,20 +110,19 @@ class FMIndex:
     def __init__(self, text: np.ndarray):
         n = len(text)
         top = int(text.max(initial=1)) + 1
-        rank = text.astype(np.int64)
-        h = 1
-        while True:  # prefix doubling
-            nxt = np.zeros(n, np.int64)
-            nxt[:-h] = rank[h:] + 1
-            key = rank * (int(rank.max()) + 2) + nxt
-            order = np.argsort(key, kind="stable")
-            new = np.zeros(n, np.int64)
+        padded = np.concatenate([text, np.zeros(2, np.int64)])
+        # prefix doubling, from three symbols on
+        key, h = (padded[:n] * top + padded[1 : n + 1]) * top + padded[2:], 3
+        while True:
+            order = np.argsort(key)
             k = key[order]
-            new[order[1:]] = np.cumsum(k[1:] != k[:-1])
-            rank = new
-            h *= 2
+            rank = np.zeros(n, np.int64)
+            rank[order[1:]] = np.cumsum(k[1:] != k[:-1])
             if rank[order[-1]] == n - 1 or h >= n:
                 break
+            key = rank * (n + 1)
+            key[:-h] += rank[h:] + 1
+            h *= 2
         self.suffixes = order
         self.matrix = WaveletMatrix(text[order - 1], max(1, (top - 1).bit_length()))
         self.first = np.searchsorted(np.sort(text), np.arange(top + 1))
@@ -125,15 +137,15 @@ class FMIndex:
 
         A pattern whose interval is down to one suffix, its own, isn't extended.
         """
-        got = np.zeros(len(ends), np.int64)
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(text), np.int64)
-        open_ = np.arange(len(ends))
-        for k in range(1, length + 1):
+        got = np.ones(len(ends), np.int64)
+        low, high = self.first[text[ends - 1]], self.first[text[ends - 1] + 1]
+        open_ = np.flatnonzero(high - low > 1)
+        for k in range(2, length + 1):
+            if not len(open_):
+                break
             low[open_], high[open_] = self.step(text[ends[open_] - k], low[open_], high[open_])
             got[open_] = k
             open_ = open_[high[open_] - low[open_] > 1]
-            if not len(open_):
-                break
         return got, low, high
 
 
@@ -141,7 +153,10 @@ def smallest_documents(words: list[np.ndarray], docs: np.ndarray) -> list[np.nda
     """For each segment, the smallest document among all occurrences of each of its windows."""
     lengths = np.array([len(w) for w in words], np.int64)
     flat = np.concatenate(words)
-    _, symbols = np.unique(flat, return_inverse=True)
+    _, symbols, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # a word that stands once in the shard is in no repeat: such words share symbol 2, and their windows aren't searched
+    single = times[symbols] == 1
+    symbols = np.where(single, 0, np.cumsum(times > 1)[symbols])
     owner = np.repeat(np.arange(len(words)), lengths + 1)
     text = np.ones(len(flat) + len(words) + 1, np.int64)
     starts = np.cumsum(lengths + 1) - (lengths + 1)
@@ -153,7 +168,11 @@ def smallest_documents(words: list[np.ndarray], docs: np.ndarray) -> list[np.nda
     of = np.repeat(np.arange(len(words)), n_windows)
     cut = np.cumsum(n_windows)[:-1]
     ends = np.concatenate([np.arange(s + WINDOW, s + z + 1) for s, z in zip(starts, lengths, strict=True)])
-    got, low, high = index.matches(text, ends, WINDOW)
+    before = np.zeros(len(text) + 1, np.int64)
+    before[1 + inside] = single
+    np.cumsum(before, out=before)
+    asked = np.flatnonzero(before[ends] == before[ends - WINDOW])
+    got, low, high = index.matches(text, ends[asked], WINDOW)
     least = docs[of].copy()
     full = np.flatnonzero((got == WINDOW) & (high - low > 1))
     if len(full):
@@ -161,7 +180,7 @@ def smallest_documents(words: list[np.ndarray], docs: np.ndarray) -> list[np.nda
         # equal windows have equal intervals and different ones disjoint intervals
         lows, first, back = np.unique(low[full], return_index=True, return_inverse=True)
         bounds = np.stack([lows, high[full][first]], 1).ravel()
-        least[full] = np.minimum.reduceat(np.append(doc_at, LAST), bounds)[::2][back]
+        least[asked[full]] = np.minimum.reduceat(np.append(doc_at, LAST), bounds)[::2][back]
     return np.split(least, cut)
 
 
@@ -256,14 +275,19 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 grams.sort()
                 hit = grams[np.minimum(np.searchsorted(grams, m), len(grams) - 1)] == m
                 change = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-                for a, z in zip(change.tolist(), [*change[1:].tolist(), len(m)], strict=True):
-                    if hit[a]:
-                        part = words[a : z + WINDOW - 1]
-                        key = (int(m[a].view(np.int64)), sequence_key(part))
-                        row = (tids[i], ords[i], a, *key, None if key in sent else part.tobytes())
-                        sent.add(key)
-                        for column, v in zip(out, row, strict=True):
-                            column.append(v)
+                stops = np.append(change[1:], len(m)) + WINDOW - 1
+                use = hit[change]
+                starts, stops = change[use], stops[use]
+                keys = list(zip(signed(m[starts]).tolist(), range_keys(words, starts, stops).tolist(), strict=True))
+                raw = words.tobytes()
+                out[0] += [tids[i]] * len(keys)
+                out[1] += [ords[i]] * len(keys)
+                out[2] += starts.tolist()
+                out[3] += [k[0] for k in keys]
+                out[4] += [k[1] for k in keys]
+                for k, a, z in zip(keys, starts.tolist(), stops.tolist(), strict=True):
+                    out[5].append(None if k in sent else raw[8 * a : 8 * z])
+                    sent.add(k)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
