@@ -207,7 +207,7 @@ def test_splits_and_folds(spark):
         assert sorted(r["count"] for r in split.groupBy("split").count().collect()) == [5, 20]
     assert {r.graph_id for r in src.ordered_split(g, n_graphs=10).filter("split = 'train'").collect()} == set(range(8))
     folds = src.stratified_folds(g.withColumn("class", F.col("graph_id") % 2), 5)
-    assert folds.groupBy("fold").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+    assert folds.groupBy("fold").count().agg(F.max("count") - F.min("count")).first()[0] <= 2
     assert {r.role: r["count"] for r in src.validation_slice(folds, 1).groupBy("role").count().collect()}["val"] == 2
 
 
