@@ -15,6 +15,8 @@ from .fence import computed, exploded
 from .store import Workspace
 
 WINDOW = 3
+#: Lists of repeats up to this many documents and windows (some 50 MB) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_WINDOWS = 1 << 19, 1 << 22
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -63,7 +65,11 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None, drop_emptied: boo
     ``drop_emptied`` leaves out documents that lost their last used line.
     """
     ws = workspace or Workspace(docs.sparkSession, "linededup")
-    starts = repeated_windows(docs, ws).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "starts")
+    found = ws.keep(repeated_windows(docs, ws), "repeats")
+    n, total = found.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    starts = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "starts")
+    if n <= BROADCAST_ROWS and total <= BROADCAST_WINDOWS:
+        starts = F.broadcast(starts)
     rows = _keyed(docs)
     joined = rows.join(starts, rows["doc_id"].eqNullSafe(starts["_d"]) & (rows["text_key"] == starts["_k"]), "left").drop("_d", "_k")
     # merge the covered positions: used line numbers, then line numbers

@@ -11,8 +11,10 @@ Routing. Two sets with Jaccard similarity of t or more, the smaller of size s,
 differ in at most D = floor(s * (1 - t) / t) elements. Cut the hash range of
 elements into more than D parts: one part at least holds no difference, so both
 sets agree on it. Each set therefore sends a digest of each of its parts; sets
-that share a digest are candidates, and the connected components of candidates
-are the groups. A group that is too large for one task is cut into blocks; see
+that share a digest are candidates. Candidates must
+also pass their token bitmaps, which bound the overlap from above, unless very
+many share a digest; the connected
+components of what is left are the groups. A group that is too large for one task is cut into blocks; see
 ``_cross_blocks``.
 """
 
@@ -36,6 +38,8 @@ BLOCK_TOKENS = 1_000_000
 FANOUT = 8
 #: Lists of set keys of up to this many rows are broadcast (some 50 MB).
 BROADCAST_ROWS = 1 << 20
+#: Sets of one part up to which a task sends them all, and up to which they are compared by bitmap; more are tied.
+GROUP, HUGE = 256, 1024
 #: Frequent shingles: most that travel to the tasks, and documents that make one frequent.
 COMMON = 1 << 18
 COMMON_DOCS = 64
@@ -51,7 +55,8 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
 
 def set_key(tokens: np.ndarray) -> int:
     """A digest of the set, whatever the order."""
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(tokens ^ _U(0x5851F42D4C957F2D))) + np.add.reduce(mix(tokens))], np.uint64)).view(np.int64)[0])
+    both = np.array([np.bitwise_xor.reduce(mix(tokens ^ _U(0x5851F42D4C957F2D))), np.add.reduce(mix(tokens))], np.uint64)
+    return int(mix(both[:1] + mix(both[1:])).view(np.int64)[0])
 
 
 class SizeBands:
@@ -110,19 +115,58 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at + i, shingle_set(words[offsets[i] : offsets[i + 1]], n)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit a hash, in the smallest power of two that has a bit for each element; 64 at least."""
+    bits = np.zeros(1 << max(6, int(len(tokens) - 1).bit_length()), np.uint8)
+    bits[(tokens & _U(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, width: int) -> int:
+    """A bitmap of bytes as a number of ``width`` bytes; halves of a wider one are united."""
+    while len(bits) > width:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "little") | int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+    return int.from_bytes(bits, "little")
+
+
+def circle_roots(sizes: list[int], maps: list[bytes], threshold: Fraction) -> list[int]:
+    """For each set of a circle the place of the first that it may be linked with, directly or through others.
+
+    Each bit of one set that another lacks is an element that they don't share,
+    so sizes and bitmaps bound the overlap from above. Pairs that others have
+    connected already aren't looked at.
+    """
+    width = min(map(len, maps))
+    x = [_folded(m, width) for m in maps]
+    spare = [n - v.bit_count() for n, v in zip(sizes, x, strict=True)]
+    root = list(range(len(x)))
+    num, both = threshold.numerator, threshold.numerator + threshold.denominator
+    for j in range(1, len(x)):
+        for i in range(j):
+            if root[i] != root[j]:
+                common = (x[i] & x[j]).bit_count()
+                if (common + min(spare[i], spare[j])) * both >= num * (sizes[i] + sizes[j]):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return root
+
+
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the set's digest (null where it is empty)."""
+    """doc_id, n_shingles, the set's digest (null where it is empty) and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = np.zeros(b.num_rows, np.int64)
             key = np.zeros(b.num_rows, np.int64)
+            maps: list[bytes | None] = [None] * b.num_rows
             for i, tokens in _sets(b.column(1), n):
                 size[i] = len(tokens)
-                key[i] = set_key(tokens) if len(tokens) else 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(key, mask=size == 0)], names=["doc_id", "n_shingles", "sid"])
+                if len(tokens):
+                    key[i], maps[i] = set_key(tokens), bitmap(tokens)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(key, mask=size == 0), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "sid", "bitmap"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long, bitmap binary")
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -163,13 +207,43 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(found.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _ties(k: np.ndarray, s: np.ndarray, grouped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, circles, ties) of sets that stand next to each other with one key.
+
+    Two sets are a pair to be looked at. More are a circle, given as (key, set).
+    In one of more than HUGE, or one in which a set stands for a group, all are
+    tied to the first.
+    """
+    cut = _runs(k)
+    size = np.diff(cut)
+    any_group = np.add.reduceat(grouped.astype(np.int64), cut[:-1]) > 0 if len(size) else np.zeros(0, bool)
+    blind = (size > HUGE) | any_group
+    lead = np.repeat(s[cut[:-1]], size)
+    tied = np.repeat(blind, size) & (lead != s)
+    at = cut[:-1][(size == 2) & ~blind]
+    in_circle = np.repeat((size > 2) & ~blind, size)
+    return np.sort(np.stack([s[at], s[at + 1]], 1), axis=1), np.stack([k[in_circle], s[in_circle]], 1), np.stack([s[tied], lead[tied]], 1)
+
+
+#: What a row of candidate_edges is.
+PAIR, MEMBER, TIE = 0, 1, 2
+
+
+def _edge_batch(pairs: np.ndarray, circles: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
+    pairs, ties = (np.unique(x, axis=0) if len(x) else x for x in (pairs, ties))
+    e = np.concatenate([pairs, circles, ties])
+    kind = np.repeat(np.array([PAIR, MEMBER, TIE], np.int32), [len(pairs), len(circles), len(ties)])
+    return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(kind)], names=["a", "b", "kind"])
+
+
 def candidate_edges(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(a, b): set digests joined through the parts on which they agree.
+    """(a, b, kind): pairs of set digests that agree on a part, members b of a circle a, and ties.
 
-    Sets of a task that agree on a part are tied to one of them at once, and
-    only that one goes on, so a part that very many sets share brings one row a
-    task to the shuffle. (key, sid, other) is a part with its set, or, where
-    ``other`` is present, a finished edge that travels along.
+    Where very many sets of a task agree on a part they are tied at once, and
+    one goes on for all, so that such a part brings few rows a task to the
+    shuffle. A row (key, sid, other) is a part with its set; with ``other``
+    equal to ``sid`` the set stands for a group; with another set there it is a
+    finished tie that travels along.
     """
 
     common = common_shingles(docs, n)
@@ -187,15 +261,17 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             order = np.argsort(k, kind="stable")
             k, s = k[order], s[order]
             cut = _runs(k)
-            lead = s[cut[:-1]]
-            other = np.repeat(lead, np.diff(cut))
-            extra = np.ones(len(s), bool)
-            extra[cut[:-1]] = False
-            e = np.unique(np.stack([s[extra], other[extra]], 1), axis=0) if extra.any() else np.zeros((0, 2), np.int64)
-            mask = np.concatenate([np.ones(len(lead), bool), np.zeros(len(e), bool)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([k[cut[:-1]], e[:, 0]])), pa.array(np.concatenate([lead, e[:, 0]])), pa.array(np.concatenate([lead, e[:, 1]]), mask=mask)], names=["key", "sid", "other"]
-            )
+            many = np.diff(cut) > GROUP
+            lead = np.repeat(s[cut[:-1]], np.diff(cut))
+            grouped = np.repeat(many, np.diff(cut))
+            first = np.zeros(len(s), bool)
+            first[cut[:-1]] = True
+            goes = ~grouped | first
+            e = np.stack([s[~goes], lead[~goes]], 1)
+            e = np.unique(e, axis=0) if len(e) else e
+            other = np.concatenate([s[goes], e[:, 1]])
+            mask = np.concatenate([~grouped[goes], np.zeros(len(e), bool)])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[goes], e[:, 0]])), pa.array(np.concatenate([s[goes], e[:, 0]])), pa.array(other, mask=mask)], names=["key", "sid", "other"])
 
         for b in batches:
             for _, tokens in _sets(b.column(0), n):
@@ -212,26 +288,71 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             yield flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None  # the open run's key, and its first set
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))  # the open circle: key, set, stands for a group
         for b in batches:
-            k, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-            done = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            o = b.column(2).fill_null(0).to_numpy()
-            edges = [np.stack([s[done], o[done]], 1)]
-            k, s = k[~done], s[~done]
-            if len(k):
-                cut = _runs(k)
-                lead = s[cut[:-1]].copy()
-                if k[0] == last:
-                    lead[0] = first
-                pairs = np.stack([s, np.repeat(lead, np.diff(cut))], 1)
-                edges.append(pairs[pairs[:, 0] != pairs[:, 1]])
-                last, first = k[-1], lead[-1]
-            e = np.unique(np.concatenate(edges), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+            k, s, o = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy()
+            has = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            done = has & (o != s)
+            travelled = np.stack([s[done], o[done]], 1)
+            k, s, g = (np.concatenate([x, y[~done]]) for x, y in zip(held, (k, s, has), strict=True))
+            # a set can come twice with a part
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | g[1:] | g[:-1]
+            k, s, g = k[new], s[new], g[new]
+            last = int(np.searchsorted(k, k[-1])) if len(k) else 0
+            pairs, circles, ties = _ties(k[:last], s[:last], g[:last])
+            held = (k[last:], s[last:], g[last:])
+            if len(held[0]) > HUGE:
+                ties = np.concatenate([ties, _ties(*held)[2]])
+                held = (held[0][:1], held[1][:1], np.ones(1, bool))
+            yield _edge_batch(pairs, circles, np.concatenate([ties, travelled]))
+        yield _edge_batch(*_ties(*held))
 
     rows = docs.select("text").mapInArrow(emit, "key long, sid long, other long")
-    return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(join, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(join, "a long, b long, kind int")
+
+
+def possible_edges(edges: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): the ties, and of pairs and circles what sizes and bitmaps allow to be linked."""
+    pairs = edges.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+    circles = edges.filter(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("sid"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(circles.select("sid")).distinct()
+    maps = sets.join(nodes, "sid").groupBy("sid").agg(F.max("n_shingles").alias("n"), F.max("bitmap").alias("m"))
+
+    def test_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)
+            keep = pa.array([circle_roots([n, m], [x, y], threshold)[1] == 0 for n, x, m, y in rows], pa.bool_())
+            yield b.select(["a", "b"]).filter(keep)
+
+    def test_circles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def tied() -> list[tuple[int, int]]:
+            sids, sizes, maps = zip(*rows, strict=True)
+            return [(sids[i], sids[r]) for i, r in enumerate(circle_roots(list(sizes), list(maps), threshold)) if i != r]
+
+        for b in batches:
+            out = []
+            for k, *row in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if k != key:
+                    if len(rows) > 1:
+                        out += tied()
+                    key, rows = k, []
+                rows.append(row)
+            yield _pair_batch(out)
+        if len(rows) > 1:
+            yield _pair_batch(tied())
+
+    both = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+    members = circles.join(maps, "sid").select("key", "sid", "n", "m").repartition("key").sortWithinPartitions("key")
+    found = both.mapInArrow(test_pairs, "a long, b long").union(members.mapInArrow(test_circles, "a long, b long"))
+    return found.union(edges.filter(F.col("kind") == TIE).select("a", "b"))
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*set(pairs), strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 class SignatureTree:
@@ -429,7 +550,9 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     ws = workspace or Workspace(docs.sparkSession, "ngram-join")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sets = ws.keep(document_sets(docs, n), "sets")
-    groups = ws.keep(connected_components(candidate_edges(docs, n, threshold), ws, "candidates"), "groups")
+    edges = ws.keep(candidate_edges(docs, n, threshold), "edges")
+    possible = possible_edges(edges, sets.filter("sid is not null"), threshold)
+    groups = ws.keep(connected_components(possible, ws, "candidates"), "groups")
     distinct = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = groups.select(F.col("node").alias("sid"), F.col("root").alias("comp")).join(distinct, "sid")
     wanted = ws.keep(wanted, "wanted")

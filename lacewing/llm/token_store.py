@@ -42,7 +42,8 @@ MAGIC = b"LWTOK\x00\x01\x00"
 FILE_TOKENS = 1 << 23
 #: Rows in a partition of the write, on average.
 ROWS_A_PARTITION = 20_000
-REMEMBERED = 400_000
+#: Pre-tokens that a worker keeps, and of later ones how many before it forgets them.
+REMEMBERED, RECENT = 250_000, 100_000
 
 
 class EliasFano:
@@ -128,7 +129,7 @@ class Pretokens(dict):
     """Packed ids of pre-tokens; a missing one is encoded on the way.
 
     The first REMEMBERED stay, and frequent words come early; later ones share a
-    second table of that size, which is emptied when full.
+    second table, which is emptied when full.
     """
 
     def __init__(self, encode: Callable[[str], bytes]):
@@ -142,7 +143,7 @@ class Pretokens(dict):
             if len(self) < REMEMBERED:
                 self[piece] = ids
             else:
-                if len(self.recent) >= REMEMBERED:
+                if len(self.recent) >= RECENT:
                     self.recent.clear()
                 self.recent[piece] = ids
         return ids

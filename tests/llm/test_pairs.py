@@ -123,3 +123,25 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(name[i], name[i + 1]) for i in range(149)] + [(name[150], name[151]), (name[151], name[150])], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges, Workspace(spark, "t"), "x").collect()}
     assert got == {x: min(name[:150]) for x in name[:150]} | {x: min(name[150:152]) for x in name[150:152]}
+
+
+@pytest.mark.parametrize(("group", "huge"), [(2, 3), (256, 4), (3, 1024)])
+def test_parts_that_many_sets_share_lose_no_link(spark, monkeypatch, group, huge):
+    monkeypatch.setattr(J, "GROUP", group)
+    monkeypatch.setattr(J, "HUGE", huge)
+    rows = near_copies(7, 4, 25, 60)
+    for n, t in ((3, Fraction(9, 10)), (5, Fraction(4, 5))):
+        got = J.components(frame(spark, rows), n, t).collect()
+        assert multiset(map(tuple, got)) == multiset(brute(rows, n, t))
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(12)
+    t = Fraction(4, 5)
+    for _ in range(300):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.5, 1)], rng.integers(0, 1 << 62, int(rng.integers(0, n // 2 + 2)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and both * 5 >= 4 * (len(a) + len(b) - both):
+            assert J.circle_roots([len(a), len(b)], [J.bitmap(a), J.bitmap(b)], t) == [0, 0]
