@@ -124,6 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, workspace: Workspace |
         e = e.select("doc_id", "text_key", F.lit(t).alias("t"), F.col("w.s").alias("s"), F.col("w.window").alias("window"))
         extended = e if extended is None else extended.unionByName(e)
     confirmed = ws.keep(extended.distinct().join(_small(windows, n_windows), "window").select("doc_id", "text_key", "t", "s", "item_id").distinct(), "confirmed")
+    ws.drop_all_but("prints", "confirmed")
     per_doc = confirmed.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set(F.struct(F.col("s").alias("s"), (F.col("s") + F.col("t")).alias("e")))).alias("spans"),
         F.sort_array(F.collect_set("item_id")).alias("items"),

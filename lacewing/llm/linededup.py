@@ -66,6 +66,7 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None, drop_emptied: boo
     """
     ws = workspace or Workspace(docs.sparkSession, "linededup")
     found = ws.keep(repeated_windows(docs, ws), "repeats")
+    ws.drop_all_but("repeats")
     n, total = found.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     starts = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "starts")
     if n <= BROADCAST_ROWS and total <= BROADCAST_WINDOWS:

@@ -563,6 +563,7 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     roots = connected_components(links, ws, "components")
     named = distinct.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = ws.keep(named, "named")
+    ws.drop_all_but("sets", "named")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(ids, "root").select("sid", "component_id")
     return sets.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -116,6 +116,7 @@ def shard(docs: DataFrame, n_shards: int, workspace: Workspace | None = None) ->
         .withColumn("nth", F.row_number().over(Window.partitionBy("range", "shard").orderBy("h", "id")))
     )
     placed = ws.keep(placed.select("doc_id", "size", "text_crc32", "range", "shard", "nth"), "placed")
+    ws.drop_all_but("placed")
     counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

@@ -50,3 +50,7 @@ class Workspace:
             where = jvm.org.apache.hadoop.fs.Path(self.path(tag))
             where.getFileSystem(conf).delete(where, True)
             self.paths.pop(tag, None)
+
+    def drop_all_but(self, *tags: str) -> None:
+        """Delete every table written so far but these, which the result still reads."""
+        self.drop(*[t for t in self.paths if t not in tags])

@@ -370,6 +370,7 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     found = found.select("tid", "ord", repeats.alias("at")).filter(F.size("at") > 0)
     gone = found.groupBy("tid", "ord").agg(F.flatten(F.collect_list("at")).alias("at"))
     changed = ws.keep(_removed(docs, ws.keep(gone, "gone")), "changed")
+    ws.drop_all_but("base", "changed")
     rows = base.join(first.withColumnRenamed("ord", "first"), "tid", "left").join(changed, "tid", "left")
     copy = F.col("ord") > F.col("first")
     return rows.select(
