@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_uniform
+from ..functions.lineage import cut
 
 SHAPES = ("star", "barbell", "wheel", "clique", "lollipop", "random")
 
@@ -50,7 +51,7 @@ def connected_parents(spark: SparkSession, n_graphs: int, nodes: int, p: float,
     """graph_id, src, dst: of several tries a graph, the first that is connected with degrees below the bound."""
     from .graphs import components, degrees
 
-    all_tries = random_parents(spark, n_graphs * tries, nodes, p, seed).checkpoint()
+    all_tries = cut(random_parents(spark, n_graphs * tries, nodes, p, seed))
     every = spark.range(n_graphs * tries).select(F.col("id").alias("graph_id"), F.explode(_upto(nodes)).alias("node"))
     connected = components(all_tries, every).groupBy("graph_id").agg(F.countDistinct("comp").alias("c")).filter("c = 1")
     low = degrees(all_tries).groupBy("graph_id").agg(F.max("deg").alias("d")).filter(F.col("d") < max_degree)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions: graph_id, a, b."""
@@ -102,13 +104,13 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
     node that its label names, so labels travel in doubling steps. Rounds are
     checkpointed and end when nothing changes.
     """
-    inner = adjacency(induced_edges(edges, nodes)).checkpoint()
-    labels = nodes.select("graph_id", "node", F.col("node").alias("comp")).distinct().checkpoint()
+    inner = cut(adjacency(induced_edges(edges, nodes)))
+    labels = cut(nodes.select("graph_id", "node", F.col("node").alias("comp")).distinct())
     for _ in range(rounds):
         near = inner.join(labels.withColumnRenamed("node", "b"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         new = labels.join(near, ["graph_id", "node"], "left").select("graph_id", "node", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         jump = new.toDF("graph_id", "comp", "up")
-        new = new.join(jump, ["graph_id", "comp"]).select("graph_id", "node", F.least("comp", "up").alias("comp")).checkpoint()
+        new = cut(new.join(jump, ["graph_id", "comp"]).select("graph_id", "node", F.least("comp", "up").alias("comp")))
         if not new.join(labels, ["graph_id", "node", "comp"], "left_anti").limit(1).count():
             return new
         labels = new

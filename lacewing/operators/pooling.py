@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_uniform
+from ..functions.lineage import cut
 from .graphs import adjacency, nodes_of
 
 
@@ -50,7 +51,7 @@ def greedy_matching(scored: DataFrame, stochastic: bool = False, seed: int = 0)
     left = scored.select("graph_id", "src", "dst", "s")
     if stochastic:
         left = left.filter(md5_uniform(F.concat_ws("|", F.lit(seed), "graph_id", "src", "dst")) <= F.col("s"))
-    left = left.checkpoint()
+    left = cut(left)
     taken = None
     key = F.struct((-F.col("s")).alias("s"), "src", "dst")
     while left.limit(1).count():
@@ -59,11 +60,11 @@ def greedy_matching(scored: DataFrame, stochastic: bool = False, seed: int = 0)
         won = left.withColumn("k", key)
         for end in ("src", "dst"):
             won = won.join(best.select("graph_id", F.col("v").alias(end), "k"), ["graph_id", end, "k"], "left_semi")
-        won = won.select("graph_id", "src", "dst", "s").checkpoint()
+        won = cut(won.select("graph_id", "src", "dst", "s"))
         used = won.select("graph_id", F.explode(F.array("src", "dst")).alias("v"))
         for end in ("src", "dst"):
             left = left.join(used.withColumnRenamed("v", end), ["graph_id", end], "left_anti")
-        left = left.select("graph_id", "src", "dst", "s").checkpoint()
+        left = cut(left.select("graph_id", "src", "dst", "s"))
         taken = won if taken is None else taken.union(won)
     return scored.select("graph_id", "src", "dst", "s").limit(0) if taken is None else taken
 
@@ -117,9 +118,9 @@ def pool(edges: DataFrame, levels: int, nodes: DataFrame | None = None) -> list[
     out = []
     for level in range(levels):
         scored = edges.withColumn("s", edge_weight(level))
-        cluster = clusters(nodes, greedy_matching(scored)).checkpoint()
-        edges = coarsen(edges, cluster).checkpoint()
-        spot, sigma = next_spotlights(spot, cluster).checkpoint(), sigma_step(sigma, cluster).checkpoint()
+        cluster = cut(clusters(nodes, greedy_matching(scored)))
+        edges = cut(coarsen(edges, cluster))
+        spot, sigma = cut(next_spotlights(spot, cluster)), cut(sigma_step(sigma, cluster))
         nodes = cluster.select("graph_id", F.col("cluster").alias("node")).distinct()
         out.append({"edges": edges, "cluster": cluster, "spot": spot, "sigma": sigma})
         if not edges.limit(1).count():
@@ -136,3 +137,40 @@ def filter_sigma(sigma: DataFrame, k: int, best: bool = True) -> DataFrame:
 def pair_tree_nodes(cluster: DataFrame) -> DataFrame:
     """Clusters with exactly two children."""
     return cluster.groupBy("graph_id", "cluster").agg(F.count("*").alias("m")).filter("m = 2").select("graph_id", F.col("cluster").alias("node"))
+
+
+def degree_histograms(spot: DataFrame, edges: DataFrame, width: int = 32) -> DataFrame:
+    """graph_id, node, hist: how many base nodes of a spotlight have each degree inside it."""
+    s = spot.select("graph_id", "node", "base")
+    adj = adjacency(edges)
+    inside = s.join(adj.withColumnRenamed("a", "base"), ["graph_id", "base"]).join(s.withColumnRenamed("base", "b"), ["graph_id", "node", "b"], "left_semi")
+    deg = inside.groupBy("graph_id", "node", "base").agg(F.count("*").alias("d"))
+    deg = s.join(deg, ["graph_id", "node", "base"], "left").select("graph_id", "node", F.coalesce("d", F.lit(0)).alias("d"))
+    counts = deg.groupBy("graph_id", "node").agg(F.collect_list("d").alias("ds"))
+    return counts.select("graph_id", "node", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter("ds", lambda x: x == k))).alias("hist"))
+
+
+def decode(level: dict[str, DataFrame], edges: DataFrame, code: Column, planes_width: int = 32) -> DataFrame:
+    """graph_id, node, motif, sigma, spotlight of each base node.
+
+    A spotlight's bucket is ``code`` over its degree histogram ``hist``; motifs
+    are the buckets numbered from 1 in order. Graphs that ended before the level
+    keep the nodes they had.
+    """
+    hist = degree_histograms(level["spot"], edges, planes_width).withColumn("code", code)
+    codes = hist.select("code").distinct().withColumn("motif", F.dense_rank().over(Window.orderBy("code")))  # a row a bucket
+    found = hist.join(codes, "code").join(level["sigma"], ["graph_id", "node"]).select("graph_id", F.col("node").alias("spotlight"), "motif", "sigma")
+    return level["spot"].select("graph_id", F.col("node").alias("spotlight"), F.col("base").alias("node")).join(found, ["graph_id", "spotlight"])
+
+
+def neighbour_mean(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, node, x: a node's own value averaged with its neighbours'; one round of message passing."""
+    near = adjacency(edges).join(values.withColumnRenamed("node", "b"), ["graph_id", "b"]).select("graph_id", F.col("a").alias("node"), "x")
+    return values.select("graph_id", "node", "x").unionByName(near).groupBy("graph_id", "node").agg(F.avg("x").alias("x"))
+
+
+POOL = {"sum": F.sum, "mean": F.avg, "max": F.max}
+
+
+def global_pool(values: DataFrame, kind: str) -> DataFrame:
+    return values.groupBy("graph_id").agg(POOL[kind]("x").alias("x"))

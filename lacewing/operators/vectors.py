@@ -151,3 +151,52 @@ def reconstruction_loss(pairs: DataFrame, first: int = 20) -> DataFrame:
     w = Window.partitionBy("level").orderBy("a", "b")
     kept = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= first)
     return kept.groupBy("level").agg(F.avg(F.pow(F.col("sim") - F.col("kernel"), F.lit(2.0))).alias("l")).agg(F.avg("l").alias("loss"))
+
+
+def random_planes(n: int, dim: int, seed: int = 0) -> list[list[float]]:
+    """Gaussian hash planes."""
+    return np.random.default_rng(seed).normal(size=(n, dim)).tolist()
+
+
+def wasserstein(a: np.ndarray, b: np.ndarray) -> float:
+    """Optimal transport cost of two sets of vectors with equal weights in each, under the Hamming distance of labels.
+
+    Sets of different sizes are repeated to their least common size.
+    """
+    from .ged import assignment
+
+    n = math.lcm(len(a), len(b))
+    x, y = np.repeat(a, n // len(a), axis=0), np.repeat(b, n // len(b), axis=0)
+    cost = (x[:, None, :] != y[None, :, :]).mean(2)
+    return assignment(cost)[1] / n
+
+
+def wwl_kernel(sets: DataFrame, lam: float = 1.0) -> DataFrame:
+    """i, j, kernel: exp(-lam * transport cost) over pairs i <= j of rows (id, rounds), rounds being label lists.
+
+    For small collections: the number of pairs is the square of the rows.
+    """
+    from pyspark.sql import types as T
+
+    def kernel(r1, r2):
+        a, b = (np.array([list(x) for x in r]).T for r in (r1, r2))
+        return math.exp(-lam * wasserstein(a, b))
+
+    k = F.udf(kernel, T.DoubleType())
+    a, b = sets.select(F.col("id").alias("i"), F.col("rounds").alias("x")), sets.select(F.col("id").alias("j"), F.col("rounds").alias("y"))
+    return a.join(b, F.col("i") <= F.col("j")).select("i", "j", k("x", "y").alias("kernel"))
+
+
+def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, every: int = 1) -> DataFrame:
+    """id, other, rank, dist: of each query's k nearest references every so-manieth."""
+    refs = rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(REFERENCES).select("id", "z").toArrow()
+    ids, z = np.array(refs.column("id").to_pylist()), np.array(refs.column("z").to_pylist(), np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                d = np.sqrt(((z - np.array(q)) ** 2).sum(1))
+                pick = np.lexsort((ids, d))[:k][::every]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(pick), pa.int64()), pa.array(ids[pick]), pa.array(np.arange(len(pick)) * every + 1, pa.int32()), pa.array(d[pick])], names=["id", "other", "rank", "dist"])
+
+    return queries.select("id", "z").mapInArrow(run, "id long, other long, rank int, dist double")

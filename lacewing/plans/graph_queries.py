@@ -417,7 +417,8 @@ def g2_spotlights(spark, d):
     return pooling.pool(src.event_week(spark, d), 2)[1]["spot"]
 
 
-_SIGMA = f"{_SPOT}, z0 as (select graph_id, cluster node, case when count(*) > 1 then max(score) else 0 end z from c0 group by all), z1 as (select c1.graph_id, c1.cluster node, sum(z) + case when count(*) > 1 then max(score) else 0 end sigma from c1 join z0 on z0.graph_id = c1.graph_id and z0.node = c1.node group by all)"
+_TOTALS = "z0 as (select graph_id, cluster node, case when count(*) > 1 then max(score) else 0 end z from c0 group by all), z1 as (select c1.graph_id, c1.cluster node, sum(z) + case when count(*) > 1 then max(score) else 0 end sigma from c1 join z0 on z0.graph_id = c1.graph_id and z0.node = c1.node group by all)"
+_SIGMA = f"{_SPOT}, {_TOTALS}"
 
 
 @query(f"with {_SIGMA} select graph_id, node, round(sigma, 8) sigma from z1")
@@ -451,6 +452,68 @@ def g2_hierarchy_view(spark, d):
     return spot.join(truth, ["graph_id", "base"], "left").groupBy("graph_id", "node").agg(F.count("*").alias("n"), (F.avg(F.coalesce("t", F.lit(0))) > 0.6).alias("is_motif"))
 
 
+_HIST = f"""{_SPOT}, q as (select x.graph_id, x.node, x.base, count(z.a) d from spot x left join (select p.graph_id, p.node, p.base, s.a from spot p join spot o on o.graph_id = p.graph_id and o.node = p.node join s on s.graph_id = p.graph_id and s.a = p.base and s.b = o.base) z on z.graph_id = x.graph_id and z.node = x.node and z.base = x.base group by all),
+hist as (select q.graph_id, q.node, i, count(*) filter (d = i) n from q, range(8) r(i) group by all), code as (select graph_id, node, string_agg(n::varchar, ',' order by i) code from hist group by all)"""
+
+
+def _code():
+    return F.array_join("hist", ",")
+
+
+@query(f"with {_HIST} select graph_id, node, code hist from code")
+def g2_degree_histograms(spark, d):
+    e = src.event_week(spark, d)
+    return pooling.degree_histograms(pooling.pool(e, 2)[1]["spot"], e, 8).withColumn("hist", _code())
+
+
+@query(f"with {_HIST}, {_TOTALS}, m as (select code, dense_rank() over (order by code) motif from (select distinct code from code)) select spot.graph_id, spot.node spotlight, spot.base node, motif::int motif, round(sigma, 8) sigma from spot join code using (graph_id, node) join m using (code) join z1 using (graph_id, node)")
+def g2_decode(spark, d):
+    e = src.event_week(spark, d)
+    return pooling.decode(pooling.pool(e, 2)[1], e, _code(), 8).withColumn("sigma", F.round("sigma", 8)).select("graph_id", "spotlight", "node", "motif", "sigma")
+
+
+@query(f"with {_SPOT}, k as (select graph_id, node, count(*) n_nodes from spot group by all) select n_nodes, count(*) n from k group by 1")
+def g2_spotlight_sizes(spark, d):
+    spot = pooling.pool(src.event_week(spark, d), 2)[1]["spot"]
+    return spot.groupBy("graph_id", "node").agg(F.count("*").alias("n_nodes")).groupBy("n_nodes").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_SIGMA}, r as (select *, row_number() over (partition by graph_id order by sigma desc, node) rn from z1) select graph_id, node, round(sigma, 8) sigma from r where rn <= 2")
+def g2_sigma_filter(spark, d):
+    return pooling.filter_sigma(pooling.pool(src.event_week(spark, d), 2)[1]["sigma"], 2).withColumn("sigma", F.round("sigma", 8))
+
+
+@query(f"with {_SPOT} select c0.graph_id, cluster node from c0 group by all having count(*) = 2")
+def g2_pair_tree_nodes(spark, d):
+    return pooling.pair_tree_nodes(pooling.pool(src.event_week(spark, d), 1)[0]["cluster"])
+
+
+_E2 = "e2x as (select distinct e1.graph_id, least(x.cluster, y.cluster) src, greatest(x.cluster, y.cluster) dst from e1 join c1 x on x.graph_id = e1.graph_id and x.node = src join c1 y on y.graph_id = e1.graph_id and y.node = dst where x.cluster <> y.cluster)"
+
+
+@query(f"with {_SPOT}, {_E2}, t as (select graph_id, src a, dst b from e2x union all select graph_id, dst, src from e2x) select graph_id, node, base from spot union select t.graph_id, t.a, spot.base from t join spot on spot.graph_id = t.graph_id and spot.node = t.b")
+def g2_expanded_spotlights(spark, d):
+    top = pooling.pool(src.event_week(spark, d), 2)[1]
+    return pooling.expand_spotlights(top["spot"], top["edges"])
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, v as (select graph_id, a node, cast(count(*) as double) x from s group by all), u as (select * from v union all select s.graph_id, s.a, v.x from s join v on v.graph_id = s.graph_id and v.node = s.b), m as (select graph_id, node, avg(x) x from u group by all) select graph_id, round(sum(x), 6) s, round(avg(x), 6) m, round(max(x), 6) t from m group by 1")
+def g2_message_pool(spark, d):
+    e = src.event_week(spark, d)
+    x = pooling.neighbour_mean(graphs.degrees(e).select("graph_id", "node", F.col("deg").cast("double").alias("x")), e)
+    return pooling.global_pool(x, "sum").toDF("graph_id", "s").join(pooling.global_pool(x, "mean").toDF("graph_id", "m"), "graph_id").join(pooling.global_pool(x, "max").toDF("graph_id", "t"), "graph_id").select("graph_id", *[F.round(c, 6).alias(c) for c in "smt"])
+
+
+@query(f"with {sql.G2}, {sql.TRI.format(g='g2')}, q as (select tri.graph_id from tri join g2 w on w.graph_id = tri.graph_id and w.src = tri.c join g2 x on x.graph_id = tri.graph_id and x.src = tri.a and x.dst = w.dst join g2 y on y.graph_id = tri.graph_id and y.src = tri.b and y.dst = w.dst), p as (select graph_id // 100 % 2 par, 3 size from tri union all select graph_id // 100 % 2, 4 from q) select size, count(*) filter (par = 0) pos, count(*) filter (par = 1) neg from p group by 1")
+def g2_clique_table(spark, d):
+    e = src.event_week(spark, d)
+    rows = None
+    for k in (3, 4):
+        c = graphs.cliques(e, k).select(F.lit(k).alias("size"), src.event_role().alias("role"))
+        rows = c if rows is None else rows.union(c)
+    return rows.groupBy("size").pivot("role", ["pos", "neg"]).agg(F.count("size")).na.fill(0)
+
+
 # -- edit distance
 
 _SOME = "few as (select graph_id from (select distinct graph_id from g2) order by graph_id limit 20)"

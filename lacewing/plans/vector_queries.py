@@ -173,6 +173,22 @@ def v1_status_spread(spark, d):
     return scoring.status_spread(x).select("is_motif", "n", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
 
 
+@query(f"with {_DIST.replace('row_number() over (partition by id order by dist)', 'row_number() over (partition by id order by dist, o)').replace('select id, dist,', 'select id, o, dist,')} select id, o other, rn::int as rank, round(dist, 5) dist from rk where id % 50 = 0 and rn in (1, 6, 11, 16)")
+def v1_nearest_view(spark, d):
+    """Neighbours 1, 6, 11 and 16 of some vectors, as a smoothness view shows them."""
+    v = _vectors(spark, d)
+    return vectors.nearest_rows(v.filter("id % 50 = 0"), v, 20, 5).select("id", "other", "rank", F.round("dist", 5).alias("dist"))
+
+
+@query()
+def g2_wwl_kernel(spark, d):
+    """Kernel of label sets of some graphs' first triangles or paths."""
+    e = src.event_week(spark, d)
+    ind = subgraphs.induced(subgraphs.enumerate_subgraphs(e, 3), e).orderBy("graph_id", "nodes").limit(12)
+    rounds = subgraphs.wl_labels(ind, None, 2).select(F.xxhash64("graph_id", "nodes").alias("id"), "rounds")
+    return vectors.wwl_kernel(rounds)
+
+
 # -- result tables: runs are the lineitem rows of a part's ship mode, so to speak
 
 _R = "r as (select cast(l_suppkey % 4 as int) dataset, cast(l_partkey % 3 as int) level, l_linenumber % 2 = 0 dummy, l_quantity jaccard, l_orderkey * 10 + l_linenumber step from lineitem)"
