@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 #: Pre-tokens of up to this many bytes are encoded side by side.
 WIDE = 32
-#: Pre-tokens remembered by a worker process; the table is emptied when full.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker process keeps; the first ones, since frequent words come early.
+REMEMBERED = 120_000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NONE = np.int64(1) << 62
 
@@ -88,6 +88,7 @@ class ByteBPE:
         self.split = regex.compile(_SPLIT)
         self.around = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.recent: dict[str, tuple[str, int, bytes]] = {}  # what the texts at hand need besides
 
     def _table(self) -> None:
         """Open-addressing table of pair -> (rank, merged id), for whole arrays of pairs."""
@@ -240,20 +241,22 @@ class ByteBPE:
         return out + self.split.findall(text[at:])
 
     def learn(self, pretokens: set[str]) -> None:
-        """Encode those that aren't remembered: their ids as text, how many, and their decoded bytes."""
+        """Encode those that aren't kept: their ids as text, how many, and their decoded bytes."""
+        self.recent = {}
         new = [p for p in pretokens if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(pretokens)
         for p, ids in zip(new, self.encode_pieces([p.encode("utf-8") for p in new]), strict=True):
-            self.known[p] = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
+            table = self.known if len(self.known) < REMEMBERED else self.recent
+            table[p] = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
+
+    def _learnt(self, t: str) -> tuple[str, int, bytes]:
+        return self.known.get(t) or self.recent[t]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         tokens = self.pretokens(text)
         self.learn({t for t in tokens if isinstance(t, str)})
         for t in tokens:
-            out += [t] if isinstance(t, int) else map(int, self.known[t][0].split(","))
+            out += [t] if isinstance(t, int) else map(int, self._learnt(t)[0].split(","))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -261,7 +264,8 @@ class ByteBPE:
 
     def round_trip(self, tokens: list[str | int]) -> tuple[int, str, str]:
         """(tokens, SHA-256 of the ids, SHA-256 of the decoded text) of learnt pre-tokens."""
-        found = [self.known[t] if isinstance(t, str) else (str(t), 1, self.bytes_of[t]) for t in tokens]
+        known, recent = self.known, self.recent
+        found = [(known.get(t) or recent[t]) if isinstance(t, str) else (str(t), 1, self.bytes_of[t]) for t in tokens]
         decoded = b"".join([f[2] for f in found]).decode("utf-8", "replace")
         return sum(f[1] for f in found), hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 

@@ -187,7 +187,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for _, tokens, _ in tokens_of(b.column(0)):
                 held.append(tokens)
                 size += len(tokens)
-                if size > 4_000_000:  # one row a word and so many tokens goes into the shuffle
+                if size > 2_000_000:  # one row a word and so many tokens goes into the shuffle
                     yield flush()
                     size = 0
         if held:

@@ -43,6 +43,8 @@ GROUP, HUGE = 256, 1024
 #: Frequent shingles: most that travel to the tasks, and documents that make one frequent.
 COMMON = 1 << 18
 COMMON_DOCS = 64
+#: Shingles or parts that a task holds before it passes them on.
+TASK_ROWS = 1_500_000
 _U = np.uint64
 
 
@@ -196,7 +198,7 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
                     seen.add(sid)
                     held.append(tokens)
                     size += len(tokens)
-                    if size > 4_000_000:
+                    if size > TASK_ROWS:
                         yield flush()
                         size = 0
         if held:
@@ -281,7 +283,7 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                     keys.append(d)
                     sids.append(np.full(len(d), sid, np.int64))
                     size += len(d)
-                    if size > 4_000_000:
+                    if size > TASK_ROWS:
                         yield flush()
                         size = 0
         if keys:
