@@ -41,7 +41,7 @@ MAGIC = b"LWTOK\x00\x01\x00"
 #: A file is closed at this many tokens; one longer document makes a longer file.
 FILE_TOKENS = 1 << 23
 #: Rows in a partition of the write, on average.
-ROWS_A_PARTITION = 20_000
+ROWS_A_PARTITION = 4_000
 #: Pre-tokens that a worker keeps, and of later ones how many before it forgets them.
 REMEMBERED, RECENT = 250_000, 100_000
 
