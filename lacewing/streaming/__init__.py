@@ -1 +1 @@
-"""Part of the graph-collection engine; see the README."""
+"""Nothing here: the collections are batch tables, and no operator needs a stream."""
