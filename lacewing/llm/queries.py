@@ -165,8 +165,8 @@ s as (select distinct doc_id, array_to_string(list_slice(w, i, i + t - 1), ' ')
 n as (select doc_id, count(*) n from s group by doc_id),
 c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
 e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
-both as (select a, b from e union all select b, a from e),
-reach(doc_id, other) as (select a, b from both union select reach.doc_id, both.b from reach join both on reach.other = both.a),
+pairs as (select a, b from e union all select b, a from e),
+reach(doc_id, other) as (select a, b from pairs union select reach.doc_id, pairs.b from reach join pairs on reach.other = pairs.a),
 m as (select doc_id, least(doc_id, min(other)) m from reach group by doc_id)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, coalesce(m.m, d.doc_id) component_id
 from d left join n using (doc_id) left join m using (doc_id)
