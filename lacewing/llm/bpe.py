@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 WIDE = 32
 #: Pre-tokens that a worker process keeps; the first ones, since frequent words come early.
 REMEMBERED = 120_000
+#: Characters of text taken together, or one longer text.
+GROUP_CHARS = 500_000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NONE = np.int64(1) << 62
 
@@ -296,9 +298,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             texts = [t or "" for t in b.column(1).to_pylist()]
             rows: list[tuple[int, str, str]] = []
             at = 0
-            while at < len(texts):  # groups of some MB, so that what is learnt at once stays bounded
+            while at < len(texts):  # so that what is learnt at once stays bounded
                 size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 2_000_000):
+                while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP_CHARS):
                     size += len(texts[to])
                     to += 1
                 cut = [bpe.pretokens(x) for x in texts[at:to]]

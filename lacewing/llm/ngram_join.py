@@ -44,7 +44,7 @@ GROUP, HUGE = 256, 1024
 COMMON = 1 << 18
 COMMON_DOCS = 64
 #: Shingles or parts that a task holds before it passes them on.
-TASK_ROWS = 1_500_000
+TASK_ROWS = 600_000
 _U = np.uint64
 
 
