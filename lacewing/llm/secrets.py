@@ -114,10 +114,12 @@ def train(docs: DataFrame) -> tuple[MarkovRatio, float]:
     """The model, and its accuracy on the held-out quarter of the labelled strings.
 
     Words come from at most SAMPLE_DOCS documents, those with the smallest
-    hash of their id; the bound keeps the training set on the driver small.
+    hash of id and text; the bound keeps the training set on the driver small.
     """
-    docs = docs.select(F.xxhash64("doc_id").alias("k"), docs["text"].cast("string").alias("t"))
-    picked = docs.orderBy("k", F.xxhash64("t")).limit(SAMPLE_DOCS)
+    docs = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("k"), docs["text"].cast("string").alias("t"))
+    smallest = [r.k for r in docs.select("k").orderBy("k").limit(SAMPLE_DOCS).collect()]
+    # copies of a row share its hash and count once
+    picked = docs.filter(F.col("k") <= max(smallest, default=0)).dropDuplicates(["k"])
     found = picked.select(F.explode(F.split("t", r"[^A-Za-z]+")).alias("w")).filter(F.length("w") >= 2).distinct()
     words = [r.w for r in found.orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS).collect()]
     secret, plain = labelled_samples(words)
