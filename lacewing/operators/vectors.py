@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reference vectors that a density is measured against, at most; chosen by hash.
+#: Reference vectors of a sample, where one is asked for; chosen by hash.
 REFERENCES = 10_000
+#: Vectors in a block, about.
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -93,32 +95,82 @@ def tree_leaves(rows: DataFrame, dim: int, depth: int = 5, min_leaf: int = 20) -
     return model.transform(data).withColumn("leaf", F.col("leaf").cast("int")).select(*rows.columns, "leaf")
 
 
-def references(rows: DataFrame, most: int = REFERENCES) -> np.ndarray:
-    """At most ``most`` reference vectors, those with the smallest hash of their id."""
-    got = rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(most).select("z").toArrow().column("z").to_pylist()
-    return np.array(got, np.float64)
+def references(rows: DataFrame, most: int = REFERENCES) -> DataFrame:
+    """A sample of ``most`` reference vectors at most, those with the smallest hash of their id; only for callers that ask for one."""
+    return rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
 
 
-def distance_stats(queries: DataFrame, refs: np.ndarray, k: int, bandwidth: float = 1.0) -> DataFrame:
-    """id, nearest, kth, kde for each query: distances to references and the Gaussian density there.
+def _packed_blocks(rows: DataFrame, block: str, ids: str, z: str) -> DataFrame:
+    """The rows in blocks of about BLOCK: number of the block, ids, vectors end to end."""
+    rows = rows.select("id", F.col("z").cast("array<double>").alias("z"))
+    blocks = max(1, -(-rows.count() // BLOCK))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(block)).agg(F.sort_array(F.collect_list(F.struct("id", "z"))).alias("x"))
+    return packed.select(block, F.col("x.id").alias(ids), F.flatten("x.z").alias(z))
 
-    The references are of bounded number and travel to the tasks; queries stream.
+
+def _least(distances: np.ndarray, others: np.ndarray, owner: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n owners its k least distances, and whose they are; ties by id. Every owner has k at least."""
+    order = np.lexsort((others, distances, owner))
+    pick = order[np.searchsorted(owner[order], np.arange(n))[:, None] + np.arange(k)]
+    return distances[pick], others[pick]
+
+
+def _nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, bandwidth: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest rows of r to each row of q, and the sums of the Gaussian kernel over all of r.
+
+    Products of matrices choose candidates, with room for their rounding; the
+    distances come from differences.
+    """
+    dist, other, total = [], [], []
+    r2 = (r**2).sum(1)
+    for at in range(0, len(q), 64):
+        x = q[at : at + 64]
+        x2 = (x**2).sum(1)
+        d2 = np.maximum(0.0, x2[:, None] + r2 - 2 * x @ r.T)
+        total.append(np.exp(-d2 / (2 * bandwidth**2)).sum(1))
+        limit = np.partition(d2, k - 1, axis=1)[:, k - 1] + 1e-11 * (x2 + r2.max())
+        i, j = np.nonzero(d2 <= limit[:, None])
+        d, o = _least(np.sqrt(((x[i] - r[j]) ** 2).sum(1)), ids[j], i, len(x), k)
+        dist.append(d)
+        other.append(o)
+    return np.concatenate(dist), np.concatenate(other), np.concatenate(total)
+
+
+def nearest(queries: DataFrame, refs: DataFrame, k: int, bandwidth: float = 1.0) -> DataFrame:
+    """id, dists and others (the k nearest of all references, ascending, ties by id), total (sum of the Gaussian kernel) and n (references).
+
+    Blocks of queries meet blocks of references; a meeting gives one row, and a
+    query block's rows are merged.
     """
+    left, right = _packed_blocks(queries, "i", "qid", "q"), _packed_blocks(refs, "j", "rid", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, kth, kde = [], [], []
-            z = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, refs.shape[1])
-            for at in range(0, len(z), 256):
-                d2 = np.maximum(0.0, ((z[at : at + 256, None, :] - refs[None]) ** 2).sum(2))
-                d = np.sqrt(np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, : min(k, d2.shape[1])])
-                near.append(d.min(1))
-                kth.append(d.max(1))
-                kde.append(np.exp(-d2 / (2 * bandwidth**2)).mean(1) / (2 * math.pi * bandwidth**2) ** (refs.shape[1] / 2))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column(0), cat(near), cat(kth), cat(kde)], names=["id", "nearest", "kth", "kde"])
+            for row in range(b.num_rows):
+                qid, q, rid, r = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
+                d, o, t = _nearest_in_block(q.reshape(len(qid), -1), r.reshape(len(rid), -1), rid, min(k, len(rid)), bandwidth)
+                cells = [pa.array([x], pa.list_(kind)) for x, kind in ((qid, pa.int64()), (d.ravel(), pa.float64()), (o.ravel(), pa.int64()), (t, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), *cells, pa.array([len(rid)], pa.int64())], names=["i", "qid", "d", "o", "t", "n"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = sorted(table.select(["qid", "d", "o", "t", "n"]).to_pylist(), key=lambda p: p["o"])
+        ids = parts[0]["qid"]
+        size, n = len(ids), sum(p["n"] for p in parts)
+        d, o = (np.hstack([np.array(p[c]).reshape(size, -1) for p in parts]) for c in "do")
+        d, o = _least(d.ravel(), o.ravel(), np.repeat(np.arange(size), d.shape[1]), size, min(k, n))
+        total = np.sum([p["t"] for p in parts], axis=0)
+        return pa.table({"id": pa.array(ids, pa.int64()), "dists": pa.array(d.tolist(), pa.list_(pa.float64())), "others": pa.array(o.tolist(), pa.list_(pa.int64())), "total": pa.array(total), "n": pa.array([n] * size, pa.int64())})
 
-    return queries.select("id", "z").mapInArrow(run, "id long, nearest double, kth double, kde double")
+    met = left.crossJoin(right).select("i", "qid", "q", "rid", "r").mapInArrow(run, "i int, qid array<long>, d array<double>, o array<long>, t array<double>, n long")
+    return met.groupBy("i").applyInArrow(merge, "id long, dists array<double>, others array<long>, total double, n long")
+
+
+def distance_stats(queries: DataFrame, refs: DataFrame, k: int, bandwidth: float = 1.0) -> DataFrame:
+    """id, nearest, kth, kde, n for each query: distances to all references, the Gaussian density there, and their number."""
+    first = queries.select(F.size("z").alias("dim")).head(1)
+    scale = (2 * math.pi * bandwidth**2) ** ((first[0].dim if first else 0) / 2)
+    found = nearest(queries, refs, k, bandwidth)
+    return found.select("id", F.array_min("dists").alias("nearest"), F.array_max("dists").alias("kth"), (F.col("total") / F.col("n") / F.lit(scale)).alias("kde"), "n")
 
 
 def volume_density(kth: Column, k: int, n: int, dim: int) -> Column:
@@ -126,10 +178,10 @@ def volume_density(kth: Column, k: int, n: int, dim: int) -> Column:
     return F.lit(k / n) / (F.lit(math.pi ** (dim / 2) / math.gamma(dim / 2 + 1)) * F.pow(kth, F.lit(float(dim))))
 
 
-def knn_scores(pos: DataFrame, neg: DataFrame, k: int) -> DataFrame:
-    """id, score: distance to the k-th negative over the distance to the (k+1)-th positive reference."""
-    p, n = references(pos), references(neg)
-    k = min(k, len(p) - 1, len(n) - 1)
+def knn_scores(pos: DataFrame, neg: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """id, score: distance to the k-th negative over the distance to the (k+1)-th positive reference; with ``most``, of samples of that size."""
+    p, n = (pos, neg) if most is None else (references(pos, most), references(neg, most))
+    k = min(k, p.count() - 1, n.count() - 1)
     if k < 1:
         return pos.select("id", F.lit(1.0).alias("score"))
     a = distance_stats(pos, p, k + 1).select("id", F.col("kth").alias("dp"))
@@ -189,14 +241,5 @@ def wwl_kernel(sets: DataFrame, lam: float = 1.0) -> DataFrame:
 
 def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, every: int = 1) -> DataFrame:
     """id, other, rank, dist: of each query's k nearest references every so-manieth."""
-    refs = rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(REFERENCES).select("id", "z").toArrow()
-    ids, z = np.array(refs.column("id").to_pylist()), np.array(refs.column("z").to_pylist(), np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                d = np.sqrt(((z - np.array(q)) ** 2).sum(1))
-                pick = np.lexsort((ids, d))[:k][::every]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(pick), pa.int64()), pa.array(ids[pick]), pa.array(np.arange(len(pick)) * every + 1, pa.int32()), pa.array(d[pick])], names=["id", "other", "rank", "dist"])
-
-    return queries.select("id", "z").mapInArrow(run, "id long, other long, rank int, dist double")
+    ranked = nearest(queries, rows, k).select("id", F.posexplode(F.arrays_zip("others", "dists")).alias("at", "x")).filter(F.col("at") % every == 0)
+    return ranked.select("id", F.col("x.others").alias("other"), (F.col("at") + 1).alias("rank"), F.col("x.dists").alias("dist"))
