@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Reference vectors of a sample, where one is asked for; chosen by hash.
 REFERENCES = 10_000
 #: Vectors in a block, about.
@@ -239,6 +241,21 @@ def wwl_kernel(sets: DataFrame, lam: float = 1.0) -> DataFrame:
     return a.join(b, F.col("i") <= F.col("j")).select("i", "j", k("x", "y").alias("kernel"))
 
 
+def wwl_classes(labelled: DataFrame, lam: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """((graph_id, nodes, i), (i, j, kernel)): the class of each set, and the kernel of each class with every class.
+
+    Sets whose nodes have the same labels in all rounds, in any order, are of
+    one class, since their kernels with any set are equal.
+    """
+    by_node = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.transform("rounds", lambda r: F.get(r, i))))
+    keyed = labelled.select("graph_id", "nodes", by_node.alias("by_node")).withColumn("id", F.xxhash64("by_node"))
+    rounds = F.transform(F.sequence(F.lit(0), F.size(F.get("by_node", F.lit(0))) - 1), lambda t: F.transform("by_node", lambda x: F.get(x, t)))
+    classes = cut(keyed.groupBy("id").agg(F.first("by_node").alias("by_node")).select("id", rounds.alias("rounds")))
+    half = wwl_kernel(classes, lam)
+    kernel = half.union(half.filter("i <> j").select("j", "i", "kernel"))
+    return keyed.select("graph_id", "nodes", F.col("id").alias("i")), kernel
+
+
 def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, every: int = 1) -> DataFrame:
     """id, other, rank, dist: of each query's k nearest references every so-manieth."""
     ranked = nearest(queries, rows, k).select("id", F.posexplode(F.arrays_zip("others", "dists")).alias("at", "x")).filter(F.col("at") % every == 0)

@@ -181,11 +181,11 @@ def v1_nearest_view(spark, d):
 
 @query()
 def g2_wwl_kernel(spark, d):
-    """Kernel of label sets of some graphs' first triangles or paths."""
+    """Kernel of label sets: every three-node set with its class i of equal label sets, and that class's kernel with each class j."""
     e = src.event_week(spark, d)
-    ind = subgraphs.induced(subgraphs.enumerate_subgraphs(e, 3), e).orderBy("graph_id", "nodes").limit(12)
-    rounds = subgraphs.wl_labels(ind, None, 2).select(F.xxhash64("graph_id", "nodes").alias("id"), "rounds")
-    return vectors.wwl_kernel(rounds)
+    labelled = subgraphs.wl_labels(subgraphs.induced(subgraphs.enumerate_subgraphs(e, 3), e), None, 4)
+    members, kernel = vectors.wwl_classes(labelled)
+    return members.join(kernel, "i").select("graph_id", "nodes", "i", "j", "kernel")
 
 
 # -- result tables: runs are the lineitem rows of a part's ship mode, so to speak
