@@ -584,3 +584,22 @@ def distinct_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     gone = gone.select(F.col("doc_id").alias("_d")).distinct()
     kept = keep.join(gone, keep["doc_id"].eqNullSafe(gone["_d"]), "left_anti")
     return kept.dropDuplicates(["doc_id", "k"]).select("row.*")
+
+
+def distinct_rows(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The input rows, with all their columns, one of each component of near-duplicates; decided by row, not by doc_id alone.
+
+    The row that comes first by (doc_id, nulls last, then the text's digest)
+    stays, once if it is repeated. Texts without words link with nothing and stay.
+    """
+    names = docs.columns
+    text = docs["text"].cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), worded.alias("worded"))
+    # texts stand for their rows: copies are counted once before anything is joined
+    found = components(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), n, threshold).filter("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("k")).agg(F.min("component_id").alias("comp"))
+    first = keyed.filter("worded").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f"))
+    stay = first.join(found, "k").groupBy("comp").agg(F.min(F.struct("f.none", "f.doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("_d"), F.col("s.k").alias("_k"))
+    kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_d"]) & (keyed["k"] == stay["_k"]), "left").filter("not worded or _k is not null")
+    return kept.dropDuplicates(["doc_id", "k"]).select("row.*")
