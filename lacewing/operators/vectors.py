@@ -195,6 +195,26 @@ def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, b) / (F.greatest(F.sqrt(dot(a, a)), F.lit(eps)) * F.greatest(F.sqrt(dot(b, b)), F.lit(eps)))
 
 
+def cosine_pairs(rows: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """i, j, sim for each pair i < j of ids: ``cosine`` by products of blocks."""
+    left, right = _packed_blocks(rows, "i", "qid", "q"), _packed_blocks(rows, "j", "rid", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = b.column(0).to_pylist()
+            for row in range(b.num_rows):
+                qid, q, rid, r = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
+                q, r = (z.reshape(len(x), -1) / np.maximum(np.sqrt((z.reshape(len(x), -1) ** 2).sum(1)), eps)[:, None] for x, z in ((qid, q), (rid, r)))
+                for at in range(0, len(q), 64):
+                    sim = q[at : at + 64] @ r.T
+                    x, y = np.nonzero(qid[at : at + 64, None] < rid if same[row] else np.ones(sim.shape, bool))
+                    i, j = qid[at + x], rid[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(sim[x, y])], names=["i", "j", "sim"])
+
+    met = left.join(right, F.col("i") <= F.col("j")).select((F.col("i") == F.col("j")).alias("same"), "qid", "q", "rid", "r")
+    return met.mapInArrow(run, "i long, j long, sim double")
+
+
 def frequency_loss(rows: DataFrame, beta: float, lam: float) -> DataFrame:
     """loss: mean of -s * exp(-beta * (f_pos - f_neg)), plus lam times the mean square of s."""
     return rows.agg((F.avg(-F.col("s") * F.exp(-beta * (F.col("f_pos") - F.col("f_neg")))) + lam * F.avg(F.col("s") * F.col("s"))).alias("loss"))

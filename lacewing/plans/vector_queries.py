@@ -109,6 +109,12 @@ def v1_cosine_matrix(spark, d):
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(vectors.cosine(F.col("x"), F.col("y")), 5).alias("sim"))
 
 
+@query()
+def v1_cosine_matrix_all(spark, d):
+    """Every pair of vectors; v1_cosine_matrix has label 3, as its SQL says."""
+    return vectors.cosine_pairs(_vectors(spark, d)).select("i", "j", F.round("sim", 5).alias("sim"))
+
+
 @query(f"with {_DIST}, k as (select dd.id, dd.role, 1 / min(dist) f from dd join v on v.id = dd.id and v.role = 'pos' where dd.o <> dd.id group by all), x as (select a.id, a.f fp, b.f fn, (a.id % 7) / 7.0 s from k a join k b on a.id = b.id and a.role = 'pos' and b.role = 'neg') select round(avg(-s * exp(-0.5 * (fp - fn))) + 0.1 * avg(s * s), 5) loss from x")
 def v1_freq_loss(spark, d):
     v = _vectors(spark, d)
@@ -179,6 +185,13 @@ def v1_nearest_view(spark, d):
     return vectors.nearest_rows(v.filter("id % 50 = 0"), v, 20, 5).select("id", "other", "rank", F.round("dist", 5).alias("dist"))
 
 
+@query(f"with {_DIST.replace('row_number() over (partition by id order by dist)', 'row_number() over (partition by id order by dist, o)').replace('select id, dist,', 'select id, o, dist,')} select id, o other, rn::int as rank, round(dist, 5) dist from rk where rn in (1, 6, 11, 16)")
+def v1_nearest_view_all(spark, d):
+    """Neighbours 1, 6, 11 and 16 of every vector; v1_nearest_view has every fiftieth, as its SQL says."""
+    v = _vectors(spark, d)
+    return vectors.nearest_rows(v, v, 20, 5).select("id", "other", "rank", F.round("dist", 5).alias("dist"))
+
+
 @query()
 def g2_wwl_kernel(spark, d):
     """Kernel of label sets: every three-node set with its class i of equal label sets, and that class's kernel with each class j."""

@@ -30,3 +30,12 @@ def test_every_reference_counts(monkeypatch, table):
     for r in stats:
         assert (r.nearest, r.kth, r.n) == (0.0, pytest.approx(np.sort(d[r.id])[1]), 300)
         assert r.kde == pytest.approx(np.exp(-d[r.id] ** 2 / 2).mean() / (2 * np.pi) ** 2)
+
+
+def test_cosine_of_every_pair(monkeypatch, table):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rows, _ = table
+    z = np.array([r.z for r in rows.orderBy("id").collect()])
+    unit = z / np.sqrt((z**2).sum(1))[:, None]
+    got = {(r.i, r.j): r.sim for r in vectors.cosine_pairs(rows).collect()}
+    assert got == {(i, j): pytest.approx(float(unit[i] @ unit[j])) for i in range(300) for j in range(i + 1, 300)}
