@@ -5,7 +5,8 @@ pair can't merge) together with its position; inner nodes hold the minimum, so
 the root is the leftmost lowest-rank merge. A merge changes three leaves, each
 a logarithmic point update, and encoding ends when the root is infinite. Short
 pre-tokens are encoded side by side, one tree per row of an array; longer ones
-run through the same tree one at a time.
+run through the same tree one at a time. Texts are cut as the library's own
+pre-tokenizer cuts them; see ``pretokens``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+
+from .pretokens import Agreement
 
 #: Pre-tokens of up to this many bytes are encoded side by side.
 WIDE = 32
@@ -88,6 +92,9 @@ class ByteBPE:
             self.pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
         self._table()
         self.split = regex.compile(_SPLIT)
+        self.to_byte = to_byte
+        self.cutter = Tokenizer.from_file(path).pre_tokenizer
+        self.agreement = Agreement(self.split.findall, self._library_cut)
         self.around = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.recent: dict[str, tuple[str, int, bytes]] = {}  # what the texts at hand need besides
@@ -230,17 +237,24 @@ class ByteBPE:
             out[k] = self.encode_one(pieces[k])
         return out
 
+    def _library_cut(self, text: str) -> list[str]:
+        """The pre-tokens that the library's own pre-tokenizer makes."""
+        return [bytes([self.to_byte[c] for c in p]).decode("utf-8") for p, _ in self.cutter.pre_tokenize_str(text)]
+
+    def _cut(self, text: str) -> list[str]:
+        return self.split.findall(text) if self.agreement.covers(text) else self._library_cut(text)
+
     def pretokens(self, text: str) -> list[str | int]:
         """The text's pre-tokens, with special tokens as their ids."""
         if self.around is None or not self.around.search(text):
-            return self.split.findall(text)
+            return self._cut(text)
         out: list[str | int] = []
         at = 0
         for m in self.around.finditer(text):
-            out += self.split.findall(text[at : m.start()])
+            out += self._cut(text[at : m.start()])
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self.split.findall(text[at:])
+        return out + self._cut(text[at:])
 
     def learn(self, pretokens: set[str]) -> None:
         """Encode those that aren't kept: their ids as text, how many, and their decoded bytes."""
