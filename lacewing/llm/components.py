@@ -5,43 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_unique
 from .store import Workspace
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """(a, m): the smallest of a node and its listed neighbours.
+def _large_star(edges: DataFrame, ws: Workspace, tag: str) -> DataFrame:
+    """Every node's larger neighbours are tied to the smallest of it and its neighbours.
 
-    An aggregation joined back, not a window: a hub's rows never meet in one task.
+    Edges are (a, b) with a > b, so the node is b, and only the smaller
+    neighbours of b matter. A node with very many larger ones is a heavy key.
     """
-    return pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    return join_unique(edges, least, ["b"], ws, f"{tag}-large", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a").toDF("a", "b"))
-    return both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    own = least.select("a", F.col("m").alias("b"))
-    return moved.union(own).filter("a <> b").distinct()
+def _small_star(edges: DataFrame, ws: Workspace, tag: str) -> DataFrame:
+    """Every node and its smaller neighbours are tied to the smallest of these."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = join_unique(edges, least, ["a"], ws, f"{tag}-small").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, workspace: Workspace, tag: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (columns a, b); root is the component's smallest node.
 
     Rounds end when the edge list is a set of stars around the smallest nodes,
-    after a number logarithmic in the longest path. Each round is written to
-    the shared folder, so lost executors never cause earlier ones to run again.
+    after a number logarithmic in the longest path. Each step is written to the
+    shared folder, so lost executors never cause earlier ones to run again, and a
+    hub's rows never meet in one task.
     """
-    edges = workspace.keep(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-0")
+    edges = workspace.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-0")
     mark, step = None, 0
     while True:
         step += 1
-        edges = workspace.keep(_small_star(_large_star(edges)), f"{tag}-{step}")
-        workspace.drop(f"{tag}-{step - 1}")
+        names = f"{tag}-{step}l", f"{tag}-{step}"
+        large = workspace.keep(_large_star(edges, workspace, tag), names[0])
+        edges = workspace.keep(_small_star(large, workspace, tag), names[1])
+        workspace.drop(names[0], f"{tag}-{step - 1}", f"heavy-{tag}-large", f"heavy-{tag}-small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -1,25 +1,28 @@
 """Exact n-gram Jaccard self-join with signature trees.
 
 Documents are sets of hashed word shingles; equal sets are one set from the
-start. The sets are routed to groups that can't separate a linked pair, and
-inside a group a signature tree finds the links: leaves hold a set's token
-bitmap, inner nodes the OR of their children's and their range of sizes, and a
-dual traversal drops a pair of nodes when the largest overlap that bitmaps and
-sizes allow is below what the threshold needs.
+start. A signature tree finds the links: its leaves hold the sets' token
+bitmaps, its inner nodes the OR of their children's and their range of sizes,
+and a dual traversal drops a pair of nodes when the largest overlap that bitmaps
+and sizes allow is below what the threshold needs. Trees have bounded size, so
+sets are routed first; routing chooses only which sets share a tree, and can't
+separate a linked pair.
 
 Routing. Two sets with Jaccard similarity of t or more, the smaller of size s,
 differ in at most D = floor(s * (1 - t) / t) elements. Cut the hash range of
 elements into more than D parts: one part at least holds no difference, so both
-sets agree on it. Each set therefore sends a digest of each of its parts; sets
-that share a digest are candidates. Candidates must
-also pass their token bitmaps, which bound the overlap from above, unless very
-many share a digest; the connected
-components of what is left are the groups. A group that is too large for one task is cut into blocks; see
-``_cross_blocks``.
+sets agree on it. Each set therefore sends a digest of each of its parts, and
+sets that share a digest form a circle. A circle is searched by a tree over
+hashed bitmaps, which may take unlike sets for alike but not the reverse, unless
+it is very large; the connected components of what is left are groups. Many
+groups are packed into one tree over exact bitmaps, whose inner nodes tell them
+apart and whose leaves are the links. A group that is too large for one tree is
+cut into blocks; see ``_cross_blocks``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .skew import join_unique
 from .store import Workspace
 from .wordhash import mix, ngrams, signed, word_hashes
 
 #: Most sets, and about the most tokens, in one tree.
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 1_000_000
+#: Sets and tokens in a tree that many groups share, on average.
+PACKED_SETS, PACKED_TOKENS = 512, 250_000
 FANOUT = 8
 #: Lists of set keys of up to this many rows are broadcast (some 50 MB).
 BROADCAST_ROWS = 1 << 20
@@ -124,38 +130,39 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _folded(bits: bytes, width: int) -> int:
-    """A bitmap of bytes as a number of ``width`` bytes; halves of a wider one are united."""
-    while len(bits) > width:
-        half = len(bits) // 2
-        bits = (int.from_bytes(bits[:half], "little") | int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
-    return int.from_bytes(bits, "little")
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap of bytes as words of ``width`` bytes in all; parts of a wider one are united."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 8), axis=0)
 
 
 def circle_roots(sizes: list[int], maps: list[bytes], threshold: Fraction) -> list[int]:
     """For each set of a circle the place of the first that it may be linked with, directly or through others.
 
     Each bit of one set that another lacks is an element that they don't share,
-    so sizes and bitmaps bound the overlap from above. Pairs that others have
-    connected already aren't looked at.
+    so sizes and bitmaps bound the overlap from above.
     """
     width = min(map(len, maps))
-    x = [_folded(m, width) for m in maps]
-    spare = [n - v.bit_count() for n, v in zip(sizes, x, strict=True)]
-    root = list(range(len(x)))
-    num, both = threshold.numerator, threshold.numerator + threshold.denominator
-    for j in range(1, len(x)):
-        for i in range(j):
-            if root[i] != root[j]:
-                common = (x[i] & x[j]).bit_count()
-                if (common + min(spare[i], spare[j])) * both >= num * (sizes[i] + sizes[j]):
-                    low, high = sorted((root[i], root[j]))
-                    root = [low if r == high else r for r in root]
-    return root
+    bits = np.stack([_folded(m, width) for m in maps])
+    size = np.array(sizes, np.int64)
+    spare = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    found = traverse(SignatureTree(bits, size, spare, bits[:, 0]), np.arange(len(size)), threshold)
+    _, first, back = np.unique(found, return_index=True, return_inverse=True)
+    return first[back].tolist()
+
+
+def _pairs_possible(sizes_a: list[int], maps_a: list[bytes], sizes_b: list[int], maps_b: list[bytes], threshold: Fraction) -> list[bool]:
+    """The same test for pairs of sets."""
+    num, both, out = threshold.numerator, threshold.numerator + threshold.denominator, []
+    for n, x, m, y in zip(sizes_a, maps_a, sizes_b, maps_b, strict=True):
+        width = min(len(x), len(y))
+        x, y = (int.from_bytes(z if len(z) == width else _folded(z, width).tobytes(), "little") for z in (x, y))
+        common = (x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count())
+        out.append(common * both >= num * (n + m))
+    return out
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (null where it is empty) and its bitmap."""
+    """doc_id, tkey, n_shingles, the set's digest (null where it is empty) and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,9 +173,10 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
                 size[i] = len(tokens)
                 if len(tokens):
                     key[i], maps[i] = set_key(tokens), bitmap(tokens)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(key, mask=size == 0), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "sid", "bitmap"])
+            columns = [b.column(0), b.column(2), pa.array(size), pa.array(key, mask=size == 0), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tkey", "n_shingles", "sid", "bitmap"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, tkey long, n_shingles long, sid long, bitmap binary")
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -323,8 +331,7 @@ def possible_edges(edges: DataFrame, sets: DataFrame, threshold: Fraction) -> Da
 
     def test_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)
-            keep = pa.array([circle_roots([n, m], [x, y], threshold)[1] == 0 for n, x, m, y in rows], pa.bool_())
+            keep = pa.array(_pairs_possible(*(b.column(c).to_pylist() for c in range(2, 6)), threshold), pa.bool_())
             yield b.select(["a", "b"]).filter(keep)
 
     def test_circles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,31 +365,42 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 class SignatureTree:
-    """Sets of one group: exact token bitmaps at the leaves, OR-combined upwards, with size ranges."""
-
-    def __init__(self, tokens: np.ndarray, offsets: np.ndarray):
-        n = len(offsets) - 1
-        self.sizes = np.diff(offsets)
-        values, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        # a token of one set only is in no overlap: it counts in the sizes and needs no bit
-        shared = counts >= 2
-        bit = np.cumsum(shared) - 1
-        width = max(1, (int(shared.sum()) + 63) // 64)
-        keep = shared[inverse]
-        row, place = np.repeat(np.arange(n), self.sizes)[keep], bit[inverse[keep]]
-        # neighbours in the tree should be alike: by size class, then by smallest token
-        least = np.array([tokens[a] if z > a else 0 for a, z in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-        self.order = np.lexsort((least, np.floor(np.log(np.maximum(self.sizes, 1)) * 9.5)))
-        rank = np.empty(n, np.int64)
-        rank[self.order] = np.arange(n)
-        bits = np.zeros(n * width, np.uint64)
-        np.bitwise_or.at(bits, rank[row] * width + (place >> 6), _U(1) << (place & 63).astype(np.uint64))
-        size = self.sizes[self.order]
-        self.levels = [(bits.reshape(n, width), size, size)]
+    """Sets with a bitmap each at the leaves; OR-combined bitmaps, and ranges of sizes, upwards.
+
+    ``spare`` is how many elements of a set may share a bit with another of its
+    elements: none where bitmaps are exact. Neighbours in the tree should be
+    alike: the order is by size class, then by ``near``.
+    """
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, spare: np.ndarray, near: np.ndarray):
+        self.order = np.lexsort((near, np.floor(np.log(np.maximum(sizes, 1)) * 9.5)))
+        size = sizes[self.order]
+        self.levels = [(bits[self.order], size, size, spare[self.order])]
         while len(self.levels[-1][1]) > 1:
-            bits, low, high = self.levels[-1]
+            bits, low, high, spare = self.levels[-1]
             cut = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+            self.levels.append((np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(spare, cut)))
+
+    def below(self, level: int, node: int) -> np.ndarray:
+        """The children of a node."""
+        return np.arange(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][1])))
+
+
+def exact_tree(tokens: np.ndarray, offsets: np.ndarray) -> SignatureTree:
+    """The tree of some sets with a bit for each token that two of them have."""
+    n = len(offsets) - 1
+    sizes = np.diff(offsets)
+    values, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    # a token of one set only is in no overlap: it counts in the sizes and needs no bit
+    shared = counts >= 2
+    bit = np.cumsum(shared) - 1
+    width = max(1, (int(shared.sum()) + 63) // 64)
+    keep = shared[inverse]
+    row, place = np.repeat(np.arange(n), sizes)[keep], bit[inverse[keep]]
+    bits = np.zeros(n * width, np.uint64)
+    np.bitwise_or.at(bits, row * width + (place >> 6), _U(1) << (place & 63).astype(np.uint64))
+    least = np.array([tokens[a] if z > a else 0 for a, z in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
+    return SignatureTree(bits.reshape(n, width), sizes, np.zeros(n, np.int64), least)
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -391,62 +409,63 @@ def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bitwise_count(a[i : i + step, None, :] & b[None, :, :]).sum(2, dtype=np.int64) for i in range(0, len(a), step)])
 
 
-def tree_links(tokens: np.ndarray, offsets: np.ndarray, labels: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """For each set, a number shared by exactly the sets that links or equal ``labels`` connect with it.
+def traverse(tree: SignatureTree, labels: np.ndarray, threshold: Fraction, seen: Counter | None = None) -> np.ndarray:
+    """For each set, a number shared by exactly the sets that possible links or equal ``labels`` connect with it.
 
-    Node pairs whose sets are all connected already are left out as well: they
-    hold no link that changes the answer.
+    Where bitmaps are exact a possible link is a link. Node pairs whose sets are
+    all connected already are left out as well: they hold no link that changes
+    the answer. ``seen`` counts node pairs looked at and ruled out, by level.
     """
-    n = len(offsets) - 1
-    tree = SignatureTree(tokens, offsets)
-    order = tree.order
-    _, root = np.unique(labels[order], return_inverse=True)
+    n = len(tree.order)
+    _, root = np.unique(labels[tree.order], return_inverse=True)
     root = root.astype(np.int64)
     num, den = threshold.numerator, threshold.denominator
 
     def possible(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Matrix: can any two sets under nodes a and b be linked?"""
-        bits, low, high = tree.levels[level]
-        common = np.minimum(_overlaps(bits[a], bits[b]), np.minimum(high[a][:, None], high[b][None, :]))
+        bits, low, high, spare = tree.levels[level]
+        common = _overlaps(bits[a], bits[b]) + np.minimum(spare[a][:, None], spare[b][None, :])
+        common = np.minimum(common, np.minimum(high[a][:, None], high[b][None, :]))
         fits = common * (num + den) >= num * (low[a][:, None] + low[b][None, :])
         return fits & (den * high[a][:, None] >= num * low[b][None, :]) & (den * high[b][None, :] >= num * low[a][:, None])
 
-    stack = [(len(tree.levels) - 1, 0, 0)]
+    stack = [(len(tree.levels) - 1, 0, 0)] if n > 1 else []
     while stack:
         level, a, b = stack.pop()
         span = FANOUT**level
         ra, rb = root[a * span : (a + 1) * span], root[b * span : (b + 1) * span]
-        if ra[0] == rb[0] and (ra == ra[0]).all() and (rb == rb[0]).all() and n > 1:
+        if ra[0] == rb[0] and (ra == ra[0]).all() and (rb == rb[0]).all():
             continue
-        if level == 0:
-            continue
-        below = len(tree.levels[level - 1][1])
-        ca = np.arange(a * FANOUT, min((a + 1) * FANOUT, below))
-        cb = np.arange(b * FANOUT, min((b + 1) * FANOUT, below))
+        ca, cb = tree.below(level, a), tree.below(level, b)
         fits = possible(level - 1, ca, cb)
-        if level > 1:
-            for i, j in zip(*np.nonzero(fits), strict=True):
+        if seen is not None:
+            seen[level - 1, "looked at"] += fits.size
+            seen[level - 1, "ruled out"] += int((~fits).sum())
+        for i, j in zip(*np.nonzero(fits), strict=True):
+            if level > 1:
                 if a != b or i <= j:
                     stack.append((level - 1, int(ca[i]), int(cb[j])))
-            continue
-        # leaves: bitmaps are exact, so this test is the link itself
-        for i, j in zip(*np.nonzero(fits), strict=True):
-            x, y = root[ca[i]], root[cb[j]]
-            if x != y:
+            elif root[ca[i]] != root[cb[j]]:
+                x, y = root[ca[i]], root[cb[j]]
                 root[root == max(x, y)] = min(x, y)
     out = np.empty(n, np.int64)
-    out[order] = root
+    out[tree.order] = root
     return out
 
 
+def tree_links(tokens: np.ndarray, offsets: np.ndarray, labels: np.ndarray, threshold: Fraction, seen: Counter | None = None) -> np.ndarray:
+    """For each set of tokens, a number shared by exactly the sets that links or equal ``labels`` connect with it."""
+    return traverse(exact_tree(tokens, offsets), labels, threshold, seen)
+
+
 MEMBERS = "comp long, block int, sid long, label long, tokens binary"
 
 
 def _member_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(sid, comp, n, tokens) of the wanted sets; one document's text stands for each."""
     few = wanted.count() <= BROADCAST_ROWS
-    w = wanted.select(F.col("doc_id").alias("_d"), "sid", "comp")
-    rows = docs.join(F.broadcast(w) if few else w, docs["doc_id"].eqNullSafe(F.col("_d"))).select("sid", "comp", "text")
+    w = wanted.select("tkey", "sid", "comp")
+    rows = docs.join(F.broadcast(w) if few else w, "tkey").select("sid", "comp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -454,7 +473,7 @@ def _member_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             want, comp = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], [], []]
             for i, tokens in _sets(b.column(2), n):
-                # several rows can have that doc_id: only the wanted set counts, once
+                # several rows can have that text: it counts once
                 if len(tokens) and want[i] not in seen and set_key(tokens) == want[i]:
                     seen.add(want[i])
                     for column, v in zip(out, (want[i], comp[i], len(tokens), tokens.tobytes()), strict=True):
@@ -499,6 +518,14 @@ def _block_links(members: DataFrame, threshold: Fraction) -> DataFrame:
     return chosen.repartition("comp", "block").sortWithinPartitions("comp", "block").mapInArrow(run, "a long, b long")
 
 
+def _packed(members: DataFrame) -> DataFrame:
+    """Groups that a tree can hold share one with others: ``comp`` becomes the tree's number and ``block`` -1."""
+    small = F.col("blocks") <= 1
+    sets, tokens = members.filter(small).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    trees = max(sets // PACKED_SETS, tokens // PACKED_TOKENS) + 1
+    return members.withColumn("comp", F.when(small, F.pmod(F.xxhash64("comp"), F.lit(trees))).otherwise(F.col("comp"))).withColumn("block", F.when(small, F.lit(-1)).otherwise(F.col("block")))
+
+
 def _blocked(members: DataFrame, by: str) -> DataFrame:
     """Adds ``block``: 0 for groups that one tree can hold, else a share by the set's hash."""
     sizes = members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
@@ -547,43 +574,30 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     64-bit hash collisions. Defined results: a null or wordless text has an
     empty set and links with nothing (component_id is its own doc_id); a null
     doc_id is linked like others but never names a component unless all are
-    null; repeated rows are in the same component; other columns aren't read.
+    null; repeated rows are in the same component; a very long text is one set;
+    an empty table gives no rows; other columns, whatever their names, aren't read.
     """
     ws = workspace or Workspace(docs.sparkSession, "ngram-join")
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     sets = ws.keep(document_sets(docs, n), "sets")
     edges = ws.keep(candidate_edges(docs, n, threshold), "edges")
     possible = possible_edges(edges, sets.filter("sid is not null"), threshold)
     groups = ws.keep(connected_components(possible, ws, "candidates"), "groups")
-    distinct = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    distinct = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"))
     wanted = groups.select(F.col("node").alias("sid"), F.col("root").alias("comp")).join(distinct, "sid")
     wanted = ws.keep(wanted, "wanted")
     members = _blocked(_member_sets(docs, wanted, n), "block").withColumn("label", F.col("sid"))
     members = ws.keep(members, "members")
-    links = ws.keep(_block_links(members, threshold), "links")
+    links = ws.keep(_block_links(_packed(members), threshold), "links")
     links = ws.keep(_cross_blocks(members, links, threshold, ws), "all-links")
     roots = connected_components(links, ws, "components")
     named = distinct.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = ws.keep(named, "named")
-    ws.drop_all_but("sets", "named")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(ids, "root").select("sid", "component_id")
-    return sets.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def distinct_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The input rows, with all their columns, without near-duplicates of a smaller doc_id.
-
-    Of each component the rows with its component_id stay, once if a row is
-    repeated; documents with empty sets, and components without any doc_id, stay.
-    """
-    names = docs.columns
-    found = components(docs, n, threshold)
-    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    keep = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("k"))
-    gone = gone.select(F.col("doc_id").alias("_d")).distinct()
-    kept = keep.join(gone, keep["doc_id"].eqNullSafe(gone["_d"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "k"]).select("row.*")
+    by_set = ws.keep(join_unique(named, ids, ["root"], ws, "roots").select("sid", "component_id"), "by-set")
+    rows = join_unique(sets.drop("bitmap"), by_set, ["sid"], ws, "sets", "left")
+    ws.drop_all_but("sets", "by-set", "heavy-sets")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def distinct_rows(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:

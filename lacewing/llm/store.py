@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is absent (tests on one machine), the context's own
-    checkpoint folder is used, and failing that a new one is made and set.
+    Where the setting is absent the context's own checkpoint folder is used.
+    Failing that, a new one is made and set if all of Spark runs in this process
+    (tests on one machine); on a cluster no other machine could see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lacewing-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -1,9 +1,10 @@
 """Whole Arrow text columns to word hashes, vectorised over many texts at once.
 
-A word's 64-bit hash is a polynomial over its bytes with random byte values,
-taken modulo 2**64 and finished by a bit mixer; equal words have equal hashes
-on every machine, and two different words collide with a probability of about
-2**-64. Separators are single ASCII bytes, so UTF-8 needs no decoding.
+A word's 64-bit hash is the sum of one random number for each (place in the
+word, byte), finished by a bit mixer. The numbers have no structure that a
+word's pattern could cancel, so two different words collide with a probability
+of about 2**-64, and equal words have equal hashes on every machine. Separators
+are single ASCII bytes, so UTF-8 needs no decoding.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import pyarrow as pa
 #: Bytes of text hashed together; bounds the working memory to some 20 times this.
 CHUNK_BYTES = 1 << 19
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+#: Places in a word with random numbers of their own; later places mix theirs with how often they have gone round.
+_PLACES = 256
+_RANDOM = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,17 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
-
-
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,10 +67,16 @@ def _hash_chunk(data: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.nda
     counts = np.diff(np.searchsorted(starts, ends))
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    up, down = _power_tables(len(data) + 1)
+    begun = np.zeros(len(data), np.int64)
+    begun[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(begun)
+    values = _RANDOM[(place & (_PLACES - 1)) << 8 | (_LOWER[data] if lower else data)]
+    far = np.flatnonzero(inside & (place >= _PLACES))
+    if len(far):
+        values[far] = mix(values[far] + (place[far] // _PLACES).astype(np.uint64) * _U(_STEP))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64)), counts
+    np.cumsum(values, out=total[1:])
+    return mix(total[stops] - total[starts] + (stops - starts).astype(np.uint64)), counts
 
 
 def word_hashes(column: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -108,5 +105,20 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def range_keys(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A digest of each stretch of the word sequence, the same wherever it stands.
+
+    Each word is mixed with its place in the stretch before it is added, so no
+    arrangement of words cancels.
+    """
+    lengths = stops - starts
+    ends = np.cumsum(lengths)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+    values = mix(words[np.repeat(starts, lengths) + place] + (place + 1).astype(np.uint64) * _U(_STEP))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[ends] - total[ends - lengths] + lengths.astype(np.uint64)).view(np.int64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

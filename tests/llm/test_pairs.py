@@ -106,16 +106,6 @@ def test_frequent_parts_are_left_out_safely():
     assert a & b and len(a) < len(J.part_digests(tokens, bands, tokens))
 
 
-def test_distinct_documents_keep_all_columns(spark):
-    rows = documents(2, 80)
-    df = frame(spark, rows)
-    kept = J.distinct_documents(df, 5, Fraction(4, 5))
-    assert kept.columns == df.columns
-    want = brute(rows, 5, Fraction(4, 5))
-    gone = {d for d, _, c in want if d is not None and c != d} | {None for d, _, c in want if d is None and c is not None}
-    assert multiset((r.doc_id, r.text) for r in kept.collect()) == multiset({(d, t) for d, t in rows if d not in gone})
-
-
 def test_components_of_a_long_path(spark):
     rng = random.Random(3)
     name = list(range(200))
