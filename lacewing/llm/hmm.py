@@ -1,10 +1,12 @@
-"""Hidden Markov language model over word classes.
-
-A word's class is a hash of it; latent states emit classes, and a class emits
-its words by their corpus counts, so the tables that travel are of fixed size
-while every word's count is used. Baum-Welch: each partition computes expected
-transition and emission counts, Spark sums them, and the next round starts from
-the sums. The scaled forward recursion then gives the exact likelihood of each
+"""Hidden Markov language model over words and word classes.
+
+Latent states emit classes. Each frequent word is a class of its own, as many as
+the training texts have (up to OWN); the others share classes by a hash, and a
+class emits its words by their corpus counts, so the tables that travel are of
+bounded size while every word's count is used. Baum-Welch: each partition
+computes expected transition and emission counts of its whole sequences, Spark
+sums them, and the next round starts from the sums, until the likelihood hardly
+grows. The scaled forward recursion then gives the exact likelihood of each
 whole token sequence.
 
 Word counts stay distributed. The most frequent HEAD words travel to the tasks
@@ -26,10 +28,14 @@ from .wordhash import signed, word_hashes
 
 STATES = 6
 CLASS_BITS = 12
-CLASSES = 1 << CLASS_BITS  # the end token has class CLASSES, of its own
-ITERATIONS = 4
-#: In training, sequences are taken in pieces of up to this many tokens; scoring takes them whole.
-PIECE = 512
+SHARED = 1 << CLASS_BITS  # classes of the words that have none of their own
+END_CLASS = SHARED  # the end token's; frequent words' classes follow
+#: Words with as many training occurrences have a class of their own, the most frequent OWN of them.
+OWN_COUNT, OWN = 50, 1 << 14
+#: Rounds of Baum-Welch: they end when the log-likelihood grows by less than this share, or at the last.
+ENOUGH, ITERATIONS = 1e-4, 6
+#: Long sequences are worked on in stretches of this many tokens side by side; the counts are those of the whole sequence.
+PIECE = 256
 #: Words whose counts travel to every task.
 HEAD = 1 << 17
 #: Tokens that a task works on at once.
@@ -39,9 +45,14 @@ END = np.uint64(0xE0D0_0000_0000_0E0D)
 EMIT_PRIOR, MOVE_PRIOR = 200.0, 1.0
 
 
-def classes_of(words: np.ndarray) -> np.ndarray:
-    out = ((words >> np.uint64(40)) & np.uint64(CLASSES - 1)).astype(np.uint16)
-    out[words == END] = CLASSES
+def classes_of(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Each token's class; ``own`` are the words with a class of their own, sorted."""
+    out = ((words >> np.uint64(40)) & np.uint64(SHARED - 1)).astype(np.uint16)
+    if len(own):
+        place = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        mine = own[place] == words
+        out[mine] = (END_CLASS + 1 + place[mine]).astype(np.uint16)
+    out[words == END] = END_CLASS
     return out
 
 
@@ -60,7 +71,7 @@ def tokens_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Probabilities: start [S], moves [S, S], emits [S, CLASSES + 1]."""
+    """Probabilities: start [S], moves [S, S], emits [S, classes]."""
 
     start: np.ndarray
     moves: np.ndarray
@@ -115,44 +126,91 @@ def log_likelihood(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np
     return out
 
 
-def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of the sequences: starts, moves and emissions, flattened, and the log10 likelihood last."""
-    s = len(model.start)
-    by_step, first, alive, _ = _time_major(classes, offsets)
+def _cut(offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets with further cuts, so that no piece is longer than ``most``; each piece's number in its sequence)."""
+    lengths = np.diff(offsets)
+    n = np.maximum(1, -(-lengths // most))
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.append(np.repeat(offsets[:-1], n) + number * most, offsets[-1]), number
+
+
+def _carried(model: Model, classes: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the state distribution before its first token, and the direction of the backward vector at its end.
+
+    Pieces of a longer sequence are summed up as matrices, side by side; only
+    these are multiplied along the sequence.
+    """
+    s, n = len(model.start), len(number)
+    before, after = np.tile(model.start, (n, 1)), np.ones((n, s))
+    joined = np.append(number[1:] > 0, False)  # the next piece goes on with the sequence
+    part = np.flatnonzero(joined | (number > 0))
+    if not len(part):
+        return before, after
+    lengths = np.diff(offsets)[part]
+    flat = np.concatenate([classes[a : a + z] for a, z in zip(offsets[part].tolist(), lengths.tolist(), strict=True)])
+    by_step, first, alive, order = _time_major(flat, np.concatenate([[0], np.cumsum(lengths)]))
+    emit = np.ascontiguousarray(model.emits.T)
+    through = np.empty((len(part), s, s))
+    for t in range(len(alive)):
+        e = emit[by_step[first[t] : first[t + 1]]]
+        through[: alive[t]] = np.eye(s) * e[:, None, :] if t == 0 else (through[: alive[t]].reshape(-1, s) @ model.moves).reshape(-1, s, s) * e[:, None, :]
+        if t % 16 == 15:
+            through[: alive[t]] /= through[: alive[t]].sum((1, 2))[:, None, None]
+    whole = np.empty((n, s, s))
+    whole[part[order]] = through
+    for k in range(1, int(number.max()) + 1):
+        now = np.flatnonzero(number == k)
+        a = np.einsum("ni,nij->nj", before[now - 1], whole[now - 1]) @ model.moves
+        before[now] = a / a.sum(1, keepdims=True)
+    for k in range(int(number.max()), 0, -1):
+        now = np.flatnonzero(number == k)
+        b = np.einsum("nij,nj->ni", whole[now], after[now]) @ model.moves.T
+        after[now - 1] = b / b.sum(1, keepdims=True)
+    return before, after
+
+
+def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Baum-Welch counts of the whole sequences: starts, moves and emissions, flattened, and the log10 likelihood last."""
+    s, kinds = model.emits.shape
+    cuts, number = _cut(offsets, piece)
+    before, after = _carried(model, classes, cuts, number)
+    by_step, first, alive, order = _time_major(classes, cuts)
     emitted = np.ascontiguousarray(model.emits.T)[by_step]
     alpha = np.empty_like(emitted)
     scales = np.empty(len(by_step))
     for t in range(len(alive)):
         here = slice(first[t], first[t + 1])
         if t == 0:
-            a = model.start * emitted[here]
+            a = before[order[: alive[0]]] * emitted[here]
         else:
             a = (alpha[first[t - 1] : first[t - 1] + alive[t]] @ model.moves) * emitted[here]
         c = a.sum(1)
         scales[here] = c
         alpha[here] = a / c[:, None]
+    # backward vectors at the pieces' ends, so scaled that each step's state probabilities sum to one
+    last = alpha[first[np.diff(cuts)[order] - 1] + np.arange(len(order))] if len(by_step) else np.zeros((0, s))
+    closing = after[order] / (last * after[order]).sum(1, keepdims=True)
     gamma = alpha  # becomes alpha * beta, last step first
     moved = np.zeros((s, s))
     onward = np.zeros((0, s))
     for t in range(len(alive) - 1, -1, -1):
         here = slice(first[t], first[t + 1])
-        beta = np.ones((alive[t], s))
+        beta = closing[: alive[t]].copy()
         if len(onward):
             moved += alpha[first[t] : first[t] + len(onward)].T @ onward
             beta[: len(onward)] = onward @ model.moves.T
         onward = emitted[here] * beta / scales[here][:, None]
         gamma[here] = alpha[here] * beta
-    emits = np.stack([np.bincount(by_step, gamma[:, k], CLASSES + 1) for k in range(s)])
-    starts = gamma[: alive[0]].sum(0) if len(alive) else np.zeros(s)
+    # moves from a piece's last token to the next one's first
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    later = np.flatnonzero(number > 0)
+    moved += last[place[later - 1]].T @ onward[place[later]]
+    emits = np.stack([np.bincount(by_step, gamma[:, k], kinds) for k in range(s)])
+    starts = gamma[place[number == 0]].sum(0) if len(by_step) else np.zeros(s)
     return np.concatenate([starts, (moved * model.moves).ravel(), emits.ravel(), [np.log10(scales).sum()]])
 
 
-def pieces(offsets: np.ndarray, most: int) -> np.ndarray:
-    """The offsets with further cuts, so that no piece is longer than ``most``."""
-    cuts = [np.arange(a, z, most) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return np.append(np.concatenate(cuts), offsets[-1]) if cuts else offsets
-
-
 def _batched(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[tuple[pa.RecordBatch, int]], np.ndarray, np.ndarray]]:
     """Rows of one or more batches, taken together up to BATCH tokens, with their class sequences."""
     rows: list[tuple[pa.RecordBatch, int]] = []
@@ -197,31 +255,35 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _class_column(word: str) -> Column:
-    own = F.shiftrightunsigned(word, 40).bitwiseAND(F.lit(CLASSES - 1).cast("long")).cast("int")
-    return F.when(F.col(word) == int(END.astype(np.int64)), F.lit(CLASSES)).otherwise(own)
+    own = F.shiftrightunsigned(word, 40).bitwiseAND(F.lit(SHARED - 1).cast("long")).cast("int")
+    return F.when(F.col(word) == int(END.astype(np.int64)), F.lit(END_CLASS)).otherwise(own)
 
 
 @dataclass(frozen=True)
 class Counts:
-    """What the tasks get of the training counts; all of fixed size."""
+    """What the tasks get of the training counts; all of bounded size."""
 
     tokens: int  # N
     types: int  # V
-    class_mass: np.ndarray  # [CLASSES + 1]: sum of c + 0.5 over the class's words, and 0.5 for the unseen
+    class_mass: np.ndarray  # sum of c + 0.5 over the class's words, and 0.5 more for the unseen ones of a shared class
     head_words: np.ndarray  # sorted
     head_logs: np.ndarray  # log10(c + 0.5)
+    own_words: np.ndarray  # sorted
 
 
 def gather(counts: DataFrame) -> Counts:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    mass = np.full(CLASSES + 1, 0.5)
-    for r in counts.groupBy(_class_column("word").alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():  # CLASSES + 1 rows
-        mass[r.k] = r.m + (0.5 if r.k < CLASSES else 0.0)
+    mass = np.full(SHARED + 1, 0.5)
+    for r in counts.groupBy(_class_column("word").alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():  # SHARED + 1 rows
+        mass[r.k] = r.m + (0.5 if r.k < SHARED else 0.0)
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    words = head.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    logs = np.log10(head.column("c").to_numpy() + 0.5)
-    order = np.argsort(words)
-    return Counts(int(n), int(v), mass, words[order], logs[order])
+    words, times = head.column("word").to_numpy().astype(np.int64).view(np.uint64), head.column("c").to_numpy()
+    frequent = (np.arange(len(words)) < OWN) & (times >= OWN_COUNT) & (words != END)
+    own, mine = words[frequent], times[frequent] + 0.5
+    np.subtract.at(mass, ((own >> np.uint64(40)) & np.uint64(SHARED - 1)).astype(np.int64), mine)
+    mass[:SHARED] = np.maximum(mass[:SHARED], 0.5)  # where only the unseen are left, up to rounding
+    order, own_order = np.argsort(words), np.argsort(own)
+    return Counts(int(n), int(v), np.concatenate([mass, mine[own_order]]), words[order], np.log10(times[order] + 0.5), own[own_order])
 
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, mass_log double, classes binary, rare binary, times binary"
@@ -239,7 +301,7 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
                 place = np.minimum(np.searchsorted(counts.head_words, tokens), max(0, len(counts.head_words) - 1))
                 frequent = counts.head_words[place] == tokens if len(counts.head_words) else np.zeros(len(tokens), bool)
                 logs = np.where(frequent, counts.head_logs[place], 0.0) if len(counts.head_words) else np.zeros(len(tokens))
-                kinds = classes_of(tokens)
+                kinds = classes_of(tokens, counts.own_words)
                 # rare words, once a document
                 d, w = doc[~frequent], tokens[~frequent]
                 order = np.lexsort((w, d))
@@ -269,24 +331,23 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
 
 
 def train(encoded: DataFrame, counts: Counts, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
-    """The model after so many rounds of Baum-Welch over all training rows, and each round's log10 likelihood."""
+    """The model after Baum-Welch over all training rows, and each round's log10 likelihood."""
     share = counts.class_mass / counts.class_mass.sum()
     model, likelihood = Model.initial(share), []
-    for _ in range(iterations):
+    while len(likelihood) < iterations and (len(likelihood) < 2 or likelihood[-1] - likelihood[-2] > ENOUGH * -likelihood[-2]):
 
         def partial(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             total = None
             for _, classes, offsets in _batched(batches, 0):
-                c = expected_counts(model, classes, pieces(offsets, PIECE))
+                c = expected_counts(model, classes, offsets)
                 total = c if total is None else total + c
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["k", "v"])
 
-        sums = encoded.filter("not held_out").select("classes").mapInArrow(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        flat = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1) + 1)
-        for r in sums:  # one row a cell of the fixed-size tables
-            flat[r.k] = r.v
+        sums = encoded.filter("not held_out").select("classes").mapInArrow(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        flat = np.zeros(STATES + STATES * STATES + STATES * len(share) + 1)
+        flat[sums.column("k").to_numpy()] = sums.column("v").to_numpy()  # one row a cell of the bounded tables
         likelihood.append(float(flat[-1]))
         model = Model.from_counts(flat[:-1], share)
     return model, likelihood
@@ -303,8 +364,9 @@ def score(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     probabilities of the tokens with their end. Defined results: a null or empty
     text is its end alone; a null doc_id counts as an empty string and so trains;
     repeated rows train and are scored each; an empty table gives no rows; with
-    no training row all tokens are unknown. Other columns are not read. Two
-    different words share a hash with a probability of about 2**-64.
+    no training row all tokens are unknown. A very long text is one sequence, in
+    training as in scoring. Other columns are not read. Two different words share
+    a hash with a probability of about 2**-64.
     """
     ws = workspace or Workspace(docs.sparkSession, "hmm")
     doc_id = docs["doc_id"].cast("long")

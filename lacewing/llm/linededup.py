@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fence import computed, exploded
+from .skew import HEAVY_ROWS, HEAVY_SHARE
 from .store import Workspace
 
 WINDOW = 3
@@ -48,8 +49,12 @@ def repeated_windows(docs: DataFrame, workspace: Workspace) -> DataFrame:
     rows = workspace.keep(rows.select("doc_id", "text_key", "w.j", "w.a", "w.b", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord")), "windows")
     place = F.struct("ord", "text_key", "j")
     # one row a window and task goes into the shuffle, however often the window occurs
-    first = rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = rows.join(first, ["a", "b"]).filter(place > F.col("first"))
+    first = workspace.keep(rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+    # a window with a large share of all rows, and so one of a bounded number, doesn't bring them to one task
+    heavy = F.col("n") >= max(HEAVY_ROWS, rows.count() // HEAVY_SHARE + 1)
+    hot = rows.join(F.broadcast(first.filter(heavy).drop("n")), ["a", "b"])
+    cold = rows.join(F.broadcast(first.filter(heavy).select("a", "b")), ["a", "b"], "left_anti").join(first.filter(~heavy).drop("n"), ["a", "b"])
+    later = hot.unionByName(cold).filter(place > F.col("first"))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("j").alias("starts"))
 
 

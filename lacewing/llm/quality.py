@@ -1,7 +1,7 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document; its measurements and one failure
-bit per rule are stored. Policies are versioned masks over those bits, so a new
+bit per rule are written to a table, the ledger. Policies are versioned masks over those bits, so a new
 policy, or an ablation of one rule, is a bitwise operation on the ledger and
 never reads a text again. Only DataFrame functions are used.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import Workspace
+
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
@@ -24,6 +26,8 @@ RULES: dict[str, Column | str] = {
     "repeated_lines": "10 * n_dup_lines > 5 * n_lines",
     "shouting": "10 * n_upper > 7 * n_chars_seen",
 }
+#: Rejected rows up to this many (8 bytes each) are broadcast; more are shuffled.
+BROADCAST_ROWS = 1 << 20
 BASE_RULES = ("few_words", "repeated_words")
 #: Version -> rules whose failure rejects a document.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -123,8 +127,31 @@ def ablation(ledger_rows: DataFrame, policy: str) -> DataFrame:
     return ledger_rows.agg(F.array(*columns).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def kept_documents(docs: DataFrame, policy: str) -> DataFrame:
-    """The input rows, with all their columns, that the policy keeps."""
+def decisive(failed: Column, policy: str) -> Column:
+    """The bit of the one rule without which the policy would keep the document; 0 where there is none."""
+    own = failed.bitwiseAND(F.lit(mask(policy)).cast("long"))
+    return F.when(own.bitwiseAND(own - 1) == 0, own).otherwise(F.lit(0).cast("long"))
+
+
+def stored_ledger(docs: DataFrame, workspace: Workspace) -> DataFrame:
+    """The ledger as a written table, a row an input row, with doc_id and a digest of both that finds the row again."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    doc_id = docs["doc_id"].cast("long")
+    keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("text_key"), text.alias("text"))
+    return workspace.keep(ledger(keyed, ("doc_id", "text_key")), "ledger")
+
+
+def kept_documents(docs: DataFrame, policy: str, workspace: Workspace | None = None) -> DataFrame:
+    """The input rows, with all their columns, that the policy keeps, read off the stored ledger.
+
+    Repeated rows are kept or rejected together; null doc_ids and null texts are
+    rows like others; an empty table gives no rows.
+    """
+    ws = workspace or Workspace(docs.sparkSession, "quality")
     names = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
-    return ledger(packed, ("row",)).filter(verdict(F.col("failed"), policy)).select("row.*")
+    bad = stored_ledger(docs, ws).filter(~verdict(F.col("failed"), policy)).select("text_key").distinct()
+    bad = ws.keep(bad, "rejected")
+    # the digest covers doc_id and text, so it alone finds the row
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("text_key"))
+    return packed.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "text_key", "left_anti").select("row.*")

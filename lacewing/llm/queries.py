@@ -41,14 +41,14 @@ def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(_documents(spark, sf_dir))
+    rows = quality.stored_ledger(_documents(spark, sf_dir), Workspace(spark, "quality"))
     base = sum(quality.bit(r) for r in quality.BASE_RULES)
     failed = F.col("failed")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (failed.bitwiseAND(F.lit(base).cast("long")) != 0).alias("base_failed"),
         quality.verdict(failed, QUALITY_POLICY).alias("kept"),
-        "n_lines", "n_upper", "failed",
+        "n_lines", "n_upper", "failed", quality.decisive(failed, QUALITY_POLICY).alias("decisive"),
     )
 
 
@@ -110,7 +110,7 @@ f as (select *, cast((case when n_words < 50 then 1 else 0 end) + (case when 100
         + (case when word_chars > 25 * n_words then 16 else 0 end) + (case when 10 * n_dup_lines > 5 * n_lines then 32 else 0 end)
         + (case when 10 * n_upper > 7 * word_chars then 64 else 0 end) as bigint) failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 base_failed, (failed & 63) = 0 kept,
-       n_lines, n_upper, failed from f
+       n_lines, n_upper, failed, cast(case when (failed & 63) & ((failed & 63) - 1) = 0 then failed & 63 else 0 end as bigint) decisive from f
 """
 
 ORACLE_SQL["op4_decontamination"] = f"""

@@ -6,12 +6,14 @@ k-gram hash of a window (its minimizer) is the same wherever the window occurs,
 so windows that share it meet in one shard, as segments of neighbouring windows
 with one minimizer. Minimizers that occur in a single document are left out.
 
-Each shard builds a suffix array over its segments, the Burrows-Wheeler
-transform of it as a wavelet matrix of packed bit vectors with rank
-directories, and streams its segments through: backward search extends all
-windows word by word, gives up those whose interval has become their own single
-occurrence, and reports the intervals that reach T words with the smallest
-doc_id among their occurrences.
+Each shard sorts the suffixes of its segments and keeps two wavelet matrices of
+packed bit vectors with rank directories, one of the Burrows-Wheeler transform
+and one of the document at each suffix; neither the suffix array nor the text
+stays in the index. The segments are streamed through it: backward search gives
+each position's matching statistic up to T words, extending all windows word by
+word and giving up those whose interval is down to their own single occurrence.
+Intervals that reach T words are reported, with the smallest doc_id among their
+occurrences, a range minimum in the second matrix.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_unique
 from .store import Workspace
-from .wordhash import mix, ngrams, signed, word_hashes
+from .wordhash import ngrams, range_keys, signed, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -33,25 +36,14 @@ GRAM = 5
 SHARD_WORDS = 400_000
 #: A minimizer with more distinct segments than this is routed window by window.
 HOT_SEGMENTS = 2000
+#: Hot minimizers are broadcast up to this many (8 MB), which HOT_SEGMENTS times as many contents must bring.
+BROADCAST_GRAMS = 1 << 20
+#: Minimizers that a task holds before it passes them on.
+TASK_ROWS = 600_000
 _U = np.uint64
 LAST = (1 << 63) - 1
 
 
-_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def range_keys(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A digest of each stretch of the word sequence, the same wherever it stands."""
-    if len(_powers[0]) < len(words) + 1:
-        n = 2 * len(words) + 1024
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _powers[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _powers[0][: len(words)], out=total[1:])
-    return signed(mix((total[stops] - total[starts]) * _powers[1][starts] + (stops - starts).astype(np.uint64)))
-
-
 def sequence_key(words: np.ndarray) -> int:
     """A digest of the whole word sequence."""
     return int(range_keys(words, np.array([0]), np.array([len(words)]))[0])
@@ -104,10 +96,26 @@ class WaveletMatrix:
         return end - start
 
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest symbol of each non-empty range."""
+        value = np.zeros(len(low), np.int64)
+        for b, v in self.levels:
+            low_ones, high_ones = v.ones(low), v.ones(high)
+            zero = high - high_ones > low - low_ones
+            value += np.where(zero, 0, 1 << b)
+            low = np.where(zero, low - low_ones, v.zeros + low_ones)
+            high = np.where(zero, high - high_ones, v.zeros + high_ones)
+        return value
+
+
 class FMIndex:
-    """Backward search over a text of symbols from 2 on; 1 ends a segment and 0 the text."""
+    """Backward search over a text of symbols from 2 on; 1 ends a segment and 0 the text.
 
-    def __init__(self, text: np.ndarray):
+    ``owner`` is a number at each place of the text, here of the document; the
+    smallest one of an interval can be asked for.
+    """
+
+    def __init__(self, text: np.ndarray, owner: np.ndarray):
         n = len(text)
         top = int(text.max(initial=1)) + 1
         padded = np.concatenate([text, np.zeros(2, np.int64)])
@@ -123,8 +131,8 @@ class FMIndex:
             key = rank * (n + 1)
             key[:-h] += rank[h:] + 1
             h *= 2
-        self.suffixes = order
-        self.matrix = WaveletMatrix(text[order - 1], max(1, (top - 1).bit_length()))
+        self.matrix = WaveletMatrix(text[order - 1].astype(np.int32), max(1, (top - 1).bit_length()))
+        self.owners = WaveletMatrix(owner[order].astype(np.int32), max(1, int(owner.max(initial=0)).bit_length()))
         self.first = np.searchsorted(np.sort(text), np.arange(top + 1))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +171,8 @@ def smallest_documents(words: list[np.ndarray], docs: np.ndarray) -> list[np.nda
     inside = np.arange(len(flat)) + np.repeat(np.arange(len(words)), lengths)
     text[inside] = symbols + 2
     text[-1] = 0
-    index = FMIndex(text)
+    ranked, rank = np.unique(docs, return_inverse=True)
+    index = FMIndex(text, np.append(rank[owner], 0))
     n_windows = lengths - WINDOW + 1
     of = np.repeat(np.arange(len(words)), n_windows)
     cut = np.cumsum(n_windows)[:-1]
@@ -176,11 +185,9 @@ def smallest_documents(words: list[np.ndarray], docs: np.ndarray) -> list[np.nda
     least = docs[of].copy()
     full = np.flatnonzero((got == WINDOW) & (high - low > 1))
     if len(full):
-        doc_at = docs[owner[np.minimum(index.suffixes, len(owner) - 1)]]
         # equal windows have equal intervals and different ones disjoint intervals
         lows, first, back = np.unique(low[full], return_index=True, return_inverse=True)
-        bounds = np.stack([lows, high[full][first]], 1).ravel()
-        least[asked[full]] = np.minimum.reduceat(np.append(doc_at, LAST), bounds)[::2][back]
+        least[asked[full]] = ranked[index.owners.least(lows, high[full][first])][back]
     return np.split(least, cut)
 
 
@@ -195,7 +202,7 @@ def _joined(text: str | None) -> list[bytes]:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, n_words, the sequence's digest, and the digest of the text with nothing removed."""
+    """doc_id, ord, tkey, n_words, the sequence's digest, and the digest of the text with nothing removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,9 +210,9 @@ def _base(docs: DataFrame) -> DataFrame:
             for i, words in _documents(b.column(1)):
                 n[i], key[i] = len(words), sequence_key(words)
                 sha.append(hashlib.sha256(b" ".join(_joined(b.column(1)[i].as_py()))).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(key), pa.array(sha, pa.string())], names=["doc_id", "ord", "n_words", "tid", "sha"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array(key), pa.array(sha, pa.string())], names=["doc_id", "ord", "tkey", "n_words", "tid", "sha"])
 
-    return docs.mapInArrow(run, "doc_id long, ord long, n_words long, tid long, sha string")
+    return docs.mapInArrow(run, "doc_id long, ord long, tkey long, n_words long, tid long, sha string")
 
 
 def _repeated_minimizers(docs: DataFrame) -> DataFrame:
@@ -213,20 +220,43 @@ def _repeated_minimizers(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        grams: list[np.ndarray] = []
+        tids: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            g, t = np.concatenate(grams), np.concatenate(tids)
+            grams.clear()
+            tids.clear()
+            order = np.argsort(g, kind="stable")
+            g, t = g[order], t[order]
+            start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            # two of a minimizer's sequences go and prove to other tasks that it is repeated; the rest needn't meet them
+            known = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g)))) >= 2
+            return pa.RecordBatch.from_arrays([pa.array(np.where(known, t, g)), pa.array(g), pa.array(t), pa.array(known)], names=["key", "gram", "tid", "known"])
+
         for b in batches:
-            keys, tids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, words in _documents(b.column(0)):
                 if len(words) >= WINDOW and (tid := sequence_key(words)) not in seen:
                     seen.add(tid)
-                    keys.append(signed(np.unique(minimizers(words))))
-                    tids.append(np.full(len(keys[-1]), tid, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tids))], names=["gram", "tid"])
+                    grams.append(signed(np.unique(minimizers(words))))
+                    tids.append(np.full(len(grams[-1]), tid, np.int64))
+                    size += len(grams[-1])
+                    if size > TASK_ROWS:
+                        yield flush()
+                        size = 0
+        if grams:
+            yield flush()
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come by gram and tid; a gram's first row waits until a second sequence shows up
         gram, tid, several = None, None, False
         for b in batches:
-            g, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+            known = b.column(3).to_numpy(zero_copy_only=False)
+            g, t = b.column(1).to_numpy(), b.column(2).to_numpy()
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(g[known]), pa.array(t[known])], names=["gram", "tid"])
+                g, t = g[~known], t[~known]
             if not len(g):
                 continue
             new_gram = np.append(True, g[1:] != g[:-1])
@@ -245,8 +275,9 @@ def _repeated_minimizers(docs: DataFrame) -> DataFrame:
             gram, tid, several = g[-1], t[-1], bool(last_several)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["gram", "tid"])
 
-    rows = docs.select("text").mapInArrow(emit, "gram long, tid long")
-    return rows.repartition("gram").sortWithinPartitions("gram", "tid").mapInArrow(repeated, "gram long, tid long").groupBy("tid").agg(F.collect_list("gram").alias("grams"))
+    rows = docs.select("text").mapInArrow(emit, "key long, gram long, tid long, known boolean")
+    found = rows.repartition("key").sortWithinPartitions("gram", "tid").mapInArrow(repeated, "gram long, tid long")
+    return found.groupBy("tid").agg(F.collect_set("gram").alias("grams"))
 
 
 SEGMENT = "tid long, ord long, start int, gram long, seg long, words binary"
@@ -257,8 +288,7 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A content that a task has sent before travels without its words.
     """
-    w = wanted.select(F.col("ord").alias("_o"), "tid", "grams")
-    rows = docs.join(w, docs["ord"] == F.col("_o")).select("tid", "ord", "grams", "text")
+    rows = docs.join(wanted.select("ord", "tkey", "tid", "grams"), ["ord", "tkey"]).select("tid", "ord", "grams", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -344,34 +374,40 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     results: a null text has no words; documents of fewer than WINDOW words lose
     none; a missing doc_id counts as larger than all others; rows repeated with
     their doc_id don't repeat each other, since no doc_id is smaller; an empty
-    table gives no rows; other columns aren't read. Sequences are compared by
-    64-bit word hashes, in full by the index.
+    table gives no rows; other columns aren't read; one very long text is one
+    document like others, whole. Sequences are compared by 64-bit word hashes, in
+    full by the index. A passage that very many documents share is split: its
+    minimizer's windows are routed by their own digests.
     """
     ws = workspace or Workspace(docs.sparkSession, "substring-dedup")
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
-    base = ws.keep(_base(docs.select("doc_id", "text", "ord")), "base")
-    first = base.filter(f"n_words >= {WINDOW}").groupBy("tid").agg(F.min("ord").alias("ord"))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    # a row is found again by doc_id and text: many rows may lack a doc_id or share one
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("tkey"))
+    base = ws.keep(_base(docs), "base")
+    first = base.filter(f"n_words >= {WINDOW}").groupBy("tid").agg(F.min(F.struct("ord", "tkey")).alias("f")).select("tid", "f.ord", "f.tkey")
     wanted = ws.keep(_repeated_minimizers(docs).join(first, "tid"), "wanted")
     segments = ws.keep(_segments(docs, wanted), "segments")
     # max skips the rows that travel without words; equal content has equal words
     contents = ws.keep(segments.groupBy("gram", "seg").agg(F.min("ord").alias("ord"), F.max("words").alias("words")), "contents")
     words = contents.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 8
     shards = int(words // SHARD_WORDS) + 1
-    hot = contents.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_SEGMENTS).select("gram")
+    hot = ws.keep(contents.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_SEGMENTS).select("gram"), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_GRAMS else hot
     cold = contents.join(hot, "gram", "left_anti")
     windows = ws.keep(_cut_windows(contents.join(hot, "gram")), "windows")
     # of a hot minimizer each different window is one row, routed by its own digest
     apart = windows.groupBy("window").agg(F.min("ord").alias("ord"), F.max("words").alias("words")).select(F.col("window").alias("gram"), F.lit(None).cast("long").alias("seg"), "ord", "words")
     least = ws.keep(_searched(cold.unionByName(apart), shards), "least")
-    by_window = windows.join(least.filter("seg is null").select(F.col("gram").alias("window"), F.get("least", F.lit(0)).alias("m")), "window")
+    by_window = join_unique(windows.drop("words"), least.filter("seg is null").select(F.col("gram").alias("window"), F.get("least", F.lit(0)).alias("m")), ["window"], ws, "windows")
     hot_least = by_window.groupBy("gram", "seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("least"))
-    found = segments.drop("words").join(least.filter("seg is not null").unionByName(hot_least), ["gram", "seg"])
+    found = join_unique(segments.drop("words"), least.filter("seg is not null").unionByName(hot_least), ["gram", "seg"], ws, "segments")
     repeats = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("ord"), F.col("start") + i.cast("int"))), lambda x: x.isNotNull())
     found = found.select("tid", "ord", repeats.alias("at")).filter(F.size("at") > 0)
-    gone = found.groupBy("tid", "ord").agg(F.flatten(F.collect_list("at")).alias("at"))
+    gone = found.groupBy("tid").agg(F.flatten(F.collect_list("at")).alias("at")).join(first, "tid")
     changed = ws.keep(_removed(docs, ws.keep(gone, "gone")), "changed")
-    ws.drop_all_but("base", "changed")
-    rows = base.join(first.withColumnRenamed("ord", "first"), "tid", "left").join(changed, "tid", "left")
+    known = ws.keep(first.select("tid", F.col("ord").alias("first")).join(changed, "tid", "left"), "known")
+    rows = join_unique(base, known, ["tid"], ws, "copies", "left")
+    ws.drop_all_but("base", "known", "heavy-copies")
     copy = F.col("ord") > F.col("first")
     return rows.select(
         "doc_id", "n_words",
@@ -382,8 +418,7 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
 
 def _removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """(tid, n_removed, kept) of the sequences that lose words."""
-    g = gone.select(F.col("ord").alias("_o"), "tid", "at")
-    rows = docs.join(g, docs["ord"] == F.col("_o")).select("tid", "at", "text")
+    rows = docs.join(gone, ["ord", "tkey"]).select("tid", "at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
