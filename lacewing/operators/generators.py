@@ -40,23 +40,99 @@ def motif_shape(spark: SparkSession, shape: str, size: int) -> DataFrame:
     return pairs.filter(rule)
 
 
+def _linked(ids: DataFrame, nodes: int, p: float, seed: int) -> DataFrame:
+    """graph_id, src, dst: each pair of a graph's nodes with probability p, by a hash of seed, graph and pair."""
+    pairs = ids.select("graph_id", F.explode(_upto(nodes)).alias("src")).select("graph_id", "src", F.explode(_upto(nodes)).alias("dst")).filter("src < dst")
+    return pairs.filter(md5_uniform(F.concat_ws("|", F.lit(seed), "graph_id", "src", "dst")) < p)
+
+
 def random_parents(spark: SparkSession, n_graphs: int, nodes: int, p: float, seed: int = 42) -> DataFrame:
     """graph_id, src, dst: each pair linked with probability p, by a hash of seed, graph and pair."""
-    g = spark.range(n_graphs).toDF("graph_id")
-    pairs = g.select("graph_id", F.explode(_upto(nodes)).alias("src")).select("graph_id", "src", F.explode(_upto(nodes)).alias("dst")).filter("src < dst")
-    return pairs.filter(md5_uniform(F.concat_ws("|", F.lit(seed), "graph_id", "src", "dst")) < p)
+    return _linked(spark.range(n_graphs).toDF("graph_id"), nodes, p, seed)
 
 
-def connected_parents(spark: SparkSession, n_graphs: int, nodes: int, p: float, seed: int = 42, tries: int = 40, max_degree: int = 25) -> DataFrame:
-    """graph_id, src, dst: of several tries a graph, the first that is connected with degrees below the bound."""
+def accepted(edges: DataFrame, nodes: DataFrame, max_degree: int) -> DataFrame:
+    """graph_id of the graphs that are connected over ``nodes`` and have degrees below the bound."""
     from .graphs import components, degrees
 
-    all_tries = cut(random_parents(spark, n_graphs * tries, nodes, p, seed))
-    every = spark.range(n_graphs * tries).select(F.col("id").alias("graph_id"), F.explode(_upto(nodes)).alias("node"))
-    connected = components(all_tries, every).groupBy("graph_id").agg(F.countDistinct("comp").alias("c")).filter("c = 1")
-    low = degrees(all_tries).groupBy("graph_id").agg(F.max("deg").alias("d")).filter(F.col("d") < max_degree)
-    good = connected.join(low, "graph_id").groupBy((F.col("graph_id") % n_graphs).alias("g")).agg(F.min("graph_id").alias("graph_id"))
-    return all_tries.join(good, "graph_id").select(F.col("g").alias("graph_id"), "src", "dst")
+    whole = components(edges, nodes).groupBy("graph_id").agg(F.countDistinct("comp").alias("c")).filter("c = 1").select("graph_id")
+    low = degrees(edges).groupBy("graph_id").agg(F.max("deg").alias("d")).filter(F.col("d") < max_degree)
+    return whole.join(low, "graph_id", "left_semi")
+
+
+#: Tries of a graph after which a collection counts as impossible.
+TRIES = 1 << 14
+
+
+def connected_parents(spark: SparkSession, n_graphs: int, nodes: int, p: float, seed: int = 42, max_degree: int = 25, ids: DataFrame | None = None) -> DataFrame:
+    """graph_id, src, dst: of each graph's tries the first that is connected with degrees below the bound.
+
+    ``ids`` names the graphs wanted of the n_graphs, where not all are.
+
+    Graphs without one are tried again, twice as often each round, until none is
+    missing; where TRIES don't bring a graph forth an error says so.
+    """
+    missing = spark.range(n_graphs).toDF("graph_id") if ids is None else ids.select("graph_id")
+    found, begun, batch = None, 0, 8
+    while missing.limit(1).count():
+        if begun >= TRIES:
+            raise ValueError(f"{missing.count()} of {n_graphs} graphs were not connected in {begun} tries: raise p or max_degree")
+        tried = missing.select("graph_id", F.explode(F.sequence(F.lit(begun), F.lit(begun + batch - 1))).alias("k"))
+        # a try's number stands for the graph while it is drawn
+        tried = tried.select((F.col("graph_id") + F.col("k").cast("long") * F.lit(n_graphs)).alias("graph_id"))
+        drawn = cut(_linked(tried, nodes, p, seed))
+        every = tried.select("graph_id", F.explode(_upto(nodes)).alias("node"))
+        own = F.pmod("graph_id", F.lit(n_graphs))
+        good = accepted(drawn, every, max_degree).groupBy(own.alias("g")).agg(F.min("graph_id").alias("graph_id"))
+        new = cut(drawn.join(good, "graph_id").select(F.col("g").alias("graph_id"), "src", "dst"))
+        found = new if found is None else found.union(new)
+        missing = cut(missing.join(new.select("graph_id").distinct(), "graph_id", "left_anti"))
+        begun, batch = begun + batch, batch * 2
+    return _linked(missing, nodes, p, seed) if found is None else found
+
+
+FAMILIES = ("uniform", "preferential", "small_world")
+
+
+def mixed_parents(spark: SparkSession, n_graphs: int, nodes: int, seed: int = 42) -> DataFrame:
+    """graph_id, family, src, dst: connected graphs, each of a family and with parameters drawn for it.
+
+    uniform: a random tree and further pairs, all as likely. preferential: each
+    node ties itself to earlier ones, likelier to those with more ties.
+    small_world: a ring with near neighbours, some ties moved.
+    """
+
+    def one(g: int) -> tuple[str, set[tuple[int, int]]]:
+        rng = np.random.default_rng([seed, g])
+        family = FAMILIES[int(rng.integers(len(FAMILIES)))]
+        ties: set[tuple[int, int]] = set()
+        tie = lambda a, b: ties.add((min(a, b), max(a, b))) if a != b else None
+        if family == "uniform":
+            p = rng.uniform(0.02, 0.2)
+            for v in range(1, nodes):
+                tie(v, int(rng.integers(v)))
+                for u in np.flatnonzero(rng.random(v) < p).tolist():
+                    tie(u, v)
+        elif family == "preferential":
+            each, ends = int(rng.integers(1, 4)), [0]
+            for v in range(1, nodes):
+                for u in {int(rng.choice(ends)) for _ in range(min(v, each))}:
+                    tie(u, v)
+                    ends += [u, v]
+        else:
+            reach, p = int(rng.integers(1, 3)), rng.uniform(0, 0.3)
+            for v in range(nodes):
+                tie(v, (v + 1) % nodes)  # the ring itself stays, so the graph is connected
+                for k in range(2, reach + 1):
+                    tie(v, int(rng.integers(nodes)) if rng.random() < p else (v + k) % nodes)
+        return family, ties
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(g, f, a, b) for g in pdf["graph_id"].tolist() for f, ties in [one(g)] for a, b in sorted(ties)]
+            yield pd.DataFrame(rows, columns=["graph_id", "family", "src", "dst"])
+
+    return spark.range(n_graphs).toDF("graph_id").mapInPandas(run, "graph_id long, family string, src long, dst long")
 
 
 def distort(edges: DataFrame, nodes: DataFrame, p: float, seed: int = 0) -> DataFrame:

@@ -87,8 +87,35 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def edges_touching(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges with at least one end among the roots."""
-    r = roots.select("graph_id", F.col("node").alias("_r")).distinct()
-    return edges.join(r, (edges["graph_id"] == r["graph_id"]) & ((edges["src"] == F.col("_r")) | (edges["dst"] == F.col("_r"))), "left_semi")
+    r = roots.select("graph_id", "node").distinct()
+    ends = [edges.join(r.withColumnRenamed("node", end), ["graph_id", end], "left_semi").select(*edges.columns) for end in ("src", "dst")]
+    return ends[0].union(ends[1]).distinct()
+
+
+def neighbourhood_edges(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
+    """graph_id, root, src, dst: the edges inside each root's own ball; balls of several roots aren't united."""
+    adj = adjacency(edges)
+    ball = roots.select("graph_id", F.col("node").alias("root"), "node").distinct()
+    for _ in range(hops):
+        ring = ball.join(adj.withColumnRenamed("a", "node"), ["graph_id", "node"]).select("graph_id", "root", F.col("b").alias("node"))
+        ball = ball.union(ring).distinct()
+    a, b = ball.withColumnRenamed("node", "src"), ball.withColumnRenamed("node", "dst")
+    return edges.select("graph_id", "src", "dst").join(a, ["graph_id", "src"]).join(b, ["graph_id", "root", "dst"]).select("graph_id", "root", "src", "dst")
+
+
+def one_hot(labels: DataFrame, width: int) -> DataFrame:
+    """graph_id, node, x: 1.0 at the node's whole-number ``label``, in an array of so many places; none at a label outside."""
+    return labels.select("graph_id", "node", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(k == F.col("label"), 1.0).otherwise(0.0)).alias("x"))
+
+
+def labelled_line_graph(edges: DataFrame, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(line graph, labels of its nodes): an edge's label is its ends' labels in order, or 1 without ``labels`` (graph_id, node, label)."""
+    name = edges.select("graph_id", F.concat_ws("|", "src", "dst").alias("node"), "src", "dst")
+    if labels is None:
+        return line_graph(edges), name.select("graph_id", "node", F.lit("1").alias("label"))
+    a, b = labels.toDF("graph_id", "src", "x"), labels.toDF("graph_id", "dst", "y")
+    both = name.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"])
+    return line_graph(edges), both.select("graph_id", "node", F.concat_ws(",", F.sort_array(F.array(F.col("x").cast("string"), F.col("y").cast("string")))).alias("label"))
 
 
 def context_view(edges: DataFrame, motif: DataFrame) -> DataFrame:
@@ -97,7 +124,7 @@ def context_view(edges: DataFrame, motif: DataFrame) -> DataFrame:
     return edges_touching(induced_edges(edges, hood), motif)
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """graph_id, node, comp: the smallest node of the connected component inside ``nodes``.
 
     Each round takes the smallest label of a node, its neighbours, and of the
@@ -106,7 +133,7 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
     """
     inner = cut(adjacency(induced_edges(edges, nodes)))
     labels = cut(nodes.select("graph_id", "node", F.col("node").alias("comp")).distinct())
-    for _ in range(rounds):
+    while True:
         near = inner.join(labels.withColumnRenamed("node", "b"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         new = labels.join(near, ["graph_id", "node"], "left").select("graph_id", "node", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         jump = new.toDF("graph_id", "comp", "up")
@@ -114,7 +141,6 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
         if not new.join(labels, ["graph_id", "node", "comp"], "left_anti").limit(1).count():
             return new
         labels = new
-    raise RuntimeError("components did not settle")
 
 
 def largest_component(edges: DataFrame, nodes: DataFrame) -> DataFrame:

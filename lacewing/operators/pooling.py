@@ -134,6 +134,30 @@ def filter_sigma(sigma: DataFrame, k: int, best: bool = True) -> DataFrame:
     return sigma.withColumn("rn", F.row_number().over(Window.partitionBy("graph_id").orderBy(order, "node"))).filter(F.col("rn") <= k).drop("rn")
 
 
+def filter_random(sigma: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k merged nodes of each graph, chosen by a hash of seed, graph and node."""
+    order = F.md5(F.concat_ws("|", F.lit(seed), "graph_id", "node"))
+    return sigma.withColumn("rn", F.row_number().over(Window.partitionBy("graph_id").orderBy(order, "node"))).filter(F.col("rn") <= k).drop("rn")
+
+
+def pair_subgraphs(pairs: DataFrame, spot: DataFrame, edges: DataFrame, features: DataFrame, hops: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, u, v, src, dst; graph_id, u, v, feats): the subgraph that each pair's two spotlights induce, and its nodes' features.
+
+    ``pairs`` has graph_id, u, v; equal ones stand for a node's own spotlight.
+    ``features`` has graph_id, node, x; feats lists node and x in node order.
+    With ``hops`` the base nodes' neighbours are taken in too.
+    """
+    own = pairs.select("graph_id", "u", "v", F.explode(F.array("u", "v")).alias("node")).join(spot, ["graph_id", "node"]).select("graph_id", "u", "v", "base").distinct()
+    adj = adjacency(edges)
+    for _ in range(hops):
+        near = own.join(adj.withColumnRenamed("a", "base"), ["graph_id", "base"]).select("graph_id", "u", "v", F.col("b").alias("base"))
+        own = own.union(near).distinct()
+    keys = ["graph_id", "u", "v"]
+    inside = own.withColumnRenamed("base", "src").join(edges.select("graph_id", "src", "dst"), ["graph_id", "src"]).join(own.withColumnRenamed("base", "dst"), [*keys, "dst"], "left_semi")
+    feats = own.withColumnRenamed("base", "node").join(features, ["graph_id", "node"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("node", "x"))).alias("feats"))
+    return inside.select(*keys, "src", "dst"), feats
+
+
 def pair_tree_nodes(cluster: DataFrame) -> DataFrame:
     """Clusters with exactly two children."""
     return cluster.groupBy("graph_id", "cluster").agg(F.count("*").alias("m")).filter("m = 2").select("graph_id", F.col("cluster").alias("node"))

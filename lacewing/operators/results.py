@@ -44,6 +44,47 @@ def without_distortion(name: Column) -> Column:
     return F.regexp_replace(name, r"-d[0-9.]+", "")
 
 
+def motif_count(name: Column) -> Column:
+    """The number of motifs in a dataset's name, its '-n3' part; 1 without one."""
+    found = F.regexp_extract(name, r"-n([0-9]+)", 1)
+    return F.when(found == "", 1).otherwise(found.cast("int"))
+
+
+def from_key_values(rows: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """Rows of key and value, one table row a group: each key becomes a column."""
+    return pivoted(rows, by, "key", keys, "value")
+
+
+def heat_map(rows: DataFrame, names: list[str], value: str) -> DataFrame:
+    """train against test: a row a training set, a column a test set, the value's mean; null where there is no run."""
+    return rows.groupBy("train").pivot("test", names).agg(F.avg(value))
+
+
+def by_kept(rows: DataFrame, k: str, value: str) -> DataFrame:
+    """The ablation's curve: mean and population deviation of the value for each number of kept subgraphs."""
+    return mean_std(rows, [k], value)
+
+
+def latex(rows: DataFrame) -> str:
+    """A small result as the body of a LaTeX table."""
+    escape = lambda x: str(x).replace("_", r"\_").replace("%", r"\%").replace("±", r"$\pm$")
+    lines = [" & ".join(map(escape, r)) + r" \\" for r in [rows.columns, *rows.collect()]]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(rows.columns) + "}", *lines, r"\end{tabular}"])
+
+
+class StopController:
+    """Says when a fit has not improved for ``patience`` rounds; a loss that is not a number is no improvement."""
+
+    def __init__(self, patience: int = 10):
+        self.patience, self.best, self.best_round, self.round = patience, float("inf"), -1, -1
+
+    def step(self, loss: float) -> bool:
+        self.round += 1
+        if loss < self.best:
+            self.best, self.best_round = loss, self.round
+        return self.round - max(self.best_round, 0) >= self.patience
+
+
 def markdown(rows: DataFrame) -> str:
     """A small result as a text table."""
     got = rows.collect()

@@ -109,3 +109,31 @@ def attribution_score(p: Column) -> Column:
     """1 - H(p) / H(uniform) of an array of probabilities."""
     h = F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log(x)).otherwise(0.0))
     return 1 - h / F.log(F.size(p).cast("double"))
+
+
+def dictionary_loss(rows: DataFrame, atoms: list[list[float]]) -> DataFrame:
+    """One row, loss: MSE of D D' against the identity, plus MSE of x against p D, over rows of ``x`` and probabilities ``p``."""
+    n, dim = len(atoms), len(atoms[0])
+    gram = [sum(a * b for a, b in zip(x, y, strict=True)) - (i == j) for i, x in enumerate(atoms) for j, y in enumerate(atoms)]
+    own = sum(g * g for g in gram) / (n * n)
+    error = None
+    for d in range(dim):
+        made = sum((F.col("p")[i] * F.lit(float(atoms[i][d])) for i in range(n)), F.lit(0.0))
+        e = F.pow(F.col("x")[d] - made, F.lit(2.0))
+        error = e if error is None else error + e
+    return rows.agg((F.lit(own) + F.avg(error / dim)).alias("loss"))
+
+
+def pattern_jaccard(patterns: DataFrame, truth: DataFrame, top_k: int) -> DataFrame:
+    """pattern, n_inter, n_union, jaccard of an external miner's patterns against each motif, the best top_k patterns a motif.
+
+    ``patterns`` has pattern, id and ``truth`` motif, id; ids are node numbers
+    that run through all graphs.
+    """
+    p, t = patterns.select("pattern", "id").distinct(), truth.select("motif", "id").distinct()
+    both = p.join(t, "id").groupBy("motif", "pattern").agg(F.count("*").alias("n_inter"))
+    sizes = both.join(p.groupBy("pattern").agg(F.count("*").alias("n_p")), "pattern").join(t.groupBy("motif").agg(F.count("*").alias("n_t")), "motif")
+    union = F.col("n_p") + F.col("n_t") - F.col("n_inter")
+    scored = sizes.select("motif", "pattern", "n_inter", union.alias("n_union"), (F.col("n_inter") / union).alias("jaccard"))
+    best = Window.partitionBy("motif").orderBy(F.desc("jaccard"), "pattern")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)

@@ -113,7 +113,9 @@ def wl_labels(ind: DataFrame, labels: DataFrame | None, iterations: int) -> Data
 def wl_histograms(labelled: DataFrame, dim: int) -> DataFrame:
     """graph_id, nodes, vec: labels of all rounds counted in ``dim`` hash buckets."""
     buckets = F.transform(F.flatten("rounds"), lambda x: md5_bucket(x, dim))
-    return labelled.withColumn("_b", buckets).select("graph_id", "nodes", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter("_b", lambda b: b == d))).alias("vec"))
+    # a generator of one row: the buckets' definition isn't moved into the lambda, where it would run for each of them
+    fenced = labelled.select("graph_id", "nodes", F.inline(F.array(F.struct(buckets.alias("_b")))))
+    return fenced.select("graph_id", "nodes", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter("_b", lambda b: b == d))).alias("vec"))
 
 
 def wwl_vectors(labelled: DataFrame, dim: int, iterations: int) -> DataFrame:

@@ -64,7 +64,10 @@ def lda_planes(rows: DataFrame, dim: int, hash_dim: int) -> tuple[np.ndarray, fl
 
     Everything comes from the classes' moments; no second pass over the rows.
     """
-    m = moments(rows, dim)
+    return _lda(moments(rows, dim), dim, hash_dim)
+
+
+def _lda(m: dict[str, tuple], dim: int, hash_dim: int) -> tuple[np.ndarray, float]:
     (n1, s1, q1), (n0, s0, q0) = m["pos"], m["neg"]
     mu1, mu0 = s1 / n1, s0 / n0
     within = q1 - n1 * np.outer(mu1, mu1) + q0 - n0 * np.outer(mu0, mu0) + 1e-6 * np.eye(dim)
@@ -78,6 +81,29 @@ def lda_planes(rows: DataFrame, dim: int, hash_dim: int) -> tuple[np.ndarray, fl
     return np.vstack([w, *[_oriented(axes[:, -1 - i]) for i in range(k)]]), separation
 
 
+def planes_by_fold(rows: DataFrame, dim: int, hash_dim: int) -> dict[int, np.ndarray]:
+    """fold -> planes fitted on the rows of all other folds; zeros where a role is missing there.
+
+    ``rows`` has fold, role and z; roles other than pos and neg don't count. One
+    pass collects each fold's moments, and a fold's complement is their sum.
+    """
+    used = rows.filter(F.col("role").isin("pos", "neg"))
+    own = moments(used.select(F.concat_ws("|", "fold", "role").alias("role"), "z"), dim)
+    out = {}
+    for fold in sorted({int(k.split("|")[0]) for k in own}):
+        parts: dict[str, list] = {"pos": [], "neg": []}
+        for k, m in own.items():
+            f, role = k.split("|")
+            if int(f) != fold:
+                parts[role].append(m)
+        if all(parts.values()):
+            total = {r: tuple(sum(x[i] for x in ms) for i in range(3)) for r, ms in parts.items()}
+            out[fold] = _lda(total, dim, hash_dim)[0]
+        else:
+            out[fold] = np.zeros((hash_dim, dim))
+    return out
+
+
 def pca_planes(rows: DataFrame, dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(axes, share of variance) over all rows."""
     m = moments(rows.select(F.lit("all").alias("role"), "z"), dim)["all"]

@@ -3,7 +3,8 @@
     python -m lacewing.plans.discovery --data DIR --embed-mode canonical
 
 DIR holds ``edges`` (graph_id, role, src, dst) and ``truth`` (graph_id, node),
-as ``generate`` writes them.
+as ``python -m lacewing.plans.generate --out DIR`` writes them. ``--load-model``
+measures a saved model instead of fitting one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from ..operators import generators, graphs, scoring, subgraphs, vectors
 from ..sources import collections as src
 
 
+#: Rounds in which ``generate`` replaces graphs that were not accepted.
+ROUNDS = 50
+
+
 @dataclass
 class Config:
     n_samples: int = 20
@@ -151,44 +156,74 @@ def evaluate(test: DataFrame, edges: DataFrame, truth: DataFrame, model: Model,
     return scoring.micro_jaccard(predicted, truth, ["bucket"]).orderBy(F.desc("jaccard"), "bucket")
 
 
-def discover(edges: DataFrame, truth: DataFrame, c: Config) -> tuple[Model, DataFrame]:
-    """The model fitted on the first 80 % of the graphs, and its measures on the rest."""
+def discover(edges: DataFrame, truth: DataFrame, c: Config, model: Model | None = None) -> tuple[Model, DataFrame]:
+    """The model fitted on the first 80 % of the graphs, unless one is given, and its measures on the rest."""
     split = src.ordered_split(edges, n_graphs=c.n_graphs)
     part = lambda name, role: edges.filter(F.col("role") == role).join(split.filter(F.col("split") == name), "graph_id", "left_semi").select("graph_id", "src", "dst")
     train_pos, train_neg, test_pos = part("train", "pos"), part("train", "neg"), part("test", "pos")
     n = split.filter("split = 'train'").count()
-    model = fit(embedded(train_pos, c), embedded(train_neg, c), c, n, n)
+    model = model or fit(embedded(train_pos, c), embedded(train_neg, c), c, n, n)
     held = truth.join(split.filter("split = 'test'"), "graph_id", "left_semi")
     return model, evaluate(embedded(test_pos, c), test_pos, held, model, c)
 
 
-def generate(spark: SparkSession, shape: str = "barbell", n_graphs: int = 1000, parent: int = 20, p: float = 0.1, size: int = 10, distort: float = -1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(edges by role, truth) of a synthetic collection with one planted motif a graph."""
-    parents = generators.connected_parents(spark, n_graphs, parent, p, seed)
+def _distorted(edges: DataFrame, truth: DataFrame, p: float, seed: int) -> DataFrame:
+    """The edges with each pair inside a planted motif flipped with probability p."""
+    pos = edges.filter("role = 'pos'")
+    inside = pos.join(truth.withColumnRenamed("node", "src"), ["graph_id", "src"], "left_semi").join(truth.withColumnRenamed("node", "dst"), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
+    rest = pos.select("graph_id", "src", "dst").exceptAll(inside)
+    changed = rest.union(generators.distort(inside, truth, p, seed)).select("graph_id", F.lit("pos").alias("role"), "src", "dst")
+    return changed.unionByName(edges.filter("role <> 'pos'").select("graph_id", "role", "src", "dst"))
+
+
+def generate(
+    spark: SparkSession, shape: str = "barbell", n_graphs: int = 1000, parent: int = 20, p: float = 0.1, size: int = 10, distort: float = -1.0, seed: int = 42, max_degree: int = 25, rewired: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(edges by role, truth) of a synthetic collection with one planted motif a graph.
+
+    Roles are pos and neg and, where ``rewired``, null, the planted graph with
+    swapped edges. A graph counts when each of its roles is connected and has
+    degrees below the bound; the others are made again from a new seed, until
+    all are there or ROUNDS have passed.
+    """
     motif = [(r.src, r.dst) for r in generators.motif_shape(spark, shape, size).collect()]
     n_motif = max(max(x) for x in motif) + 1
-    edges, truth = generators.plant(parents, motif, n_motif, seed=seed)
-    edges = cut(edges)
-    if distort >= 0:
-        pos = edges.filter("role = 'pos'")
-        inside = pos.join(truth.withColumnRenamed("node", "src"), ["graph_id", "src"], "left_semi").join(truth.withColumnRenamed("node", "dst"), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
-        rest = pos.select("graph_id", "src", "dst").exceptAll(inside)
-        changed = rest.union(generators.distort(inside, truth, distort, seed)).select("graph_id", F.lit("pos").alias("role"), "src", "dst")
-        edges = changed.unionByName(edges.filter("role = 'neg'").select("graph_id", "role", "src", "dst"))
-    return edges, truth
+    missing, kept, truths = spark.range(n_graphs).toDF("graph_id"), None, None
+    for step in range(ROUNDS):
+        own = seed + 7919 * step
+        parents = generators.connected_parents(spark, n_graphs, parent, p, own, max_degree, missing)
+        edges, truth = generators.plant(parents, motif, n_motif, seed=own)
+        edges = cut(edges)
+        if rewired:
+            null = generators.swap_null(edges.filter("role = 'pos'"), seed=own).select("graph_id", F.lit("null").alias("role"), "src", "dst")
+            edges = cut(edges.unionByName(null))
+        good = missing
+        for role in ("pos", "neg", "null") if rewired else ("pos", "neg"):
+            one = edges.filter(F.col("role") == role).select("graph_id", "src", "dst")
+            nodes = graphs.nodes_of(one)
+            good = good.join(generators.accepted(one, nodes, max_degree), "graph_id", "left_semi")
+        good = cut(good)
+        edges, truth = edges.join(good, "graph_id", "left_semi"), truth.join(good, "graph_id", "left_semi")
+        kept, truths = (edges, truth) if kept is None else (kept.unionByName(edges), truths.unionByName(truth))
+        missing = cut(missing.join(good, "graph_id", "left_anti"))
+        if not missing.limit(1).count():
+            return _distorted(kept, truths, distort, seed) if distort >= 0 else kept, truths
+    raise ValueError(f"{missing.count()} of {n_graphs} graphs were not accepted in {ROUNDS} rounds: raise p or max_degree")
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--data", required=True)
     parser.add_argument("--save-model")
+    parser.add_argument("--load-model")
     for f in fields(Config):
         flag = "--" + f.name.replace("_", "-")
         parser.add_argument(flag, action="store_true") if f.type == "bool" else parser.add_argument(flag, type={"int": int, "float": float}.get(f.type, str), default=f.default)
     args = vars(parser.parse_args(argv))
-    data, save = args.pop("data"), args.pop("save_model")
-    spark = SparkSession.builder.getOrCreate()
-    model, measures = discover(spark.read.parquet(f"{data}/edges"), spark.read.parquet(f"{data}/truth"), Config(**args))
+    data, save, load = args.pop("data"), args.pop("save_model"), args.pop("load_model")
+    spark, config = SparkSession.builder.getOrCreate(), Config(**args)
+    known = Model.load(spark, load, config.embed_mode != "canonical" and config.classifier() == "tree") if load else None
+    model, measures = discover(spark.read.parquet(f"{data}/edges"), spark.read.parquet(f"{data}/truth"), config, known)
     if save:
         model.save(save)
     measures.show(truncate=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ged, generators, graphs, pooling, scoring, subgraphs
+from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, scoring, subgraphs
 from ..sources import collections as src
 from . import sql
 
@@ -516,25 +516,14 @@ def g2_clique_table(spark, d):
 
 # -- edit distance
 
-_SOME = "few as (select graph_id from (select distinct graph_id from g2) order by graph_id limit 20)"
-
-
-@query(f"with {sql.G2}, {sql.sym('g2')}, {_SOME}, d as (select graph_id, a, count(*) d from s where graph_id in (select graph_id from few) group by all), c as (select x.graph_id a, y.graph_id b, x.a n, x.d, min(0.5 * abs(x.d - y.d)) m from d x join d y on x.graph_id <> y.graph_id group by all), t as (select a, b, sum(least(1 + d, m)) t from c group by all), n as (select graph_id, count(*) n from d group by 1) select t.a, t.b, round(cast(greatest(abs(p.n - q.n), t.t + u.t) as double), 4) ged, round(exp(-0.5 * cast(greatest(abs(p.n - q.n), t.t + u.t) as double)), 6) sim from t join t u on u.a = t.b and u.b = t.a join n p on p.graph_id = t.a join n q on q.graph_id = t.b where t.a < t.b")
-def hausdorff_ged_g2(spark, d):
-    lists = ged.degree_lists(src.event_week(spark, d)).orderBy("graph_id").limit(20)
-    a, b = lists.toDF("a", "x"), lists.toDF("b", "y")
-    g = ged.hausdorff(F.col("x"), F.col("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(g, 4).alias("ged"), F.round(ged.similarity(g), 6).alias("sim"))
-
-
 _ALL = """d as (select graph_id, a, count(*) d from s group by all), l as (select graph_id, list(d order by d) x from d group by 1), h as (select x, row_number() over (order by x) h from (select distinct x from l)), f as (select h, unnest(x) d from h),
 c as (select x.h a, y.h b, x.d, min(0.5 * abs(x.d - y.d)) m, count(distinct x.k) n from (select *, row_number() over (partition by h order by d) k from f) x join f y on true group by x.h, y.h, x.d, x.k), t as (select a, b, sum(least(1 + d, m)) t from c group by all),
 g as (select t.a, t.b, cast(greatest(abs(len(p.x) - len(q.x)), t.t + u.t) as double) g from t join t u on u.a = t.b and u.b = t.a join h p on p.h = t.a join h q on q.h = t.b), w as (select graph_id, h.h from l join h on h.x = l.x)"""
 
 
 @query(f"with {sql.G2}, {sql.sym('g2')}, {_ALL} select x.graph_id a, y.graph_id b, round(g.g, 4) ged, round(exp(-0.5 * g.g), 6) sim from g join w x on x.h = g.a join w y on y.h = g.b where x.graph_id < y.graph_id")
-def hausdorff_ged_all_g2(spark, d):
-    """Every pair of graphs; hausdorff_ged_g2 has the first 20 graphs, as its SQL says."""
+def hausdorff_ged_g2(spark, d):
+    """Every pair of graphs."""
     found = ged.hausdorff_distances(ged.degree_lists(src.event_week(spark, d)))
     return found.select("a", "b", F.round("ged", 4).alias("ged"), F.round(ged.similarity(F.col("ged")), 6).alias("sim"))
 
@@ -606,3 +595,123 @@ def swap_null_g2(spark, d):
 @query("select d.x dataset, h.x hash_dim, l.x level from (values ('star'), ('barbell'), ('clique')) d(x), (values (8), (16), (32)) h(x), (values (2), (3), (4)) l(x)")
 def grid_params(spark, d):
     return generators.parameter_grid(spark, {"dataset": ["star", "barbell", "clique"], "hash_dim": [8, 16, 32], "level": [2, 3, 4]}).select("dataset", F.col("hash_dim").cast("int").alias("hash_dim"), F.col("level").cast("int").alias("level"))
+
+
+# -- patterns of any shape
+
+PAW = [(0, 1), (1, 2), (0, 2), (2, 3)]  # a triangle with a tail
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')} select x.graph_id, count(*) n_mappings from s x join s y on y.graph_id = x.graph_id and y.a = x.b and y.b <> x.a join s z on z.graph_id = x.graph_id and z.a = y.b and z.b = x.a join s t on t.graph_id = x.graph_id and t.a = y.b and t.b <> x.a and t.b <> x.b group by 1")
+def g2_pattern_count_paw(spark, d):
+    return isomorphism.counts(src.event_week(spark, d), PAW)
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, h as (select distinct x.graph_id from s x join s y on y.graph_id = x.graph_id and y.a = x.b and y.b <> x.a join s z on z.graph_id = x.graph_id and z.a = y.b and z.b = x.a join s t on t.graph_id = x.graph_id and t.a = y.b and t.b <> x.a and t.b <> x.b) select graph_id, graph_id in (select graph_id from h) as found from (select distinct graph_id from g2)")
+def g2_pattern_found_paw(spark, d):
+    return isomorphism.found(src.event_week(spark, d), PAW)
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, n as (select count(distinct graph_id) n from g2), h as (select count(distinct x.graph_id) c from s x join s y on y.graph_id = x.graph_id and y.a = x.b and y.b <> x.a join s z on z.graph_id = x.graph_id and z.a = y.b and z.b <> x.a and z.b <> x.b) select n n_graphs, c n_hits, round(pow(c / (n + 0.001), 1 / (ln(n) + 1)), 6) freq from n, h")
+def g2_pattern_freq_path4(spark, d):
+    got = isomorphism.frequency(src.event_week(spark, d), [(0, 1), (1, 2), (2, 3)])
+    return got.select("n_graphs", "n_hits", F.round("freq", 6).alias("freq"))
+
+
+# -- neighbourhoods of single roots, labels, spotlight pairs
+
+
+_ROOTS2 = "r as (select graph_id, a node from (select graph_id, a, row_number() over (partition by graph_id order by a) rn from (select distinct graph_id, a from s)) where rn <= 2)"
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, {_ROOTS2}, b as (select graph_id, node root, node from r union select r.graph_id, r.node, s.b from r join s on s.graph_id = r.graph_id and s.a = r.node) select g2.graph_id, x.root, g2.src, g2.dst from g2 join b x on x.graph_id = g2.graph_id and x.node = g2.src join b y on y.graph_id = g2.graph_id and y.root = x.root and y.node = g2.dst")
+def g2_neighbourhood_edges(spark, d):
+    """Edges inside the ball of each graph's first two nodes, a ball at a time."""
+    e = src.event_week(spark, d)
+    roots = graphs.local_index(graphs.nodes_of(e)).filter("idx < 2")
+    return graphs.neighbourhood_edges(e, roots, 1)
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, d as (select graph_id, a node, count(*) d from s group by all) select graph_id, node, array_to_string([case when k = d then '1' else '0' end for k in range(8)], '') x from d")
+def g2_degree_one_hot(spark, d):
+    labels = graphs.degrees(src.event_week(spark, d)).withColumnRenamed("deg", "label")
+    return graphs.one_hot(labels, 8).select("graph_id", "node", F.array_join(F.transform("x", lambda v: v.cast("int").cast("string")), "").alias("x"))
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, d as (select graph_id, a, count(*) d from s group by all) select g2.graph_id, concat_ws('|', src, dst) node, concat_ws(',', least(cast(x.d as varchar), cast(y.d as varchar)), greatest(cast(x.d as varchar), cast(y.d as varchar))) as label from g2 join d x on x.graph_id = g2.graph_id and x.a = src join d y on y.graph_id = g2.graph_id and y.a = dst")
+def g2_line_graph_labels(spark, d):
+    e = src.event_week(spark, d)
+    return graphs.labelled_line_graph(e, graphs.degrees(e).withColumnRenamed("deg", "label"))[1]
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, d as (select graph_id, a, count(*) d from s group by all), f as (select graph_id, min(src || '|' || dst) e from g2 group by 1), p as (select g2.graph_id, src u, dst v from g2 join f on f.graph_id = g2.graph_id and f.e = src || '|' || dst), w as (select graph_id, u, v, u n from p union select graph_id, u, v, v from p union select p.graph_id, u, v, s.b from p join s on s.graph_id = p.graph_id and s.a in (p.u, p.v)) select w.graph_id, u, v, string_agg(n || ':' || d.d, ',' order by n) feats from w join d on d.graph_id = w.graph_id and d.a = w.n group by all")
+def g2_spotlight_pair_features(spark, d):
+    """Degrees of the nodes around the first edge of each graph."""
+    e = src.event_week(spark, d)
+    first = e.groupBy("graph_id").agg(F.min(F.struct(F.concat_ws("|", "src", "dst").alias("e"), "src", "dst")).alias("f")).select("graph_id", F.col("f.src").alias("u"), F.col("f.dst").alias("v"))
+    spot = graphs.nodes_of(e).select("graph_id", "node", F.col("node").alias("base"))
+    _, feats = pooling.pair_subgraphs(first, spot, e, graphs.degrees(e).withColumnRenamed("deg", "x"), 1)
+    return feats.select("graph_id", "u", "v", F.array_join(F.transform("feats", lambda f: F.concat_ws(":", f["node"], f["x"])), ",").alias("feats"))
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, d as (select graph_id, a node, count(*) d from s group by all), k as (select graph_id, node, d, row_number() over (partition by graph_id order by md5(concat_ws('|', 3, graph_id, node)), node) rn from d) select graph_id, node, cast(d as double) sigma from k where rn <= 2")
+def g2_sigma_random(spark, d):
+    rows = graphs.degrees(src.event_week(spark, d)).select("graph_id", "node", F.col("deg").cast("double").alias("sigma"))
+    return pooling.filter_random(rows, 2, 3)
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, d as (select graph_id, a node, count(*) d from s group by all), f as (select graph_id a, lead(graph_id) over (order by graph_id) b from (select distinct graph_id from g2) where graph_id % 100 = 0) select f.a, f.b, x.node u, y.node v, cast(x.d <> y.d as double) as cost from f join d x on x.graph_id = f.a join d y on y.graph_id = f.b")
+def ged_label_mismatch_g2(spark, d):
+    """Substitution costs between each user's first week and the next user's, by degree as label."""
+    e = src.event_week(spark, d)
+    weeks = src.numbered(e.select("graph_id").distinct().filter("graph_id % 100 = 0"), F.col("graph_id")).select("graph_id", "rn")
+    pairs = weeks.toDF("a", "rn").join(weeks.select(F.col("graph_id").alias("b"), (F.col("rn") - 1).alias("rn")), "rn")
+    return labelled_ged.mismatches(graphs.degrees(e).select("graph_id", "node", F.col("deg").alias("label")), pairs)
+
+
+# -- further measures and views
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, d as (select graph_id, a node, count(*) d from s group by all), p as (select 'deg' || d pattern, graph_id || '/' || node id from d), t as (select 'm' || (graph_id % 3) motif, graph_id || '/' || node id from d where node < 'm'), i as (select motif, pattern, count(*) n_inter from p join t using (id) group by all), z as (select i.*, (select count(*) from p where p.pattern = i.pattern) + (select count(*) from t where t.motif = i.motif) - n_inter n_union from i) select motif, pattern, n_inter, n_union, round(n_inter / n_union, 6) jaccard, rank from (select *, row_number() over (partition by motif order by n_inter / n_union desc, pattern)::int as rank from z) where rank <= 3")
+def g2_pattern_jaccard(spark, d):
+    """Degree classes as the patterns of an external miner, against nodes that begin with a to l as motifs."""
+    deg = graphs.degrees(src.event_week(spark, d)).withColumn("id", F.concat_ws("/", "graph_id", "node"))
+    truth = deg.filter("node < 'm'").select(F.concat(F.lit("m"), F.col("graph_id") % 3).alias("motif"), "id")
+    got = scoring.pattern_jaccard(deg.select(F.concat(F.lit("deg"), F.col("deg")).alias("pattern"), "id"), truth, 3)
+    return got.withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"with {sql.G2}, r as (select graph_id // 100 % 3 tr, graph_id % 3 te, count(*) m from g2 group by graph_id) select 'd' || tr train, round(avg(m) filter (te = 0), 6) d0, round(avg(m) filter (te = 1), 6) d1, round(avg(m) filter (te = 2), 6) d2 from r group by 1")
+def results_heat_map(spark, d):
+    """Mean edges a graph, by two classes of graphs as training and test sets."""
+    sizes = src.event_week(spark, d).groupBy("graph_id").agg(F.count("*").alias("m"))
+    runs = sizes.select(F.concat(F.lit("d"), (F.floor(F.col("graph_id") / 100) % 3).cast("string")).alias("train"), F.concat(F.lit("d"), (F.col("graph_id") % 3).cast("string")).alias("test"), "m")
+    got = results.heat_map(runs, ["d0", "d1", "d2"], "m")
+    return got.select("train", *[F.round(c, 6).alias(c) for c in ("d0", "d1", "d2")])
+
+
+@query(f"with {sql.G2}, r as (select graph_id % 10 k, count(*) m from g2 group by graph_id) select k, round(avg(m), 6) mean, round(stddev_pop(m), 6) std from r group by 1")
+def results_by_kept(spark, d):
+    sizes = src.event_week(spark, d).groupBy("graph_id").agg(F.count("*").alias("m")).withColumn("k", F.col("graph_id") % 10)
+    return results.by_kept(sizes, "k", "m").select("k", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"with {sql.G2}, r as (select graph_id, count(*) edges, count(distinct src) sources from g2 group by 1) select * from r")
+def results_key_values(spark, d):
+    """Key and value rows of each graph turned into a table."""
+    e = src.event_week(spark, d)
+    counts = e.groupBy("graph_id").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"))
+    long = counts.select("graph_id", F.explode(F.create_map(F.lit("edges"), F.col("edges"), F.lit("sources"), F.col("sources"))).alias("key", "value"))
+    return results.from_key_values(long, ["graph_id"], ["edges", "sources"])
+
+
+@query("select 'barbell' || x || '-d0.0' || i as name, case when x = '' then 1 else cast(substr(x, 3) as int) end as n_motifs from (values ('', 1), ('-n2', 2), ('-n10', 5)) v(x, i)")
+def results_motif_count(spark, d):
+    rows = spark.createDataFrame([("barbell-d0.01",), ("barbell-n2-d0.02",), ("barbell-n10-d0.05",)], "name string")
+    return rows.select("name", results.motif_count(F.col("name")).alias("n_motifs"))
+
+
+@query(f"with {sql.G2}, f as (select graph_id, row_number() over (order by graph_id) rn from (select distinct graph_id from g2)) select graph_id, case when rn <= 40 then 'train' else 'test' end as split from f where rn <= 50")
+def g2_split_head(spark, d):
+    """The ordered split of the first 50 graphs: the head limit is the feature."""
+    return src.ordered_split(src.event_week(spark, d), n_graphs=50)

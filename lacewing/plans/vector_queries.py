@@ -102,17 +102,10 @@ def v1_knn_score(spark, d):
     return vectors.knn_scores(v.filter("role = 'pos'"), v.filter("role = 'neg'"), 10).select("id", F.round("score", 5).alias("score"))
 
 
-@query(f"with {_V}, f as (select * from v where label = 3) select a.id i, b.id j, round(list_cosine_similarity(a.z, b.z), 5) sim from f a, f b where a.id < b.id")
+@query(f"with {_V} select a.id i, b.id j, round(list_cosine_similarity(a.z, b.z), 5) + 0.0 sim from v a, v b where a.id < b.id")
 def v1_cosine_matrix(spark, d):
-    f = _vectors(spark, d).filter("label = 3").select("id", "z")
-    a, b = f.toDF("i", "x"), f.toDF("j", "y")
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(vectors.cosine(F.col("x"), F.col("y")), 5).alias("sim"))
-
-
-@query()
-def v1_cosine_matrix_all(spark, d):
-    """Every pair of vectors; v1_cosine_matrix has label 3, as its SQL says."""
-    return vectors.cosine_pairs(_vectors(spark, d)).select("i", "j", F.round("sim", 5).alias("sim"))
+    """Every pair of vectors."""
+    return vectors.cosine_pairs(_vectors(spark, d)).select("i", "j", (F.round("sim", 5) + 0.0).alias("sim"))  # no negative zero
 
 
 @query(f"with {_DIST}, k as (select dd.id, dd.role, 1 / min(dist) f from dd join v on v.id = dd.id and v.role = 'pos' where dd.o <> dd.id group by all), x as (select a.id, a.f fp, b.f fn, (a.id % 7) / 7.0 s from k a join k b on a.id = b.id and a.role = 'pos' and b.role = 'neg') select round(avg(-s * exp(-0.5 * (fp - fn))) + 0.1 * avg(s * s), 5) loss from x")
@@ -178,16 +171,9 @@ def v1_status_spread(spark, d):
     return scoring.status_spread(x).select("is_motif", "n", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
 
 
-@query(f"with {_DIST.replace('row_number() over (partition by id order by dist)', 'row_number() over (partition by id order by dist, o)').replace('select id, dist,', 'select id, o, dist,')} select id, o other, rn::int as rank, round(dist, 5) dist from rk where id % 50 = 0 and rn in (1, 6, 11, 16)")
-def v1_nearest_view(spark, d):
-    """Neighbours 1, 6, 11 and 16 of some vectors, as a smoothness view shows them."""
-    v = _vectors(spark, d)
-    return vectors.nearest_rows(v.filter("id % 50 = 0"), v, 20, 5).select("id", "other", "rank", F.round("dist", 5).alias("dist"))
-
-
 @query(f"with {_DIST.replace('row_number() over (partition by id order by dist)', 'row_number() over (partition by id order by dist, o)').replace('select id, dist,', 'select id, o, dist,')} select id, o other, rn::int as rank, round(dist, 5) dist from rk where rn in (1, 6, 11, 16)")
-def v1_nearest_view_all(spark, d):
-    """Neighbours 1, 6, 11 and 16 of every vector; v1_nearest_view has every fiftieth, as its SQL says."""
+def v1_nearest_view(spark, d):
+    """Neighbours 1, 6, 11 and 16 of every vector, as a smoothness view shows them."""
     v = _vectors(spark, d)
     return vectors.nearest_rows(v, v, 20, 5).select("id", "other", "rank", F.round("dist", 5).alias("dist"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_int
+from ..functions.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,21 +68,46 @@ def load_graphs(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     return graphs_from_edges(spark.read.parquet(name), "graph_id", "src", "dst")
 
 
+def numbered(df: DataFrame, *order: Column, size: str | None = None) -> DataFrame:
+    """df with rn, each row's number from 1 in the order, and, with ``size``, the sum of that column over the rows before, as before.
+
+    Ranges of the order are numbered side by side; only one row a range is
+    ordered in a single task.
+    """
+    keys = {f"_k{i}": c for i, c in enumerate(order)}
+    placed = cut(df.select("*", *[c.alias(k) for k, c in keys.items()]).repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
+    amount = F.col(size) if size else F.lit(0)
+    first = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(amount).alias("_s"))
+    starts = totals.select("_p", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(first), F.lit(0)).alias("_s"))
+    within = Window.partitionBy("_p").orderBy(*keys)
+    out = placed.join(F.broadcast(starts), "_p").withColumn("rn", F.row_number().over(within) + F.col("_n"))  # a row a range
+    if size:
+        out = out.withColumn("before", F.col("_s") + F.coalesce(F.sum(amount).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return out.drop("_p", "_n", "_s", *keys)
+
+
+def read_folds(spark: SparkSession, path: str) -> DataFrame:
+    """graph_id, fold from index files ``test_idx-<fold>.txt`` under the path, one id a line."""
+    lines = spark.read.text(f"{path}/test_idx-*.txt").select("value", F.input_file_name().alias("f"))
+    fold = F.regexp_extract("f", r"test_idx-(\d+)\.txt$", 1).cast("int")
+    return lines.filter(F.trim("value") != "").select(F.trim("value").cast("long").alias("graph_id"), fold.alias("fold"))
+
+
 def ordered_split(graphs: DataFrame, share: float = 0.8, lexicographic: bool = False, n_graphs: int = 0) -> DataFrame:
     """graph_id, split: the first floor(share * n) graphs train, after an optional head limit."""
     order = F.col("graph_id").cast("string") if lexicographic else F.col("graph_id")
     ids = graphs.select("graph_id").distinct()
     if n_graphs:
         ids = ids.orderBy(order).limit(n_graphs)
-    # a row a graph; the order is part of the definition
-    ranked = ids.withColumn("rn", F.row_number().over(Window.orderBy(order)))
+    ranked = numbered(ids, order)
     return ranked.withColumn("split", F.when(F.col("rn") <= F.floor(F.lit(share) * ids.count()), "train").otherwise("test")).select("graph_id", "split")
 
 
 def random_split(graphs: DataFrame, share: float = 0.8) -> DataFrame:
     """graph_id, split: floor(share * n) graphs with the smallest hash of their id train."""
     ids = graphs.select("graph_id").distinct()
-    ranked = ids.withColumn("rn", F.row_number().over(Window.orderBy(F.md5(F.col("graph_id").cast("string")), "graph_id")))
+    ranked = numbered(ids, F.md5(F.col("graph_id").cast("string")), F.col("graph_id"))
     return ranked.withColumn("split", F.when(F.col("rn") <= F.floor(F.lit(share) * ids.count()), "train").otherwise("test")).select("graph_id", "split")
 
 
@@ -95,15 +121,14 @@ def validation_slice(folds: DataFrame, fold: int, ninth: int = 9) -> DataFrame:
     """graph_id, role: a fold's test ids, and the last n // 9 of the others for validation."""
     rest = folds.filter(F.col("fold") != fold)
     n = rest.count() // ninth
-    back = rest.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("graph_id"))))
+    back = numbered(rest, -F.col("graph_id"))
     return back.select("graph_id", F.when(F.col("rn") <= n, "val").otherwise("train").alias("role")).unionByName(folds.filter(F.col("fold") == fold).select("graph_id", F.lit("test").alias("role")))
 
 
 def node_offsets(nodes: DataFrame) -> DataFrame:
     """graph_id, n_nodes, node_offset: nodes of all graphs before it."""
     sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
-    w = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("node_offset", F.coalesce(F.sum("n_nodes").over(w), F.lit(0)).cast("long"))
+    return numbered(sizes, F.col("graph_id"), size="n_nodes").select("graph_id", "n_nodes", F.col("before").cast("long").alias("node_offset"))
 
 
 def mfinder_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:

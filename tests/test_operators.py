@@ -179,7 +179,7 @@ def test_swaps_keep_degrees(spark):
 
 
 def test_planted_motif_is_found(spark):
-    parents = generators.connected_parents(spark, 10, 12, 0.2, tries=20)
+    parents = generators.connected_parents(spark, 10, 12, 0.2)
     motif = [(r.src, r.dst) for r in generators.motif_shape(spark, "clique", 5).collect()]
     pairs, truth = generators.plant(parents, motif, 5)
     pos = pairs.filter("role = 'pos'").select("graph_id", "src", "dst").distinct()
