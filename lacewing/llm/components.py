@@ -9,20 +9,20 @@ from .skew import join_unique
 from .store import Workspace
 
 
-def _large_star(edges: DataFrame, ws: Workspace, tag: str) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are tied to the smallest of it and its neighbours.
 
     Edges are (a, b) with a > b, so the node is b, and only the smaller
     neighbours of b matter. A node with very many larger ones is a heavy key.
     """
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
-    return join_unique(edges, least, ["b"], ws, f"{tag}-large", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+    return join_unique(edges, least, ["b"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, ws: Workspace, tag: str) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of these."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = join_unique(edges, least, ["a"], ws, f"{tag}-small").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_unique(edges, least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -46,8 +46,8 @@ def connected_components(edges: DataFrame, workspace: Workspace, tag: str) -> Da
     while not _are_stars(edges):
         step += 1
         names = f"{tag}-{step}l", f"{tag}-{step}"
-        large = workspace.keep(_large_star(edges, workspace, tag), names[0])
-        edges = workspace.keep(_small_star(large, workspace, tag), names[1])
-        workspace.drop(names[0], f"{tag}-{step - 1}", f"heavy-{tag}-large", f"heavy-{tag}-small")
+        large = workspace.keep(_large_star(edges), names[0])
+        edges = workspace.keep(_small_star(large), names[1])
+        workspace.drop(names[0], f"{tag}-{step - 1}")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

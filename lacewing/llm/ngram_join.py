@@ -550,7 +550,7 @@ def _cross_blocks(members: DataFrame, links: DataFrame, threshold: Fraction, ws:
         labelled = ws.keep(labelled, f"labelled{step}")
         if step == 0:
             heads = _blocked(labelled.filter("sid = label").drop("block", "blocks"), "block")
-            links = ws.keep(links.union(_block_links(heads, threshold)), "links-heads")
+            links = ws.keep(_stars(roots).union(_block_links(heads, threshold)), "links-heads")
     counts = labelled.groupBy("comp", "label").agg(F.count("*").alias("c"))
     most = counts.groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     outside = labelled.join(most, "comp").filter("label <> top").drop("block", "blocks", "top", "labels")
@@ -561,7 +561,12 @@ def _cross_blocks(members: DataFrame, links: DataFrame, threshold: Fraction, ws:
     per_group = labelled.join(chunks, "comp").groupBy("comp").agg(F.max("blocks").alias("blocks"))
     loose = outside.join(per_group, "comp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["comp", (F.col("chunk") * F.lit(1 << 15) + F.col("block")).cast("int").alias("block"), "sid", "label", "tokens"]
-    return links.union(_block_links(blocks.select(*columns).union(loose.select(*columns)), threshold))
+    return _stars(roots).union(_block_links(blocks.select(*columns).union(loose.select(*columns)), threshold))
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """(a, b): the fewest edges that make these components."""
+    return roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), workspace: Workspace | None = None) -> DataFrame:
@@ -594,9 +599,9 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     named = distinct.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = ws.keep(named, "named")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = ws.keep(join_unique(named, ids, ["root"], ws, "roots").select("sid", "component_id"), "by-set")
-    rows = join_unique(sets.drop("bitmap"), by_set, ["sid"], ws, "sets", "left")
-    ws.drop_all_but("sets", "by-set", "heavy-sets")
+    by_set = ws.keep(join_unique(named, ids, ["root"]).select("sid", "component_id"), "by-set")
+    rows = join_unique(sets.drop("bitmap"), by_set, ["sid"], "left")
+    ws.drop_all_but("sets", "by-set")
     return rows.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

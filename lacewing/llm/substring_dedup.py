@@ -398,16 +398,16 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     # of a hot minimizer each different window is one row, routed by its own digest
     apart = windows.groupBy("window").agg(F.min("ord").alias("ord"), F.max("words").alias("words")).select(F.col("window").alias("gram"), F.lit(None).cast("long").alias("seg"), "ord", "words")
     least = ws.keep(_searched(cold.unionByName(apart), shards), "least")
-    by_window = join_unique(windows.drop("words"), least.filter("seg is null").select(F.col("gram").alias("window"), F.get("least", F.lit(0)).alias("m")), ["window"], ws, "windows")
+    by_window = join_unique(windows.drop("words"), least.filter("seg is null").select(F.col("gram").alias("window"), F.get("least", F.lit(0)).alias("m")), ["window"])
     hot_least = by_window.groupBy("gram", "seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("least"))
-    found = join_unique(segments.drop("words"), least.filter("seg is not null").unionByName(hot_least), ["gram", "seg"], ws, "segments")
+    found = join_unique(segments.drop("words"), least.filter("seg is not null").unionByName(hot_least), ["gram", "seg"])
     repeats = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("ord"), F.col("start") + i.cast("int"))), lambda x: x.isNotNull())
     found = found.select("tid", "ord", repeats.alias("at")).filter(F.size("at") > 0)
     gone = found.groupBy("tid").agg(F.flatten(F.collect_list("at")).alias("at")).join(first, "tid")
     changed = ws.keep(_removed(docs, ws.keep(gone, "gone")), "changed")
     known = ws.keep(first.select("tid", F.col("ord").alias("first")).join(changed, "tid", "left"), "known")
-    rows = join_unique(base, known, ["tid"], ws, "copies", "left")
-    ws.drop_all_but("base", "known", "heavy-copies")
+    rows = join_unique(base, known, ["tid"], "left")
+    ws.drop_all_but("base", "known")
     copy = F.col("ord") > F.col("first")
     return rows.select(
         "doc_id", "n_words",

@@ -194,5 +194,5 @@ def test_heavy_keys_join_like_others(spark):
     rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) as k", "id as v")
     lookup = spark.range(0, 6000, 2).selectExpr("id as k", "id * 10 as w").union(spark.createDataFrame([(7, 70)], "k long, w long"))
     for how in ("inner", "left"):
-        got = join_unique(rows, lookup, ["k"], Workspace(spark, "t"), how, how).select("k", "v", "w").collect()
+        got = join_unique(rows, lookup, ["k"], how).select("k", "v", "w").collect()
         assert multiset(map(tuple, got)) == multiset(map(tuple, rows.join(lookup, "k", how).select("k", "v", "w").collect()))
