@@ -54,8 +54,13 @@ def minimizers(words: np.ndarray) -> np.ndarray:
     if len(words) < WINDOW:
         return np.zeros(0, np.uint64)
     g = ngrams(words, GRAM)
-    width = WINDOW - GRAM + 1
-    return np.lib.stride_tricks.sliding_window_view(g, width).min(1)
+    width, span = WINDOW - GRAM + 1, 1
+    while span < width:
+        # the least of twice as many, or of the width, from two that overlap
+        step = min(span, width - span)
+        g = np.minimum(g[:-step], g[step:])
+        span += step
+    return g
 
 
 class BitVector:
@@ -76,7 +81,7 @@ class BitVector:
 
 
 class WaveletMatrix:
-    """Rank of any symbol in a sequence, a bit vector for each bit of the symbols."""
+    """Ranks of any symbol in a sequence and least symbols of its ranges, a bit vector for each bit of the symbols."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.levels = []
@@ -85,16 +90,12 @@ class WaveletMatrix:
             self.levels.append((b, BitVector(bit)))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Occurrences of each symbol among the first i."""
-        start, end = np.zeros(len(i), np.int64), i
+    def places(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Where the first i places lead in the order by symbol below the last level: a symbol's own start and its rank."""
         for b, v in self.levels:
-            one = ((symbol >> b) & 1).astype(bool)
-            s, e = v.ones(start), v.ones(end)
-            start = np.where(one, v.zeros + s, start - s)
-            end = np.where(one, v.zeros + e, end - e)
-        return end - start
-
+            ones = v.ones(i)
+            i = np.where((symbol >> b) & 1 == 1, v.zeros + ones, i - ones)
+        return i
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The smallest symbol of each non-empty range."""
@@ -134,11 +135,13 @@ class FMIndex:
         self.matrix = WaveletMatrix(text[order - 1].astype(np.int32), max(1, (top - 1).bit_length()))
         self.owners = WaveletMatrix(owner[order].astype(np.int32), max(1, int(owner.max(initial=0)).bit_length()))
         self.first = np.searchsorted(np.sort(text), np.arange(top + 1))
+        # a symbol's start in the matrix is the same for all its ranks
+        self.shift = self.first[:top] - self.matrix.places(np.arange(top), np.zeros(top, np.int64))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns extended by one symbol to the left."""
-        both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-        return self.first[symbol] + both[: len(low)], self.first[symbol] + both[len(low) :]
+        both = self.matrix.places(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return self.shift[symbol] + both[: len(low)], self.shift[symbol] + both[len(low) :]
 
     def matches(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(matched length, low, high) of the pattern of up to ``length`` symbols before each end.
@@ -191,10 +194,12 @@ def smallest_documents(words: list[np.ndarray], docs: np.ndarray) -> list[np.nda
     return np.split(least, cut)
 
 
-def _documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def _documents(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(index, sequence key, word hashes) of each text; the keys of many texts are made at once."""
     for at, words, offsets in word_hashes(column, lower=False):
-        for i in range(len(offsets) - 1):
-            yield at + i, words[offsets[i] : offsets[i + 1]]
+        keys = range_keys(words, offsets[:-1], offsets[1:]).tolist()
+        for i, key in enumerate(keys):
+            yield at + i, key, words[offsets[i] : offsets[i + 1]]
 
 
 def _joined(text: str | None) -> list[bytes]:
@@ -207,8 +212,8 @@ def _base(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, key, sha = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
-            for i, words in _documents(b.column(1)):
-                n[i], key[i] = len(words), sequence_key(words)
+            for i, tid, words in _documents(b.column(1)):
+                n[i], key[i] = len(words), tid
                 sha.append(hashlib.sha256(b" ".join(_joined(b.column(1)[i].as_py()))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array(key), pa.array(sha, pa.string())], names=["doc_id", "ord", "tkey", "n_words", "tid", "sha"])
 
@@ -236,8 +241,8 @@ def _repeated_minimizers(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.where(known, t, g)), pa.array(g), pa.array(t), pa.array(known)], names=["key", "gram", "tid", "known"])
 
         for b in batches:
-            for _, words in _documents(b.column(0)):
-                if len(words) >= WINDOW and (tid := sequence_key(words)) not in seen:
+            for _, tid, words in _documents(b.column(0)):
+                if len(words) >= WINDOW and tid not in seen:
                     seen.add(tid)
                     grams.append(signed(np.unique(minimizers(words))))
                     tids.append(np.full(len(grams[-1]), tid, np.int64))
@@ -296,10 +301,10 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             tids, ords = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[] for _ in range(6)]
-            for i, words in _documents(b.column(3)):
-                if tids[i] in seen or sequence_key(words) != tids[i]:
+            for i, tid, words in _documents(b.column(3)):
+                if tid in seen or tid != tids[i]:
                     continue
-                seen.add(tids[i])
+                seen.add(tid)
                 m = minimizers(words)
                 grams = np.sort(b.column(2)[i].values.to_numpy()).view(np.uint64)
                 grams.sort()
@@ -425,10 +430,10 @@ def _removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
         for b in batches:
             tids = b.column(0).to_pylist()
             out: list[list] = [[], [], []]
-            for i, hashes in _documents(b.column(2)):
-                if tids[i] in seen or sequence_key(hashes) != tids[i]:
+            for i, tid, hashes in _documents(b.column(2)):
+                if tid in seen or tid != tids[i]:
                     continue
-                seen.add(tids[i])
+                seen.add(tid)
                 edge = np.zeros(len(hashes) + 1, np.int64)
                 at = b.column(1)[i].values.to_numpy()
                 np.add.at(edge, at, 1)
