@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, linededup, ngram_join, quality, secrets, sharding, substring_dedup, token_store
+from . import bpe, collocations, decontaminate, filter_audit, hmm, licenses, linededup, ngram_join, quality, secrets, sharding, substring_dedup, token_store
 from .store import Workspace
 
 SHARDS = 40
@@ -71,6 +71,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(manifest)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
@@ -82,6 +94,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op11_license_scan": op11_license_scan,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_collocations": op13_collocations,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -171,3 +186,57 @@ m as (select doc_id, least(doc_id, min(other)) m from reach group by doc_id)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, coalesce(m.m, d.doc_id) component_id
 from d left join n using (doc_id) left join m using (doc_id)
 """
+
+ORACLE_SQL["op12_filter_audit"] = f"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') text, {_WORDS} w, min(doc_id) over (partition by coalesce(text, '')) f from documents),
+lab as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by doc_id),
+m as (select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic, [
+        len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text),
+        regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > f, false)] fails
+      from d left join lab using (doc_id)),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) x, unnest([1, 2, 3, 4, 5]) i),
+p as (select a.x || b.x || c.x || d.x || e.x filter_order, [a.i, b.i, c.i, d.i, e.i] o from l a, l b, l c, l d, l e
+      where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select filter_order, step, o[step] own, o[1:step - 1] before from p, (select unnest([1, 2, 3, 4, 5]) step)),
+g as (select part, fails, count(*) n, sum(good) good, sum(toxic) toxic from m group by all),
+x as (select part, filter_order, step, own, n, good, toxic, fails[own] bad, len(list_filter(before, lambda j: fails[j])) > 0 gone, len(list_filter(fails, lambda v: v)) = 1 alone from g, s),
+r as (select part, filter_order, step, own, sum(case when not bad and not gone then n else 0 end) kept, sum(case when bad and not gone then n else 0 end) removed,
+        sum(case when bad and gone then n else 0 end) redundant, sum(case when bad and alone then n else 0 end) unique_fails,
+        sum(case when bad and not gone then good else 0 end) good_lost, sum(case when bad and not gone then toxic else 0 end) toxic_lost
+      from x group by all)
+select part, filter_order, cast(step as int) step, cast(kept as bigint) kept, cast(removed as bigint) removed, cast(redundant as bigint) redundant,
+       cast(unique_fails as bigint) unique_fails, cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost,
+       cast(sum(removed) over (partition by part, own) as bigint) shapley from r
+"""
+
+ORACLE_SQL["op13_collocations"] = f"""
+with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p),
+n as (select lang, sum(len(w)) n from w group by lang having sum(len(w)) > 0),
+i as (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, (select unnest([1, 2, 3, 4]) k) where len(w) >= k),
+f as (select lang, k, list_slice(w, i, i + k - 1) p, count(*) f from i group by 1, 2, 3 having count(*) >= 30),
+cut as (select lang, k, p, f a, unnest(range(1, k)) c from f where k > 1),
+s as (select cut.*, x.f l, y.f r, (2000000::hugeint * a) // (x.f + y.f) score
+      from cut join f x on x.lang = cut.lang and x.p = list_slice(cut.p, 1, c) join f y on y.lang = cut.lang and y.p = list_slice(cut.p, c + 1, cut.k)),
+b as (select lang, p, a, min({{'score': score, 'c': c, 'l': l, 'r': r}}) b from s group by all),
+h as (select lang, f, p, k, unnest(range(2, k)) j from f where k > 2),
+sub as (select lang, f, j, p, unnest(range(1, k - j + 2)) i from h),
+m as (select lang, list_slice(p, i, i + j - 1) p, max(f) f from sub group by 1, 2),
+k as (select b.lang, array_to_string(b.p, ' ') phrase, a, b.b.l l, b.b.r r, b.b.score score from b left join m on m.lang = b.lang and m.p = b.p where m.f is null or 100 * m.f < 80 * a),
+t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from k)
+select lang, rank, phrase, cast(a as bigint) a, cast(l as bigint) l, cast(r as bigint) r, cast(n as bigint) n, cast(score as bigint) score from t join n using (lang) where rank <= 2000
+"""
+
+_TEMPLATES = ", ".join(f"({n}, '{t.label}', {t.base}, {t.words}, {t.key.split()}, {t.key_at})" for n, t in enumerate(licenses.TEMPLATES))
+ORACLE_SQL["op11_license_scan"] = f"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+t(t, label, base, words, key, key_at) as (values {_TEMPLATES}),
+i as (select r, w, unnest(range(1, len(w) + 1)) i from d),
+h as (select r, t, label, base, words, i, w, i - key_at o from i join t on w[i] = key[1] and list_slice(w, i, i + len(key) - 1) = key),
+m as (select r, label, base, i - 1 place, len(words) size, len(list_filter(range(0, len(words)), lambda j: o + j >= 1 and w[o + j] = words[j + 1])) matched from h),
+f as (select * from m where base or 2 * matched >= size),
+g as (select r, count(*) filter (base) n_base, min(place) filter (base) first_word, max(place) filter (base) last_word,
+        coalesce(string_agg(distinct label, ',' order by label) filter (base), '') base_labels, string_agg(distinct label, ',' order by label) labels, max(matched / size) score from f group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as bigint) n_base, first_word, last_word,
+       coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0.0) score from d left join g using (r)
+"""
