@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert cells(queries.QUERIES[name](spark, SF).toPandas()) == cells(con.execute(queries.ORACLE_SQL[name]).df())
 
