@@ -246,11 +246,22 @@ def frequency_loss(rows: DataFrame, beta: float, lam: float) -> DataFrame:
     return rows.agg((F.avg(-F.col("s") * F.exp(-beta * (F.col("f_pos") - F.col("f_neg")))) + lam * F.avg(F.col("s") * F.col("s"))).alias("loss"))
 
 
-def reconstruction_loss(pairs: DataFrame, first: int = 20) -> DataFrame:
-    """loss: mean square of similarity less kernel over each level's first pairs, averaged over levels."""
-    w = Window.partitionBy("level").orderBy("a", "b")
-    kept = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= first)
-    return kept.groupBy("level").agg(F.avg(F.pow(F.col("sim") - F.col("kernel"), F.lit(2.0))).alias("l")).agg(F.avg("l").alias("loss"))
+def first_pairs(rows: DataFrame, level: str, first: int = 20) -> DataFrame:
+    """level, a, b: each level's first pairs a < b of ids, in order.
+
+    They lie among the level's first ids, one more than pairs are wanted, so
+    no other rows meet.
+    """
+    w = Window.partitionBy("level").orderBy("id")
+    ids = cut(rows.select(F.col(level).alias("level"), "id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first + 1).drop("_r"))
+    pairs = ids.toDF("level", "a").join(ids.toDF("level", "b"), "level").filter("a < b")
+    order = Window.partitionBy("level").orderBy("a", "b")
+    return pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= first).drop("_r")
+
+
+def reconstruction_loss(pairs: DataFrame) -> DataFrame:
+    """loss: mean square of similarity less kernel over each level's pairs, averaged over levels."""
+    return pairs.groupBy("level").agg(F.avg(F.pow(F.col("sim") - F.col("kernel"), F.lit(2.0))).alias("l")).agg(F.avg("l").alias("loss"))
 
 
 def random_planes(n: int, dim: int, seed: int = 0) -> list[list[float]]:
@@ -271,35 +282,46 @@ def wasserstein(a: np.ndarray, b: np.ndarray) -> float:
     return assignment(cost)[1] / n
 
 
-def wwl_kernel(sets: DataFrame, lam: float = 1.0) -> DataFrame:
-    """i, j, kernel: exp(-lam * transport cost) over pairs i <= j of rows (id, rounds), rounds being label lists.
+def label_shares(sets: DataFrame, by: list[str]) -> DataFrame:
+    """by, round, label, share: how much of a set's nodes have a label in a round; ``rounds`` holds the nodes' labels of each round."""
+    each = sets.select(*by, F.posexplode("rounds").alias("round", "_l")).select(*by, "round", F.size("_l").alias("_n"), F.explode("_l").alias("label"))
+    return each.groupBy(*by, "round", "label").agg((F.count("*") / F.first("_n")).alias("share"))
 
-    For small collections: the number of pairs is the square of the rows.
-    """
-    from pyspark.sql import types as T
 
-    def kernel(r1, r2):
-        a, b = (np.array([list(x) for x in r]).T for r in (r1, r2))
-        return math.exp(-lam * wasserstein(a, b))
+def wwl_kernel(sets: DataFrame, lam: float = 1.0, within: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, kernel: exp(-lam * transport cost) over pairs i <= j of rows (id, rounds) that have a label in common.
 
-    k = F.udf(kernel, T.DoubleType())
-    a, b = sets.select(F.col("id").alias("i"), F.col("rounds").alias("x")), sets.select(F.col("id").alias("j"), F.col("rounds").alias("y"))
-    return a.join(b, F.col("i") <= F.col("j")).select("i", "j", k("x", "y").alias("kernel"))
+    A pair without one has the kernel exp(-lam) and isn't listed. With
+    ``within``, only pairs with equal values in those columns are. A node's
+    label names those of the rounds before, so the share of rounds in which two
+    nodes differ is a distance in a tree, and the cheapest transport moves in
+    each round what the two sets don't share: the cost is one less the common
+    share of labels, averaged over rounds. That takes a join on labels, not a
+    look at every pair.
+    """
+    keys = list(within)
+    rounds = sets.select(F.size("rounds").alias("n")).head(1)
+    n = rounds[0].n if rounds else 1
+    shares = label_shares(sets, [*keys, "id"])
+    a, b = shares.withColumnsRenamed({"id": "i", "share": "_a"}), shares.withColumnsRenamed({"id": "j", "share": "_b"})
+    met = a.join(b, [*keys, "round", "label"]).filter("i <= j")
+    common = met.groupBy(*keys, "i", "j").agg(F.sum(F.least("_a", "_b")).alias("_c"))
+    return common.select(*keys, "i", "j", F.exp(-F.lit(lam) * (1 - F.col("_c") / n)).alias("kernel"))
 
 
 def wwl_classes(labelled: DataFrame, lam: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """((graph_id, nodes, i), (i, j, kernel)): the class of each set, and the kernel of each class with every class.
+    """((graph_id, nodes, i), (i, j, n_i, n_j, kernel)): the class of each set, and the kernel of classes i <= j that share a label.
 
-    Sets whose nodes have the same labels in all rounds, in any order, are of
-    one class, since their kernels with any set are equal.
+    Sets whose nodes have the same labels in the last round, and so in all, in
+    any order, are of one class, since their kernels with any set are equal. A
+    class is named by the MD5 of those labels; n_i and n_j are its sets.
     """
-    by_node = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.transform("rounds", lambda r: F.get(r, i))))
-    keyed = labelled.select("graph_id", "nodes", by_node.alias("by_node")).withColumn("id", F.xxhash64("by_node"))
-    rounds = F.transform(F.sequence(F.lit(0), F.size(F.get("by_node", F.lit(0))) - 1), lambda t: F.transform("by_node", lambda x: F.get(x, t)))
-    classes = cut(keyed.groupBy("id").agg(F.first("by_node").alias("by_node")).select("id", rounds.alias("rounds")))
-    half = wwl_kernel(classes, lam)
-    kernel = half.union(half.filter("i <> j").select("j", "i", "kernel"))
-    return keyed.select("graph_id", "nodes", F.col("id").alias("i")), kernel
+    last = F.array_join(F.sort_array(F.element_at("rounds", -1)), ",")
+    keyed = cut(labelled.select("graph_id", "nodes", F.md5(last).alias("i"), "rounds"))
+    classes = cut(keyed.groupBy(F.col("i").alias("id")).agg(F.first("rounds").alias("rounds"), F.count("*").alias("n")))
+    n_i, n_j = classes.select(F.col("id").alias("i"), F.col("n").alias("n_i")), classes.select(F.col("id").alias("j"), F.col("n").alias("n_j"))
+    kernel = wwl_kernel(classes.select("id", "rounds"), lam).join(n_i, "i").join(n_j, "j")
+    return keyed.select("graph_id", "nodes", "i"), kernel.select("i", "j", "n_i", "n_j", "kernel")
 
 
 def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, every: int = 1) -> DataFrame:

@@ -168,14 +168,7 @@ def g2_struct_vec_k4(spark, d):
     return found.select("graph_id", _names().alias("nodes"), text.alias("vec"))
 
 
-def _wl_sql(iterations: int) -> str:
-    parts = ["l0 as (select graph_id, nodes, a, cast(d as varchar) l from deg)"]
-    for i in range(iterations):
-        parts.append(f"l{i + 1} as (select x.graph_id, x.nodes, x.a, md5(x.l || '|' || string_agg(y.l, ',' order by y.l)) l from l{i} x join ind on ind.graph_id = x.graph_id and ind.nodes = x.nodes and ind.a = x.a join l{i} y on y.graph_id = x.graph_id and y.nodes = x.nodes and y.a = ind.b group by x.graph_id, x.nodes, x.a, x.l)")
-    return ", ".join(parts) + ", al as (" + " union all ".join(f"select * from l{i}" for i in range(iterations + 1)) + ")"
-
-
-@query(f"with {_S2}, {sql.profile('k3')}, {_wl_sql(4)}, b as (select graph_id, nodes, cast('0x' || substr(md5(l), 1, 8) as bigint) % 32 b, count(*) n from al group by all) select k3.graph_id, array_to_string(k3.nodes, ',') nodes, string_agg(coalesce(n, 0)::varchar, ',' order by i) vec from k3 cross join range(32) r(i) left join b on b.graph_id = k3.graph_id and b.nodes = k3.nodes and b.b = i group by all")
+@query(f"with {_S2}, {sql.profile('k3')}, {sql.wl_rounds(4)}, b as (select graph_id, nodes, cast('0x' || substr(md5(l), 1, 8) as bigint) % 32 b, count(*) n from al group by all) select k3.graph_id, array_to_string(k3.nodes, ',') nodes, string_agg(coalesce(n, 0)::varchar, ',' order by i) vec from k3 cross join range(32) r(i) left join b on b.graph_id = k3.graph_id and b.nodes = k3.nodes and b.b = i group by all")
 def g2_wl_hist(spark, d):
     e = src.event_week(spark, d)
     labelled = subgraphs.wl_labels(subgraphs.induced(subgraphs.enumerate_subgraphs(e, 3), e), None, 4)

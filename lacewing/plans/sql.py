@@ -33,6 +33,14 @@ tr as (select x.graph_id, x.nodes, x.a, count(*) // 2 t from ind x join ind y on
 prof as (select deg.graph_id, deg.nodes, deg.a, d, coalesce(t, 0) t from deg left join tr on deg.graph_id = tr.graph_id and deg.nodes = tr.nodes and deg.a = tr.a)"""
 
 
+def wl_rounds(iterations: int) -> str:
+    """l0, l1, ... (graph_id, nodes, a, l): labels after each round, from induced degrees; al: all of them by round r; needs ind and deg."""
+    parts = ["l0 as (select graph_id, nodes, a, cast(d as varchar) l from deg)"]
+    for i in range(iterations):
+        parts.append(f"l{i + 1} as (select x.graph_id, x.nodes, x.a, md5(x.l || '|' || string_agg(y.l, ',' order by y.l)) l from l{i} x join ind on ind.graph_id = x.graph_id and ind.nodes = x.nodes and ind.a = x.a join l{i} y on y.graph_id = x.graph_id and y.nodes = x.nodes and y.a = ind.b group by x.graph_id, x.nodes, x.a, x.l)")
+    return ", ".join(parts) + ", al as (" + " union all ".join(f"select *, {i} r from l{i}" for i in range(iterations + 1)) + ")"
+
+
 CERT = "cert as (select graph_id, nodes, string_agg(d || ':' || t, ',' order by d, t) cert from prof group by all)"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classification, graphs, results, scoring, subgraphs, vectors
 from ..sources import collections as src
+from . import sql
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -121,7 +122,9 @@ def v1_freq_loss(spark, d):
 @query(f"with {_V}, p as (select a.label level, a.id a, b.id b, list_cosine_similarity(a.z, b.z) sim, 1.0 / (1 + abs(a.id - b.id)) kernel from v a join v b on a.label = b.label and a.id < b.id), r as (select *, row_number() over (partition by level order by a, b) rn from p) select round(avg(l), 6) loss from (select level, avg((sim - kernel) ** 2) l from r where rn <= 20 group by 1)")
 def v1_reconstruction_loss(spark, d):
     v = _vectors(spark, d).select("label", "id", "z")
-    pairs = v.toDF("level", "a", "x").join(v.toDF("level", "b", "y"), "level").filter("a < b")
+    chosen = vectors.first_pairs(v, "label")
+    x, y = v.select(F.col("id").alias("a"), F.col("z").alias("x")), v.select(F.col("id").alias("b"), F.col("z").alias("y"))
+    pairs = chosen.join(x, "a").join(y, "b")
     pairs = pairs.select("level", "a", "b", vectors.cosine(F.col("x"), F.col("y")).alias("sim"), (1.0 / (1 + F.abs(F.col("a") - F.col("b")))).alias("kernel"))
     return vectors.reconstruction_loss(pairs).select(F.round("loss", 6).alias("loss"))
 
@@ -178,13 +181,31 @@ def v1_nearest_view(spark, d):
     return vectors.nearest_rows(v, v, 20, 5).select("id", "other", "rank", F.round("dist", 5).alias("dist"))
 
 
-@query()
-def g2_wwl_kernel(spark, d):
-    """Kernel of label sets: every three-node set with its class i of equal label sets, and that class's kernel with each class j."""
+def _wwl(spark, d):
     e = src.event_week(spark, d)
-    labelled = subgraphs.wl_labels(subgraphs.induced(subgraphs.enumerate_subgraphs(e, 3), e), None, 4)
-    members, kernel = vectors.wwl_classes(labelled)
-    return members.join(kernel, "i").select("graph_id", "nodes", "i", "j", "kernel")
+    labelled = subgraphs.wl_labels(subgraphs.induced(subgraphs.enumerate_subgraphs(e, 4), e), None, 4)
+    return vectors.wwl_classes(labelled)
+
+
+# labels of the sets of four nodes after 0 to 4 rounds, and each set's class
+_WWL = f"{sql.G2}, {sql.sym('g2')}, {sql.K3}, {sql.K4}, {sql.profile('k4')}, {sql.wl_rounds(4)}, m as (select graph_id, nodes, md5(string_agg(l, ',' order by l)) i from l4 group by all)"
+
+
+@query(f"with {_WWL} select graph_id, array_to_string(nodes, ',') nodes, i from m")
+def g2_wwl_classes(spark, d):
+    """The class of every four-node set: sets with equal labels after four rounds."""
+    return _wwl(spark, d)[0].withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(
+    f"with {_WWL}, c as (select i, count(*) n, min({{'g': graph_id, 'nodes': nodes}}) x from m group by 1), "
+    "p as (select i, al.r, l, count(*) / 4.0 share from c join al on al.graph_id = c.x.g and al.nodes = c.x.nodes group by all), "
+    "o as (select a.i i, b.i j, sum(least(a.share, b.share)) c from p a join p b on a.r = b.r and a.l = b.l and a.i <= b.i group by all) "
+    "select o.i, o.j, x.n n_i, y.n n_j, round(exp(-(1 - o.c / 5)), 6) kernel from o join c x on x.i = o.i join c y on y.i = o.j"
+)
+def g2_wwl_kernel(spark, d):
+    """Kernel between classes of equal label sets that have a label in common."""
+    return _wwl(spark, d)[1].withColumn("kernel", F.round("kernel", 6))
 
 
 # -- result tables: runs are the lineitem rows of a part's ship mode, so to speak
