@@ -110,15 +110,21 @@ def sigma_step(sigma: DataFrame, cluster: DataFrame) -> DataFrame:
     return c.select("graph_id", F.col("cluster").alias("node"), (F.col("below") + F.when(F.col("m") > 1, F.col("own")).otherwise(0.0)).alias("sigma"))
 
 
-def pool(edges: DataFrame, levels: int, nodes: DataFrame | None = None) -> list[dict[str, DataFrame]]:
-    """Levels of coarsening: edges, cluster, spot, sigma; stops when a level has no edges left."""
+def pool(edges: DataFrame, levels: int, nodes: DataFrame | None = None, trained=None, stochastic: bool = False, seed: int = 0) -> list[dict[str, DataFrame]]:
+    """Levels of coarsening: edges, cluster, spot, sigma; stops when a level has no edges left.
+
+    Scores are those of ``edge_weight``, or of ``trained`` (``training.TrainedScores``).
+    """
     nodes = nodes_of(edges) if nodes is None else nodes
     spot = nodes.select("graph_id", "node", F.col("node").alias("base"))
     sigma = nodes.select("graph_id", "node", F.lit(0.0).alias("sigma"))
     out = []
     for level in range(levels):
-        scored = edges.withColumn("s", edge_weight(level))
-        cluster = cut(clusters(nodes, greedy_matching(scored)))
+        scored = edges.withColumn("s", edge_weight(level)) if trained is None else trained.scores(level, edges)
+        matching = greedy_matching(scored, stochastic, seed * 31 + level)
+        cluster = cut(clusters(nodes, matching))
+        if trained is not None:
+            trained.contracted(level, matching, cluster)
         edges = cut(coarsen(edges, cluster))
         spot, sigma = cut(next_spotlights(spot, cluster)), cut(sigma_step(sigma, cluster))
         nodes = cluster.select("graph_id", F.col("cluster").alias("node")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, scoring, subgraphs
+from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, scoring, subgraphs, training
 from ..sources import collections as src
 from . import sql
 
@@ -708,3 +708,40 @@ def results_motif_count(spark, d):
 def g2_split_head(spark, d):
     """The ordered split of the first 50 graphs: the head limit is the feature."""
     return src.ordered_split(src.event_week(spark, d), n_graphs=50)
+
+
+# -- the trained edge scorer
+
+#: Places of the one-hot degree that a node starts with.
+DEGREES = 8
+
+
+def _even_and_odd(spark, d):
+    """(edges, features) of G2's positive graphs and of its negative ones."""
+    e = src.event_week(spark, d)
+    parts = [e.filter(src.event_role() == role) for role in ("pos", "neg")]
+    labels = [graphs.degrees(p).select("graph_id", "node", F.least(F.col("deg") - 1, F.lit(DEGREES - 1)).alias("label")) for p in parts]
+    return [(p, graphs.one_hot(x, DEGREES)) for p, x in zip(parts, labels, strict=True)]
+
+
+@query()
+def g2_scorer_training(spark, d):
+    """Losses of a short training run over all graphs: an epoch of reconstruction, then one of frequency."""
+    (pos, x_pos), (neg, x_neg) = _even_and_odd(spark, d)
+    run = training.Run(training.Scorer(DEGREES, 8, 1), training.Adam(0.02), patience=1)
+    for phase in ("rec", "mot"):
+        laid = training.coarsening(pos, neg, x_pos, x_neg, run.scorer, phase=phase, seed=run.epoch)
+        for _ in range(2):
+            loss, gradient = training.loss_and_gradient(laid, x_pos, run.scorer, phase)
+            run.scorer.theta = run.adam.moved(run.scorer.theta, gradient)
+            run.history.append((run.epoch, phase, loss, loss))
+            run.epoch += 1
+    return spark.createDataFrame([(e, p, loss) for e, p, loss, _ in run.history], "step int, phase string, loss double")
+
+
+@query()
+def g2_trained_sigma(spark, d):
+    """Total scores of the merged nodes after two levels, under a scorer's first parameters."""
+    (pos, x_pos), _ = _even_and_odd(spark, d)
+    scorer = training.Scorer(DEGREES, 8, 1)
+    return pooling.pool(pos, 2, trained=training.TrainedScores(scorer, x_pos))[-1]["sigma"].select("graph_id", "node", F.round("sigma", 6).alias("sigma"))
