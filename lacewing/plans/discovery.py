@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import generators, graphs, scoring, subgraphs, vectors
+from ..operators import generators, graphs, sampling, scoring, subgraphs, vectors
 from ..sources import collections as src
 
 
@@ -43,18 +43,16 @@ class Config:
     top_k: int = 3
     pred_mode: str = "bucket"  # bucket, subgraph
     cc_filter: bool = False
+    seed: int = 0
 
     def classifier(self) -> str:
         return self.clf if self.clf != "auto" else "tree" if self.embed_mode == "tree" else "lda"
 
 
 def sampled(edges: DataFrame, c: Config) -> DataFrame:
-    """graph_id, nodes: n_samples connected sets a graph over all sizes."""
-    subs = None
-    for k in range(c.k_min, c.k_max + 1):
-        s = subgraphs.enumerate_subgraphs(edges, k)
-        subs = s if subs is None else subs.union(s)
-    return subgraphs.sample_subgraphs(subs, c.n_samples).select("graph_id", "nodes", "pick")
+    """graph_id, nodes, pick: n_samples connected sets a graph over all sizes; a graph with fewer gives its own several times."""
+    found = sampling.sampled_sets(edges, c.k_min, c.k_max, seed=c.seed)
+    return subgraphs.sample_subgraphs(cut(found), c.n_samples).select("graph_id", "nodes", "pick")
 
 
 def embedded(edges: DataFrame, c: Config) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, scoring, subgraphs, training
+from ..functions.lineage import cut
+from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, sampling, scoring, subgraphs, training
 from ..sources import collections as src
 from . import sql
 
@@ -198,6 +199,19 @@ def g2_sampled_subs(spark, d):
     return subgraphs.sample_subgraphs(subgraphs.enumerate_subgraphs(src.event_week(spark, d), 3), 10).withColumn("nodes", _names())
 
 
+@query(f"with {_S2}, u as (select * from k3 union all select * from k4), n as (select graph_id, count(distinct a) n from s group by 1) select u.graph_id, array_to_string(nodes, ',') nodes from u join n on n.graph_id = u.graph_id where len(nodes) < n")
+def g2_extension_all(spark, d):
+    """Extension that follows every branch: all connected sets of three and four nodes, each once."""
+    return sampling.extension_tree(src.event_week(spark, d), 3, 4, p=1.0, budget=1 << 30).select("graph_id", _names().alias("nodes"))
+
+
+@query()
+def g2_extension_sampled(spark, d):
+    """Sets of three to eight nodes within the budget, 20 a graph; a graph with fewer repeats them."""
+    found = sampling.sampled_sets(src.event_week(spark, d), 3, 8)
+    return subgraphs.sample_subgraphs(cut(found), 20).withColumn("nodes", _names())
+
+
 @query()
 def g2_esu_sampled(spark, d):
     return generators.esu_sampled(src.event_week(spark, d)).withColumn("nodes", _names())
