@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ LONGEST = 4
 COVER_PERCENT = 80
 TOP = 2000
 SCALE = 2_000_000
+#: Parts in which a language's phrases are ranked before its first ones are.
+PARTS = 16
 #: Bits of a level's table: so many a phrase, within these bounds (32 MB at most).
 BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
@@ -41,7 +44,8 @@ _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[ord(c) for c in ".,;:!?"]] = _BREAK
 _CLASS[0x0A:0x0E] = _BREAK
 
-COUNTS = "lang string, phrase string, print long, n long"
+#: A phrase's words and its language, which may hold blanks, joined by blanks: one key to move and compare.
+COUNTS = "key string, n long"
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,6 +74,7 @@ def prints_of(hashes: np.ndarray, lang: np.ndarray, k: int) -> np.ndarray:
     return mix(ngrams(hashes, k) ^ lang[: len(hashes) - k + 1])
 
 
+@lru_cache(4096)
 def _lang_hash(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
@@ -92,6 +97,24 @@ class Bits:
         return out
 
 
+def _prints(level: DataFrame) -> DataFrame:
+    """The print of each phrase of a level table."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                lang = np.array([_lang_hash(x) for x in b.column(0).to_pylist()], np.uint64)
+                data, offsets = column_bytes(b.column(1))
+                ends = offsets - offsets[0]
+                data = data[offsets[0] : offsets[-1]]
+                starts, stops, upto = word_spans(_CLASS[data] == 0, ends)
+                k = int(upto[1] - upto[0])  # phrases of a table have as many words
+                every = prints_of(span_hashes(data, starts, stops), np.repeat(lang, k), k)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(every[::k]))], names=["print"])
+
+    return level.select("lang", "phrase").mapInArrow(prints, "print long")
+
+
 def frequent_bits(level: DataFrame) -> Bits:
     """The bits of a written level table; Spark combines them, and at most MOST_BITS travel."""
     wanted = BITS_A_PHRASE * level.count()
@@ -99,7 +122,7 @@ def frequent_bits(level: DataFrame) -> Bits:
     while bits < min(wanted, MOST_BITS):
         bits *= 2
     place = lambda c: c.bitwiseAND(F.lit(bits - 1).cast("long"))
-    places = level.select(F.explode(F.array(place(F.col("print")), place(F.shiftrightunsigned("print", 32)))).alias("p"))
+    places = _prints(level).select(F.explode(F.array(place(F.col("print")), place(F.shiftrightunsigned("print", 32)))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words["w"].to_numpy()] = words["bits"].to_numpy()
@@ -107,7 +130,7 @@ def frequent_bits(level: DataFrame) -> Bits:
 
 
 def _grams(data: np.ndarray, ends: np.ndarray, lang_code: np.ndarray, lang_hash: np.ndarray, k: int, frequent: Bits | None):
-    """(language codes, phrases, prints, counts) of the phrases of k words in one piece of text."""
+    """(language codes, phrases, counts) of the phrases of k words in one piece of text."""
     data = _LOWER[data]
     kind = _CLASS[data]
     starts, stops, upto = word_spans(kind == 0, ends)
@@ -119,28 +142,32 @@ def _grams(data: np.ndarray, ends: np.ndarray, lang_code: np.ndarray, lang_hash:
     breaks = np.cumsum(kind == _BREAK)[starts]
     places = len(starts) - k + 1
     good = (text[:places] == text[k - 1 :]) & (breaks[:places] == breaks[k - 1 :])
-    lang = lang_hash[text]
     if k > 1:
-        passes = frequent.has(prints_of(hashes, lang, k - 1))
+        passes = frequent.has(prints_of(hashes, lang_hash[text], k - 1))
         good &= passes[:places] & passes[1 : places + 1]
     at = np.flatnonzero(good)
     if not len(at):
         return None
-    number, first = numbered_words(data, starts, stops, hashes)
+    # only words of phrases that pass are numbered
+    used = np.zeros(len(starts), bool)
+    for j in range(k):
+        used[at + j] = True
+    own = np.flatnonzero(used)
+    starts, stops = starts[own], stops[own]
+    number, first = numbered_words(data, starts, stops, hashes[own])
+    place = (np.cumsum(used) - 1)[at]
     key = lang_code[text[at]]
     for j in range(k):
         # renumbered at each word, so that the product stays small
-        key = np.unique(key, return_inverse=True)[1] * len(first) + number[at + j]
+        key = np.unique(key, return_inverse=True)[1] * len(first) + number[place + j]
     _, where, counts = np.unique(key, return_index=True, return_counts=True)
-    where = at[where]
     words = strings(data, starts[first], stops[first])
-    parts = [words.take(pa.array(number[where + j])) for j in range(k)]
-    phrases = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-    return lang_code[text[where]], phrases, prints_of(hashes, lang, k)[where], counts
+    parts = [words.take(pa.array(number[place[where] + j])) for j in range(k)]
+    return lang_code[text[at[where]]], pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0], counts
 
 
 def phrase_counts(docs: DataFrame, k: int, frequent: Broadcast | None = None) -> DataFrame:
-    """lang, phrase, print, n: the phrases of k words whose overlapping parts pass, each with all its occurrences."""
+    """key, n: the phrases of k words whose overlapping parts pass, each with all its occurrences."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = frequent.value if frequent is not None else None
@@ -153,24 +180,30 @@ def phrase_counts(docs: DataFrame, k: int, frequent: Broadcast | None = None) ->
                 own = codes[at : at + len(ends) - 1]
                 found = _grams(piece, ends, own, named[own], k, bits)
                 if found is not None:
-                    code, phrases, prints, counts = found
-                    columns = [langs.dictionary.take(pa.array(code)), phrases, pa.array(signed(prints)), pa.array(counts.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "print", "n"])
+                    code, phrases, counts = found
+                    keys = pc.binary_join_element_wise(phrases, langs.dictionary.take(pa.array(code)), " ")
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(counts.astype(np.int64))], names=["key", "n"])
 
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text")).filter("text is not null")
-    return rows.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("print").alias("print"))
+    return rows.mapInArrow(count, COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _unpacked(counts: DataFrame, k: int) -> DataFrame:
+    """lang, phrase, n of keys of k words."""
+    parts = F.split("key", " ", k + 1)
+    return counts.select(F.get(parts, F.lit(k)).alias("lang"), F.array_join(F.slice(parts, 1, k), " ").alias("phrase"), "n")
 
 
 def levels(docs: DataFrame, workspace: Workspace, least: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n: all its words), and the written tables of frequent phrases of 1, 2, ... words."""
-    words = workspace.keep(phrase_counts(docs, 1), "words")
+    words = workspace.keep(_unpacked(phrase_counts(docs, 1), 1), "words")
     totals = workspace.keep(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     found = [workspace.keep(words.filter(F.col("n") >= least), "level1")]
     workspace.drop("words")
     context = docs.sparkSession.sparkContext
     for k in range(2, longest + 1):
         bits = context.broadcast(frequent_bits(found[-1]))
-        found.append(workspace.keep(phrase_counts(docs, k, bits).filter(F.col("n") >= least), f"level{k}"))
+        found.append(workspace.keep(_unpacked(phrase_counts(docs, k, bits).filter(F.col("n") >= least), k), f"level{k}"))
         bits.unpersist()
     return totals, found
 
@@ -226,8 +259,11 @@ def mine(docs: DataFrame, workspace: Workspace | None = None, least: int = MIN_C
     kept = best.join(covered(found), ["lang", "phrase"], "left").filter(
         F.col("longer").isNull() | (F.lit(100) * F.col("longer").cast("decimal(20,0)") < F.lit(COVER_PERCENT) * F.col("a").cast("decimal(20,0)"))
     )
-    # tasks keep their own first rows of a lang, so a lang's last task sees at most that many from each
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = ws.keep(kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top), "ranked")
+    # the first rows of a part of a lang's phrases, then of the lang: its last task sees PARTS times as many, whatever the input
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = Window.partitionBy("lang", "part").orderBy(*order)
+    ranked = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = ws.keep(ranked.drop("part"), "ranked")
     ws.drop_all_but("ranked", "totals")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -164,7 +164,7 @@ def phrases_by_definition(rows, least, top):
 def phrase_rows():
     rng = random.Random(8)
     vocabulary = ["a", "B", "c", "é", "日本", "z", "Long-word", "x#", "it's", "q"]
-    rows = [(i, "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "  ", "\t", "\n", ". ", ", ", "\r"]) for _ in range(rng.randint(0, 120))), rng.choice(["en", "de", None, "und", ""])) for i in range(60)]
+    rows = [(i, "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "  ", "\t", "\n", ". ", ", ", "\r"]) for _ in range(rng.randint(0, 120))), rng.choice(["en", "de", None, "und", "", "a b"])) for i in range(70)]
     return rows + [(*x, "en") for x in documents(6, 20)] + [(None, None, "en"), (1, "!?", "fr"), (2, "only one", "fr")]
 
 
@@ -187,7 +187,8 @@ def test_bits_leave_out_what_is_rare(spark):
     ws = Workspace(spark, "t")
     _, found = collocations.levels(table(spark, rows), ws, 4)
     bits = collocations.frequent_bits(found[0])
-    assert bits.has(np.array([r.print for r in found[0].collect()], np.int64).view(np.uint64)).all()
+    assert [len(r.phrase.split(" ")) for r in found[2].collect()] == [3] * found[2].count()
+    assert all(collocations.frequent_bits(x).has(np.array([r.print for r in collocations._prints(x).collect()], np.int64).view(np.uint64)).all() for x in found)
     assert bits.has(np.random.default_rng(0).integers(0, 1 << 63, 4000).astype(np.uint64)).mean() < 0.01
 
 
@@ -207,7 +208,7 @@ def test_long_texts_are_cut_after_breaks_only(spark, monkeypatch):
         for at, piece, ends in cut:
             found = collocations._grams(piece, ends, codes[at : at + len(ends) - 1], np.zeros(len(ends) - 1, np.uint64), k, every)
             if found:
-                seen.update(dict(zip(found[1].to_pylist(), found[3].tolist(), strict=True)))
+                seen.update(dict(zip(found[1].to_pylist(), found[2].tolist(), strict=True)))
         for t in [x for x in want if len(x[2].split()) == k]:
             assert seen[t[2]] == t[3]
         assert sum(seen.values()) == sum(max(0, len(p.split()) - k + 1) for t in texts for p in re.split("[.,]", t))
