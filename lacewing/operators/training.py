@@ -155,7 +155,7 @@ def _weights(own: DataFrame, other: DataFrame | None, k: int, beta: float) -> Da
     """graph_id, src, dst, weight: exp(-beta * (distance to the k-th nearest among own less that among others))."""
     keyed = lambda df: df.filter("edge").select("graph_id", "src", "dst", F.xxhash64("graph_id", "src", "dst").alias("id"), F.col("m").alias("z"))
     a = cut(keyed(own))
-    near = lambda refs: vectors.distance_stats(a.select("id", "z"), refs.select("id", "z"), k).select("id", "kth")
+    near = lambda refs: vectors.distance_stats(a.select("id", "z"), refs.select("id", "z"), k, None).select("id", "kth")
     found = near(a).withColumnRenamed("kth", "f_pos")
     if other is None or not keyed(other).limit(1).count():
         found = found.withColumn("f_neg", F.lit(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from ..functions.lineage import cut
 REFERENCES = 10_000
 #: Vectors in a block, about.
 BLOCK = 1024
+#: Pivots at most; their vectors and a few numbers about each travel to every task.
+PIVOTS = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -143,62 +146,231 @@ def _least(distances: np.ndarray, others: np.ndarray, owner: np.ndarray, n: int,
     return distances[pick], others[pick]
 
 
-def _nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, bandwidth: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distances, ids) of the k nearest rows of r to each row of q, and the sums of the Gaussian kernel over all of r.
+def _nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest rows of r to each row of q.
 
     Products of matrices choose candidates, with room for their rounding; the
     distances come from differences.
     """
-    dist, other, total = [], [], []
+    dist, other = [], []
     r2 = (r**2).sum(1)
     for at in range(0, len(q), 64):
         x = q[at : at + 64]
         x2 = (x**2).sum(1)
         d2 = np.maximum(0.0, x2[:, None] + r2 - 2 * x @ r.T)
-        total.append(np.exp(-d2 / (2 * bandwidth**2)).sum(1))
         limit = np.partition(d2, k - 1, axis=1)[:, k - 1] + 1e-11 * (x2 + r2.max())
         i, j = np.nonzero(d2 <= limit[:, None])
         d, o = _least(np.sqrt(((x[i] - r[j]) ** 2).sum(1)), ids[j], i, len(x), k)
         dist.append(d)
         other.append(o)
-    return np.concatenate(dist), np.concatenate(other), np.concatenate(total)
+    return np.concatenate(dist), np.concatenate(other)
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int, bandwidth: float = 1.0) -> DataFrame:
-    """id, dists and others (the k nearest of all references, ascending, ties by id), total (sum of the Gaussian kernel) and n (references).
+@dataclass(frozen=True)
+class Cells:
+    """References by their nearest pivot: tables of bounded size about the cells, and their vectors in blocks."""
 
-    Blocks of queries meet blocks of references; a meeting gives one row, and a
-    query block's rows are merged.
-    """
-    left, right = _packed_blocks(queries, "i", "qid", "q"), _packed_blocks(refs, "j", "rid", "r")
+    pivots: np.ndarray
+    sizes: np.ndarray  # weight of each cell's references
+    low: np.ndarray  # least and largest distance of them to the pivot
+    high: np.ndarray
+    numbers: list[int]  # blocks of each cell
+    blocks: DataFrame  # cell, block, rid, r, w
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distances to the pivots, least and largest possible distances to a cell's references) of each row of q, by the triangle inequality."""
+        d = _distances(q, self.pivots)
+        slack = 1e-9 * (1 + d)
+        return d, np.maximum(0.0, np.maximum(d - self.high, self.low - d) - slack), d + self.high + slack
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T))
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _in_cells(refs: DataFrame) -> Cells:
+    """References (id, z, w) dealt to about the square root of their number of pivots, PIVOTS at most; a large cell has several blocks."""
+    refs = cut(refs)
+    n = refs.count()
+    chosen = refs.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, math.isqrt(n) + 1)).select("z").collect()
+    pivots = np.array([r.z for r in chosen], np.float64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_rows(b.column(1)), pivots)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["id", "z", "w", "cell", "d"])
+
+    dealt = cut(refs.select("id", "z", "w").mapInArrow(deal, "id long, z array<double>, w long, cell int, d double"))
+    sizes, low, high, rows = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots)), [0] * len(pivots)
+    for r in dealt.groupBy("cell").agg(F.sum("w").alias("w"), F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n")).collect():
+        sizes[r.cell], low[r.cell], high[r.cell], rows[r.cell] = r.w, r.low, r.high, r.n
+    numbers = [-(-x // BLOCK) for x in rows]
+    packed = _numbered(dealt, numbers, "block").groupBy("cell", "block").agg(F.sort_array(F.collect_list(F.struct("id", "z", "w"))).alias("x"))
+    return Cells(pivots, sizes, low, high, numbers, cut(packed.select("cell", "block", F.col("x.id").alias("rid"), F.flatten("x.z").alias("r"), F.col("x.w").alias("w"))))
+
+
+def _numbered(rows: DataFrame, numbers: list[int], name: str) -> DataFrame:
+    """Adds the block of each row's id in its cell, of so many."""
+    table = rows.sparkSession.createDataFrame(list(enumerate(numbers)), "cell int, _n int")  # a row a pivot
+    return rows.join(F.broadcast(table), "cell").withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.greatest(F.lit(1), F.col("_n"))).cast("int")).drop("_n")
+
+
+def _visits(queries: DataFrame, cells: Cells, choose) -> DataFrame:
+    """id, z, cell: the cells that ``choose`` (vectors, further columns) gives each query, as a matrix of flags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                qid, q, rid, r = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
-                d, o, t = _nearest_in_block(q.reshape(len(qid), -1), r.reshape(len(rid), -1), rid, min(k, len(rid)), bandwidth)
-                cells = [pa.array([x], pa.list_(kind)) for x, kind in ((qid, pa.int64()), (d.ravel(), pa.float64()), (o.ravel(), pa.int64()), (t, pa.float64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), *cells, pa.array([len(rid)], pa.int64())], names=["i", "qid", "d", "o", "t", "n"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                flags = choose(_rows(part.column(1)), *[c.to_numpy(zero_copy_only=False) for c in part.columns[2:]])
+                i, c = np.nonzero(flags & (cells.sizes > 0))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(c.astype(np.int32))], names=["id", "z", "cell"])
+
+    cells = replace(cells, blocks=None)  # what the tasks get
+    return cut(queries.mapInArrow(run, "id long, z array<double>, cell int"))
+
+
+def _met(visits: DataFrame, cells: Cells) -> DataFrame:
+    """qid, q, rid, r, w: blocks of queries beside each block of the cell that they visit; cells meet by key, and a large one in many tasks."""
+    count = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    chunks = [-(-count.get(c, 0) // BLOCK) for c in range(len(cells.pivots))]
+    packed = _numbered(visits, chunks, "chunk").groupBy("cell", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "z"))).alias("x"))
+    packed = packed.select("cell", F.col("x.id").alias("qid"), F.flatten("x.z").alias("q"))
+    table = visits.sparkSession.createDataFrame(list(enumerate(cells.numbers)), "cell int, _n int")
+    spread = packed.join(F.broadcast(table), "cell").select("cell", "qid", "q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("block"))
+    return spread.join(cells.blocks, ["cell", "block"]).select("qid", "q", "rid", "r", "w")
+
+
+def _pairs_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for row in range(b.num_rows):
+        qid, q, rid, r, w = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(5))
+        yield qid, q.reshape(len(qid), -1), rid, r.reshape(len(rid), -1), w
+
+
+def _first(rows: DataFrame, k: int) -> DataFrame:
+    """id, other, dist: the k nearest of each id so far; tasks drop the rest before rows of an id meet."""
+    order = Window.partitionBy("id").orderBy("dist", "other")
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _nearest_visited(visits: DataFrame, cells: Cells, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qid, q, rid, r, _ in _pairs_of(b):
+                d, o = _nearest_in_block(q, r, rid, min(k, len(rid)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, d.shape[1])), pa.array(o.ravel()), pa.array(d.ravel())], names=["id", "other", "dist"])
+
+    return _met(visits, cells).mapInArrow(run, "id long, other long, dist double")
+
+
+def _home(cells: Cells, k: int):
+    """The nearest cells that hold k references together."""
+
+    def choose(q: np.ndarray, *_) -> np.ndarray:
+        d = cells.bounds(q)[0]
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(cells.sizes[order], axis=1) - cells.sizes[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out
+
+    return choose
+
+
+def _near(cells: Cells, k: int):
+    """The other cells that may hold one as near as the k-th so far."""
+    home = _home(cells, k)
+    return lambda q, kth: (cells.bounds(q)[1] <= kth[:, None] * (1 + 1e-9)) & ~home(q)
+
+
+def _search(queries: DataFrame, refs: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame], Cells]:
+    """(id, other, dist of the k nearest; the visits in two passes; the cells) of distinct query vectors."""
+    # of references with one vector, the first k ids come before the others wherever they come
+    same = Window.partitionBy("z").orderBy("id")
+    cells = _in_cells(refs.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k).select("id", "z", F.lit(1).cast("long").alias("w")))
+    bare = replace(cells, blocks=None)
+    home = _visits(queries, cells, _home(bare, k))
+    found = cut(_first(_nearest_visited(home, cells, k), k))
+    # where fewer than k are there, no distance rules a cell out; then all are visited at home already
+    kth = found.groupBy("id").agg(F.max("dist").alias("kth"))
+    near = _visits(queries.join(kth, "id").select("id", "z", "kth"), cells, _near(bare, k))
+    return _first(found.unionByName(_nearest_visited(near, cells, k)), k), [home, near], cells
+
+
+def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, rep; id, z of the representatives): equal vectors are searched for once."""
+    rows = cut(rows.select("id", F.col("z").cast("array<double>").alias("z")))
+    reps = cut(rows.groupBy("z").agg(F.min("id").alias("rep")))
+    return rows.join(reps, "z").select("id", "rep"), reps.select(F.col("rep").alias("id"), "z")
 
-    def merge(table: pa.Table) -> pa.Table:
-        parts = sorted(table.select(["qid", "d", "o", "t", "n"]).to_pylist(), key=lambda p: p["o"])
-        ids = parts[0]["qid"]
-        size, n = len(ids), sum(p["n"] for p in parts)
-        d, o = (np.hstack([np.array(p[c]).reshape(size, -1) for p in parts]) for c in "do")
-        d, o = _least(d.ravel(), o.ravel(), np.repeat(np.arange(size), d.shape[1]), size, min(k, n))
-        total = np.sum([p["t"] for p in parts], axis=0)
-        return pa.table({"id": pa.array(ids, pa.int64()), "dists": pa.array(d.tolist(), pa.list_(pa.float64())), "others": pa.array(o.tolist(), pa.list_(pa.int64())), "total": pa.array(total), "n": pa.array([n] * size, pa.int64())})
 
-    met = left.crossJoin(right).select("i", "qid", "q", "rid", "r").mapInArrow(run, "i int, qid array<long>, d array<double>, o array<long>, t array<double>, n long")
-    return met.groupBy("i").applyInArrow(merge, "id long, dists array<double>, others array<long>, total double, n long")
+def nearest(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """id, dists and others: the k nearest of all references, ascending, ties by id.
+
+    A query first visits the cells nearest to it that hold k references, then
+    each other cell that the triangle inequality can't rule out at the k-th
+    distance found. Queries meet cells by key; an id's candidates are cut to k
+    in every task and never held together.
+    """
+    members, distinct = _distinct(queries)
+    refs = refs.select("id", F.col("z").cast("array<double>").alias("z"))
+    if not refs.limit(1).count():
+        return members.select("id", F.array().cast("array<double>").alias("dists"), F.array().cast("array<bigint>").alias("others"))
+    found = _search(distinct, refs, k)[0]
+    lists = found.groupBy(F.col("id").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("dist", "other"))).alias("x"))  # k entries
+    return members.join(lists, "rep").select("id", F.col("x.dist").alias("dists"), F.col("x.other").alias("others"))
+
+
+def search_cost(queries: DataFrame, refs: DataFrame, k: int) -> tuple[int, int]:
+    """(pairs of distinct vectors that ``nearest`` looks at, all pairs)."""
+    _, distinct = _distinct(queries)
+    refs = refs.select("id", F.col("z").cast("array<double>").alias("z"))
+    _, visits, cells = _search(distinct, refs, k)
+    seen = sum(r.n * int(cells.sizes[r.cell]) for v in visits for r in v.groupBy("cell").agg(F.count("*").alias("n")).collect())
+    return seen, distinct.count() * int(cells.sizes.sum())
+
+
+def kernel_sums(queries: DataFrame, refs: DataFrame, bandwidth: float = 1.0) -> DataFrame:
+    """id, total: the sum of the Gaussian kernel over all references, to a relative 1e-12.
+
+    Cells are summed exactly unless bounds say that all of those left out
+    together don't matter at that precision.
+    """
+    members, distinct = _distinct(queries)
+    weighted = refs.select("id", F.col("z").cast("array<double>").alias("z")).groupBy("z").agg(F.min("id").alias("id"), F.count("*").alias("w"))
+    cells = _in_cells(weighted.select("id", "z", "w"))
+    bare = replace(cells, blocks=None)
+
+    def matter(q: np.ndarray) -> np.ndarray:
+        _, low, high = bare.bounds(q)
+        kernel = lambda d: bare.sizes * np.exp(-(d**2) / (2 * bandwidth**2))
+        return kernel(low) > 1e-12 / len(bare.pivots) * kernel(high).sum(1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qid, q, _, r, w in _pairs_of(b):
+                total = np.concatenate([np.exp(-(_distances(q[at : at + 64], r) ** 2) / (2 * bandwidth**2)) @ w for at in range(0, len(q), 64)])
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(total)], names=["rep", "total"])
+
+    sums = _met(_visits(distinct, cells, matter), cells).mapInArrow(run, "rep long, total double").groupBy("rep").agg(F.sum("total").alias("total"))
+    return members.join(sums, "rep", "left").select("id", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
-def distance_stats(queries: DataFrame, refs: DataFrame, k: int, bandwidth: float = 1.0) -> DataFrame:
-    """id, nearest, kth, kde, n for each query: distances to all references, the Gaussian density there, and their number."""
+def distance_stats(queries: DataFrame, refs: DataFrame, k: int, bandwidth: float | None = 1.0) -> DataFrame:
+    """id, nearest, kth, kde, n for each query: distances to all references, the Gaussian density there, and their number; without a bandwidth no kde."""
+    n = F.lit(refs.count())
+    found = nearest(queries, refs, k).select("id", F.array_min("dists").alias("nearest"), F.array_max("dists").alias("kth"))
+    if bandwidth is None:
+        return found.withColumn("n", n)
     first = queries.select(F.size("z").alias("dim")).head(1)
     scale = (2 * math.pi * bandwidth**2) ** ((first[0].dim if first else 0) / 2)
-    found = nearest(queries, refs, k, bandwidth)
-    return found.select("id", F.array_min("dists").alias("nearest"), F.array_max("dists").alias("kth"), (F.col("total") / F.col("n") / F.lit(scale)).alias("kde"), "n")
+    return found.join(kernel_sums(queries, refs, bandwidth), "id").select("id", "nearest", "kth", (F.col("total") / n / F.lit(scale)).alias("kde"), n.alias("n"))
 
 
 def volume_density(kth: Column, k: int, n: int, dim: int) -> Column:
@@ -212,8 +384,8 @@ def knn_scores(pos: DataFrame, neg: DataFrame, k: int, most: int | None = None)
     k = min(k, p.count() - 1, n.count() - 1)
     if k < 1:
         return pos.select("id", F.lit(1.0).alias("score"))
-    a = distance_stats(pos, p, k + 1).select("id", F.col("kth").alias("dp"))
-    b = distance_stats(pos, n, k).select("id", F.col("kth").alias("dn"))
+    a = distance_stats(pos, p, k + 1, None).select("id", F.col("kth").alias("dp"))
+    b = distance_stats(pos, n, k, None).select("id", F.col("kth").alias("dn"))
     return a.join(b, "id").select("id", (F.col("dn") / (F.col("dp") + 1e-8)).alias("score"))
 
 

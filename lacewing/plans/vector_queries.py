@@ -73,26 +73,26 @@ _DIST = f"{_V}, dd as (select a.id, b.id o, sqrt(list_sum(list_transform(list_zi
 @query(f"with {_DIST} select id, round(dist, 5) kth from rk where rn = 6")
 def v1_knn_distance(spark, d):
     v = _vectors(spark, d)
-    return vectors.distance_stats(v, v, 6).select("id", F.round("kth", 5).alias("kth"))
+    return vectors.distance_stats(v, v, 6, None).select("id", F.round("kth", 5).alias("kth"))
 
 
 @query(f"with {_DIST} select id, round(ln(avg(exp(-dist * dist / 2))) - 32 * ln(2 * pi()), 5) log_density from dd group by 1")
 def v1_kde(spark, d):
     v = _vectors(spark, d)
-    return vectors.distance_stats(v, v, 1).select("id", F.round(F.log("kde"), 5).alias("log_density"))
+    return vectors.kernel_sums(v, v).select("id", F.round(F.log(F.col("total") / v.count()) - DIM / 2 * math.log(2 * math.pi), 5).alias("log_density"))
 
 
 @query(f"with {_DIST} select id, round(1 / min(dist), 4) density from dd where role = 'neg' and id in (select id from v where role = 'pos') group by 1")
 def v1_min_density(spark, d):
     v = _vectors(spark, d)
-    got = vectors.distance_stats(v.filter("role = 'pos'"), v.filter("role = 'neg'"), 1)
+    got = vectors.distance_stats(v.filter("role = 'pos'"), v.filter("role = 'neg'"), 1, None)
     return got.select("id", F.round(1 / F.col("nearest"), 4).alias("density"))
 
 
 @query(f"with {_DIST}, n as (select count(*) n from v) select id, round(ln(5.0 / n) - 64 * ln(dist) - (32 * ln(pi()) - lgamma(33)), 4) log_density from rk, n where rn = 5")
 def v1_volume_density(spark, d):
     v = _vectors(spark, d)
-    got = vectors.distance_stats(v, v, 5)
+    got = vectors.distance_stats(v, v, 5, None)
     constant = math.log(5) - (DIM / 2 * math.log(math.pi) - math.lgamma(DIM / 2 + 1))
     return got.select("id", F.round(F.lit(constant) - F.log("n") - DIM * F.log("kth"), 4).alias("log_density"))
 
@@ -113,8 +113,8 @@ def v1_cosine_matrix(spark, d):
 def v1_freq_loss(spark, d):
     v = _vectors(spark, d)
     pos = v.filter("role = 'pos'")
-    fp = vectors.distance_stats(pos, pos, 2).select("id", (1 / F.col("kth")).alias("f_pos"))  # the second nearest, since itself is the first
-    fn = vectors.distance_stats(pos, v.filter("role = 'neg'"), 1).select("id", (1 / F.col("nearest")).alias("f_neg"))
+    fp = vectors.distance_stats(pos, pos, 2, None).select("id", (1 / F.col("kth")).alias("f_pos"))  # the second nearest, since itself is the first
+    fn = vectors.distance_stats(pos, v.filter("role = 'neg'"), 1, None).select("id", (1 / F.col("nearest")).alias("f_neg"))
     rows = fp.join(fn, "id").withColumn("s", F.col("id") % 7 / 7.0)
     return vectors.frequency_loss(rows, 0.5, 0.1).select(F.round("loss", 5).alias("loss"))
 

@@ -39,3 +39,47 @@ def test_cosine_of_every_pair(monkeypatch, table):
     unit = z / np.sqrt((z**2).sum(1))[:, None]
     got = {(r.i, r.j): r.sim for r in vectors.cosine_pairs(rows).collect()}
     assert got == {(i, j): pytest.approx(float(unit[i] @ unit[j])) for i in range(300) for j in range(i + 1, 300)}
+
+
+def clustered(n, dim, groups, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim)) * 8
+    return centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dim)) * 0.3
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_cells_rule_out_most_pairs_and_lose_none(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    z = clustered(900, 6, 12)
+    z[100:400] = z[3]  # a third of the rows are one vector
+    z[500:520, 0] = z[500, 0]
+    ids = np.random.default_rng(3).permutation(900)
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, z, strict=True)], "id long, z array<double>").repartition(5)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    got = {r.id: (r.others, r.dists) for r in vectors.nearest(rows, rows, 9).collect()}
+    assert len(got) == 900
+    for i in range(900):
+        order = np.lexsort((ids, np.round(d[i], 12)))[:9]
+        others, dists = got[int(ids[i])]
+        assert others == ids[order].tolist() and np.allclose(dists, d[i][order])
+    seen, every = vectors.search_cost(rows, rows, 9)
+    assert seen < 0.35 * every
+    sums = {r.id: r.total for r in vectors.kernel_sums(rows, rows, 0.5).collect()}
+    assert all(sums[int(i)] == pytest.approx(np.exp(-d[j] ** 2 / 0.5).sum(), rel=1e-9) for j, i in enumerate(ids))
+
+
+def test_plan_has_no_cross_join(spark, table, capsys):
+    rows, _ = table
+    vectors.nearest(rows, rows, 3).explain()
+    vectors.kernel_sums(rows, rows).explain()
+    plan = capsys.readouterr().out
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_few_and_no_references(spark, table):
+    rows, d = table
+    few = rows.filter("id < 3")
+    got = {r.id: r.others for r in vectors.nearest(rows, few, 5).collect()}
+    assert len(got) == 300 and all(sorted(o) == [0, 1, 2] for o in got.values())
+    none = rows.filter("id < 0")
+    assert {len(r.others) for r in vectors.nearest(rows, none, 2).collect()} == {0} and vectors.nearest(none, rows, 2).count() == 0
