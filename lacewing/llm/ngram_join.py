@@ -12,8 +12,8 @@ Routing. Two sets with Jaccard similarity of t or more, the smaller of size s,
 differ in at most D = floor(s * (1 - t) / t) elements. Cut the hash range of
 elements into more than D parts: one part at least holds no difference, so both
 sets agree on it. Each set therefore sends a digest of each of its parts, and
-sets that share a digest form a circle. A circle is searched by a tree over
-hashed bitmaps, which may take unlike sets for alike but not the reverse, unless
+sets that share a digest form a circle; parts on which the same sets agree are
+one circle. A circle is searched by a tree over hashed bitmaps, which may take unlike sets for alike but not the reverse, unless
 it is very large; the connected components of what is left are groups. Many
 groups are packed into one tree over exact bitmaps, whose inner nodes tell them
 apart and whose leaves are the links. A group that is too large for one tree is
@@ -46,6 +46,8 @@ FANOUT = 8
 BROADCAST_ROWS = 1 << 20
 #: Sets of one part up to which a task sends them all, and up to which they are compared by bitmap; more are tied.
 GROUP, HUGE = 256, 1024
+#: Members of circles that are looked at together, about.
+FAMILY = 1 << 14
 #: Frequent shingles: most that travel to the tasks, and documents that make one frequent.
 COMMON = 1 << 18
 COMMON_DOCS = 64
@@ -218,11 +220,12 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _ties(k: np.ndarray, s: np.ndarray, grouped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, circles, ties) of sets that stand next to each other with one key.
+    """(pairs, circles, ties) of sets that stand next to each other with one key, in order.
 
-    Two sets are a pair to be looked at. More are a circle, given as (key, set).
-    In one of more than HUGE, or one in which a set stands for a group, all are
-    tied to the first.
+    Two sets are a pair to be looked at. More are a circle, given as (circle,
+    set, first set); a circle is named by a digest of its sets, so parts that
+    the same sets agree on make one circle. In one of more than HUGE, or one in
+    which a set stands for a group, all are tied to the first.
     """
     cut = _runs(k)
     size = np.diff(cut)
@@ -232,7 +235,9 @@ def _ties(k: np.ndarray, s: np.ndarray, grouped: np.ndarray) -> tuple[np.ndarray
     tied = np.repeat(blind, size) & (lead != s)
     at = cut[:-1][(size == 2) & ~blind]
     in_circle = np.repeat((size > 2) & ~blind, size)
-    return np.sort(np.stack([s[at], s[at + 1]], 1), axis=1), np.stack([k[in_circle], s[in_circle]], 1), np.stack([s[tied], lead[tied]], 1)
+    names = mix(np.add.reduceat(mix(s.view(np.uint64) ^ _U(0xD6E8FEB86659FD93)), cut[:-1]) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+    circle = np.repeat(signed(names), size)
+    return np.sort(np.stack([s[at], s[at + 1]], 1), axis=1), np.stack([circle[in_circle], s[in_circle], lead[in_circle]], 1), np.stack([s[tied], lead[tied]], 1)
 
 
 #: What a row of candidate_edges is.
@@ -240,14 +245,15 @@ PAIR, MEMBER, TIE = 0, 1, 2
 
 
 def _edge_batch(pairs: np.ndarray, circles: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
-    pairs, ties = (np.unique(x, axis=0) if len(x) else x for x in (pairs, ties))
-    e = np.concatenate([pairs, circles, ties])
+    pairs, circles, ties = (np.unique(x, axis=0) if len(x) else x for x in (pairs, circles, ties))
+    e = np.concatenate([pairs, circles[:, :2], ties])
     kind = np.repeat(np.array([PAIR, MEMBER, TIE], np.int32), [len(pairs), len(circles), len(ties)])
-    return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(kind)], names=["a", "b", "kind"])
+    lead = np.concatenate([pairs[:, 0], circles[:, 2], ties[:, 0]])
+    return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(lead), pa.array(kind)], names=["a", "b", "lead", "kind"])
 
 
 def candidate_edges(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(a, b, kind): pairs of set digests that agree on a part, members b of a circle a, and ties.
+    """(a, b, lead, kind): pairs of set digests that agree on a part, members b of a circle a with its first member, and ties.
 
     Where very many sets of a task agree on a part they are tied at once, and
     one goes on for all, so that such a part brings few rows a task to the
@@ -319,13 +325,46 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
         yield _edge_batch(*_ties(*held))
 
     rows = docs.select("text").mapInArrow(emit, "key long, sid long, other long")
-    return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(join, "a long, b long, kind int")
+    return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(join, "a long, b long, lead long, kind int")
 
 
-def possible_edges(edges: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def circle_members(edges: DataFrame, ws: Workspace) -> DataFrame:
+    """lead, block, sid, circles: for each set the circles with one first member that it is in.
+
+    Circles of near-copies differ little and mostly share their first member,
+    so a set's bitmap is needed once for many of them. Where one first member
+    has very many, they are dealt to blocks.
+    """
+    circles = ws.keep(edges.filter(F.col("kind") == MEMBER).select("lead", F.col("a").alias("circle"), F.col("b").alias("sid")).distinct(), "circles")
+    blocks = circles.groupBy("lead").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("blocks"))
+    dealt = join_unique(circles, blocks, ["lead"]).withColumn("block", F.pmod(F.col("circle"), F.col("blocks")).cast("int"))
+    return dealt.groupBy("lead", "block", "sid").agg(F.collect_set("circle").alias("circles"))
+
+
+def family_ties(sids: list[int], sizes: list[int], maps: list[bytes], circles: list[list[int]], threshold: Fraction) -> list[tuple[int, int]]:
+    """(set, another) for the sets that circles may link, directly or through others.
+
+    Large circles come first; one whose sets are connected already has nothing to add.
+    """
+    members: dict[int, list[int]] = {}
+    for i, own in enumerate(circles):
+        for c in own:
+            members.setdefault(c, []).append(i)
+    root = np.arange(len(sids))
+    for _, at in sorted(members.items(), key=lambda m: (-len(m[1]), m[0])):
+        at = np.array(at)
+        if (root[at] == root[at[0]]).all():
+            continue
+        for i, r in zip(at, at[circle_roots([sizes[i] for i in at], [maps[i] for i in at], threshold)], strict=True):
+            if root[i] != root[r]:
+                root[root == max(root[i], root[r])] = min(root[i], root[r])
+    return [(sids[i], sids[r]) for i, r in enumerate(root) if i != r]
+
+
+def possible_edges(edges: DataFrame, sets: DataFrame, threshold: Fraction, ws: Workspace) -> DataFrame:
     """(a, b): the ties, and of pairs and circles what sizes and bitmaps allow to be linked."""
     pairs = edges.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    circles = edges.filter(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("sid"))
+    circles = ws.keep(circle_members(edges, ws), "members-of-circles")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(circles.select("sid")).distinct()
     maps = sets.join(nodes, "sid").groupBy("sid").agg(F.max("n_shingles").alias("n"), F.max("bitmap").alias("m"))
 
@@ -336,25 +375,20 @@ def possible_edges(edges: DataFrame, sets: DataFrame, threshold: Fraction) -> Da
 
     def test_circles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-
-        def tied() -> list[tuple[int, int]]:
-            sids, sizes, maps = zip(*rows, strict=True)
-            return [(sids[i], sids[r]) for i, r in enumerate(circle_roots(list(sizes), list(maps), threshold)) if i != r]
-
         for b in batches:
             out = []
-            for k, *row in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if k != key:
+            for lead, block, *row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                if (lead, block) != key:
                     if len(rows) > 1:
-                        out += tied()
-                    key, rows = k, []
+                        out += family_ties(*zip(*rows, strict=True), threshold)
+                    key, rows = (lead, block), []
                 rows.append(row)
             yield _pair_batch(out)
         if len(rows) > 1:
-            yield _pair_batch(tied())
+            yield _pair_batch(family_ties(*zip(*rows, strict=True), threshold))
 
     both = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
-    members = circles.join(maps, "sid").select("key", "sid", "n", "m").repartition("key").sortWithinPartitions("key")
+    members = circles.join(maps, "sid").select("lead", "block", "sid", "n", "m", "circles").repartition("lead", "block").sortWithinPartitions("lead", "block")
     found = both.mapInArrow(test_pairs, "a long, b long").union(members.mapInArrow(test_circles, "a long, b long"))
     return found.union(edges.filter(F.col("kind") == TIE).select("a", "b"))
 
@@ -586,7 +620,7 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     sets = ws.keep(document_sets(docs, n), "sets")
     edges = ws.keep(candidate_edges(docs, n, threshold), "edges")
-    possible = possible_edges(edges, sets.filter("sid is not null"), threshold)
+    possible = possible_edges(edges, sets.filter("sid is not null"), threshold, ws)
     groups = ws.keep(connected_components(possible, ws, "candidates"), "groups")
     distinct = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"))
     wanted = groups.select(F.col("node").alias("sid"), F.col("root").alias("comp")).join(distinct, "sid")

@@ -135,3 +135,24 @@ def test_bitmaps_never_rule_out_a_link():
         both = len(np.intersect1d(a, b))
         if len(b) and both * 5 >= 4 * (len(a) + len(b) - both):
             assert J.circle_roots([len(a), len(b)], [J.bitmap(a), J.bitmap(b)], t) == [0, 0]
+
+
+@pytest.mark.parametrize("words", [2_000, 20_000])
+def test_long_near_copies_stay_linear(spark, words, monkeypatch):
+    """Parts on which the same long sets agree are one circle, and a set's bitmap is read once for all of them."""
+    monkeypatch.setattr(J, "FAMILY", 64)
+    rows = near_copies(9, 1, 4, words) + near_copies(10, 1, 3, words // 2)[:3]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    ws, df = Workspace(spark, "t"), frame(spark, rows)
+    edges = ws.keep(J.candidate_edges(df, 3, Fraction(9, 10)), "edges")
+    members = J.circle_members(edges, ws).collect()
+    assert 0 < len(members) < 40 and sum(len(r.circles) for r in members) < 100
+    got = J.components(df, 3, Fraction(9, 10)).collect()
+    assert multiset(map(tuple, got)) == multiset(brute(rows, 3, Fraction(9, 10)))
+
+
+def test_families_are_dealt_to_blocks_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(J, "FAMILY", 3)
+    rows = near_copies(7, 3, 25, 60)
+    got = J.components(frame(spark, rows), 3, Fraction(9, 10)).collect()
+    assert multiset(map(tuple, got)) == multiset(brute(rows, 3, Fraction(9, 10)))
