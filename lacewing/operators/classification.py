@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from . import vectors
+
 
 def bucket_vocabulary(train: DataFrame) -> DataFrame:
     """bucket, idx: the buckets of the training graphs, numbered from 0 in order."""
@@ -43,6 +47,58 @@ def cross_validate(features: DataFrame, folds: DataFrame, n_folds: int, trees: i
     return features.sparkSession.createDataFrame(out, "fold int, accuracy double")
 
 
+def fold_codes(rows: DataFrame, folds: DataFrame, n_folds: int, dim: int, hash_dim: int) -> DataFrame:
+    """graph_id, fold, class, pool and, for each fold f, buckets_f: a graph's mean vector and its sets' buckets under f's planes.
+
+    ``rows`` has graph_id and vec, one for each sampled set; ``folds`` has
+    graph_id, fold and class. The planes of a fold come from the other folds'
+    rows alone, class 1 against class 0; one pass of moments serves all folds,
+    and one more codes each row once a fold.
+    """
+    known = cut(rows.join(folds.select("graph_id", "fold", "class"), "graph_id").select("graph_id", "fold", "class", F.col("vec").cast("array<double>").alias("z")))
+    role = F.when(F.col("class") == 1, "pos").when(F.col("class") == 0, "neg").alias("role")
+    planes = vectors.planes_by_fold(known.select("fold", role, "z"), dim, hash_dim)
+    none = np.zeros((hash_dim, dim))
+    codes = [vectors.simhash(F.col("z"), planes.get(f, none).tolist()).alias(f"c{f}") for f in range(n_folds)]
+    mean = F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(dim)]).alias("pool")
+    coded = known.select("graph_id", "fold", "class", "z", *codes)
+    return coded.groupBy("graph_id", "fold", "class").agg(mean, *[F.sort_array(F.collect_list(f"c{f}")).alias(f"buckets_{f}") for f in range(n_folds)])
+
+
+def fold_vocabulary(codes: DataFrame, fold: int):
+    """A model that counts the buckets of a fold's training graphs; others have no place in it."""
+    from pyspark.ml.feature import CountVectorizer
+
+    return CountVectorizer(inputCol=f"buckets_{fold}", outputCol="hist", vocabSize=1 << 18, minDF=1.0).fit(codes.filter(F.col("fold") != fold))
+
+
+def validate_folds(codes: DataFrame, n_folds: int, trees: int = 500, depth: int = 8, parallel: int = 4) -> DataFrame:
+    """fold, accuracy, vocabulary: of a random forest on pooled vector and bucket counts, trained on the other folds.
+
+    Vocabulary and forest of a fold see its training graphs only; folds are
+    fitted ``parallel`` at a time.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+
+    codes = cut(codes)
+
+    def one(fold: int) -> tuple[int, float | None, int]:
+        counter = fold_vocabulary(codes, fold)
+        data = counter.transform(codes.withColumn("pooled", array_to_vector("pool")))
+        data = VectorAssembler(inputCols=["pooled", "hist"], outputCol="features").transform(data).select("fold", F.col("class").cast("double").alias("y"), "features")
+        model = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=42).fit(data.filter(F.col("fold") != fold))
+        got = model.transform(data.filter(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+        return fold, None if got is None or math.isnan(got) else float(got), len(counter.vocabulary)
+
+    with ThreadPool(parallel) as pool:
+        out = pool.map(one, range(n_folds))
+    return codes.sparkSession.createDataFrame(out, "fold int, accuracy double, vocabulary int")
+
+
 def level_embeddings(levels: list[DataFrame]) -> DataFrame:
     """graph_id, x: sums of the node vectors (graph_id, vec) of each level, one after the other; shallow graphs drop out."""
     out = None

@@ -49,17 +49,55 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select("graph_id", t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
 
 
+def peeled(edges: DataFrame) -> DataFrame:
+    """graph_id, node, round: when a node is peeled off; each round takes from every graph the nodes of at most twice its mean degree.
+
+    At least half of a graph's nodes go in a round. An edge that points to the
+    end that goes later, or is larger in the same round, leaves a node as often
+    as it had edges when it went: at most four times the largest density of a
+    subgraph, however large hubs are.
+    """
+    left, found, step = cut(edges.select("graph_id", "src", "dst")), None, 0
+    while left.limit(1).count():
+        deg = degrees(left)
+        mean = deg.groupBy("graph_id").agg(F.avg("deg").alias("mean"))
+        gone = cut(deg.join(mean, "graph_id").filter(F.col("deg") <= 2 * F.col("mean")).select("graph_id", "node", F.lit(step).alias("round")))
+        for end in ("src", "dst"):
+            left = left.join(gone.select("graph_id", F.col("node").alias(end)), ["graph_id", end], "left_anti")
+        left = cut(left.select("graph_id", "src", "dst"))
+        found = gone if found is None else found.union(gone)
+        step += 1
+    if found is None:
+        return edges.select("graph_id", F.col("src").alias("node"), F.lit(0).alias("round"))
+    # a node whose last neighbours went before it has no round yet
+    return nodes_of(edges).join(found, ["graph_id", "node"], "left").select("graph_id", "node", F.coalesce("round", F.lit(step)).alias("round"))
+
+
+def later_neighbours(edges: DataFrame) -> DataFrame:
+    """graph_id, a, later: a node's neighbours that are peeled later, as a list of bounded length."""
+    r = cut(peeled(edges))
+    both = edges.join(r.toDF("graph_id", "src", "_s"), ["graph_id", "src"]).join(r.toDF("graph_id", "dst", "_d"), ["graph_id", "dst"])
+    up = F.struct("_s", "src") < F.struct("_d", "dst")
+    pointed = both.select("graph_id", F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    return pointed.groupBy("graph_id", "a").agg(F.collect_list("b").alias("later"))
+
+
 def cliques(edges: DataFrame, size: int) -> DataFrame:
-    """graph_id, nodes: every clique of the size, once; grown in ascending node order."""
-    grown = edges.select("graph_id", F.array("src", "dst").alias("nodes"), F.col("dst").alias("last"))
-    step = edges.select("graph_id", F.col("src").alias("last"), F.col("dst").alias("next"))
-    for k in range(3, size + 1):
-        grown = grown.join(step, ["graph_id", "last"])
-        for j in range(k - 2):  # the new node must be tied to the others too
-            tie = edges.select("graph_id", F.col("src").alias("_s"), F.col("dst").alias("next"))
-            grown = grown.withColumn("_s", F.col("nodes")[j]).join(tie, ["graph_id", "_s", "next"], "left_semi").drop("_s")
-        grown = grown.select("graph_id", F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("last"))
-    return grown.select("graph_id", "nodes")
+    """graph_id, nodes (ascending): every clique of the size, once.
+
+    Nodes are taken in peeling order. A partial clique carries the nodes that
+    are tied to all of it; one join a node cuts that list with the node's own.
+    """
+    if size == 2:
+        return edges.select("graph_id", F.array("src", "dst").alias("nodes"))
+    lists = cut(later_neighbours(edges))
+    step = lists.select("graph_id", F.col("a").alias("next"), F.col("later").alias("_l"))
+    grown = lists.select("graph_id", F.array("a").alias("nodes"), F.col("later").alias("ties"))
+    for k in range(2, size):
+        # fewer ties than nodes still missing can't complete a clique
+        grown = grown.filter(F.size("ties") >= size - k + 1).select("graph_id", "nodes", "ties", F.explode("ties").alias("next"))
+        grown = grown.join(step, ["graph_id", "next"]).select("graph_id", F.concat("nodes", F.array("next")).alias("nodes"), F.array_intersect("ties", "_l").alias("ties"))
+    return grown.select("graph_id", "nodes", F.explode("ties").alias("next")).select("graph_id", F.array_sort(F.concat("nodes", F.array("next"))).alias("nodes"))
 
 
 def line_graph(edges: DataFrame) -> DataFrame:

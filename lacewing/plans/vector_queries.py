@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import classification, graphs, results, scoring, subgraphs, vectors
+from ..functions.lineage import cut
+from ..operators import classification, graphs, results, sampling, scoring, subgraphs, vectors
 from ..sources import collections as src
 from . import sql
 
@@ -282,12 +283,12 @@ def results_fold_stats(spark, d):
 
 @query()
 def rf_events(spark, d):
-    """Random forest over folds: is a week an even user's? Features are its subgraphs' vectors and buckets."""
+    """Random forest over ten folds: is a week an even user's? 50 sampled sets of three or four nodes a graph, label histograms of 32 places, 16 planes a fold, 500 trees."""
     e = src.event_week(spark, d)
-    ind = subgraphs.profiles(subgraphs.induced(subgraphs.enumerate_subgraphs(e, 3), e))
-    subs = subgraphs.structural_vectors(ind).join(subgraphs.certificates(ind), ["graph_id", "nodes"]).withColumnRenamed("cert", "bucket")
-    vocabulary = classification.bucket_vocabulary(subs)
-    n = vocabulary.count()
-    features = classification.graph_features(subs, F.broadcast(vocabulary), 20, n)  # certificates of three nodes: two
-    labelled = graphs.nodes_of(e).select("graph_id").distinct().withColumn("class", (F.floor(F.col("graph_id") / 100) % 2).cast("int"))
-    return classification.cross_validate(features, src.stratified_folds(labelled, 3), 3, trees=20, depth=4)
+    subs = subgraphs.sample_subgraphs(cut(sampling.sampled_sets(e, 3, 4)), 50).select("graph_id", "nodes")
+    labels = graphs.degrees(e).select("graph_id", "node", F.col("deg").cast("string").alias("label"))
+    labelled = subgraphs.wl_labels(subgraphs.induced(subs.distinct(), e), labels, 4)
+    rows = subs.join(subgraphs.wl_histograms(labelled, 32), ["graph_id", "nodes"])
+    classes = graphs.nodes_of(e).select("graph_id").distinct().withColumn("class", 1 - (F.floor(F.col("graph_id") / 100) % 2).cast("int"))
+    codes = classification.fold_codes(rows, src.stratified_folds(classes, 10), 10, 32, 16)
+    return classification.validate_folds(codes, 10)

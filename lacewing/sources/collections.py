@@ -112,9 +112,13 @@ def random_split(graphs: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def stratified_folds(labelled: DataFrame, n_folds: int = 10) -> DataFrame:
-    """graph_id, fold: shuffled by hash inside each class and dealt round."""
-    w = Window.partitionBy("class").orderBy(F.md5(F.col("graph_id").cast("string")), "graph_id")
-    return labelled.withColumn("fold", ((F.row_number().over(w) - 1) % n_folds).cast("int")).select("graph_id", "class", "fold")
+    """graph_id, fold: shuffled by hash inside each class and dealt round.
+
+    All rows are numbered at once, side by side; a class starts at its first number.
+    """
+    ranked = cut(numbered(labelled, F.col("class"), F.md5(F.col("graph_id").cast("string")), F.col("graph_id")))
+    first = ranked.groupBy("class").agg(F.min("rn").alias("_first"))
+    return ranked.join(first, "class").select("graph_id", "class", ((F.col("rn") - F.col("_first")) % n_folds).cast("int").alias("fold"))
 
 
 def validation_slice(folds: DataFrame, fold: int, ninth: int = 9) -> DataFrame:
