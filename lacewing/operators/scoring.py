@@ -75,14 +75,42 @@ def sigma_ranks(nodes: DataFrame, top_k: int) -> DataFrame:
     return ranked.withColumn("kept", F.when(F.col("rank") <= top_k, F.col("rank")).otherwise(0))
 
 
-def pairwise_jaccard(nodes: DataFrame) -> DataFrame:
-    """pred, truth, jaccard of node sets, over rows (graph_id, node, pred, truth) with 0 for none."""
-    both = nodes.filter("pred > 0 and truth > 0").groupBy("pred", "truth").agg(F.count("*").alias("n"))
-    p = nodes.filter("pred > 0").groupBy("pred").agg(F.count("*").alias("np"))
+def pairwise_jaccard(nodes: DataFrame, background: bool = False) -> DataFrame:
+    """pred, truth, jaccard of node sets, over rows (graph_id, node, pred, truth) with 0 for none.
+
+    With ``background`` the nodes without a prediction are a prediction too.
+    """
+    predicted = F.col("pred") >= 0 if background else F.col("pred") > 0
+    both = nodes.filter(predicted & (F.col("truth") > 0)).groupBy("pred", "truth").agg(F.count("*").alias("n"))
+    p = nodes.filter(predicted).groupBy("pred").agg(F.count("*").alias("np"))
     t = nodes.filter("truth > 0").groupBy("truth").agg(F.count("*").alias("nt"))
     return both.join(p, "pred").join(t, "truth").select("pred", "truth", (F.col("n") / (F.col("np") + F.col("nt") - F.col("n"))).alias("jaccard"))
 
 
+#: Predictions that an assignment can tell apart.
+MOST_PREDICTIONS = 20
+
+
+def assigned_jaccard(pairs: DataFrame) -> DataFrame:
+    """One row, jaccard: the largest sum over assignments of different predictions to the true motifs; pairs are those of ``pairwise_jaccard``.
+
+    States are the sets of predictions used so far with their best sum, at most
+    2 ** MOST_PREDICTIONS rows. Each true motif in turn takes none or one that a
+    state hasn't used, and the best sum of each set stays. Pairs that aren't
+    listed add nothing.
+    """
+    known = pairs.collect()  # a row a prediction and motif
+    names = sorted({r.pred for r in known})
+    if len(names) > MOST_PREDICTIONS:
+        raise ValueError(f"{len(names)} predictions: rank them and keep {MOST_PREDICTIONS} at most")
+    states = pairs.sparkSession.range(1).select(F.lit(0).alias("used"), F.lit(0.0).alias("total"))
+    for t in sorted({r.truth for r in known}):
+        options = F.array(F.struct(F.lit(0).alias("bit"), F.lit(0.0).alias("j")), *[F.struct(F.lit(1 << names.index(r.pred)).alias("bit"), F.lit(float(r.jaccard)).alias("j")) for r in known if r.truth == t])
+        grown = states.select("used", "total", F.inline(options)).filter(F.col("used").bitwiseAND(F.col("bit")) == 0)
+        states = grown.groupBy(F.col("used").bitwiseOR(F.col("bit")).alias("used")).agg(F.max(F.col("total") + F.col("j")).alias("total"))
+    return states.agg(F.max("total").alias("jaccard"))
+
+
 def permutation_jaccard(pairs: list[tuple[int, int, float]], n_truth: int) -> float:
     """The largest sum of Jaccards over assignments of different predictions to the true motifs."""
     table: dict[int, dict[int, float]] = {}

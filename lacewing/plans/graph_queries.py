@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, sampling, scoring, subgraphs, training
+from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, sampling, scoring, subgraphs, training, vectors
 from ..sources import collections as src
 from . import sql
 
 Q: dict = {}
 S: dict[str, str] = {}
+#: Calls of generators that read no table, with their SQL: tested, not registered.
+EXAMPLES: dict = {}
+
+
+def example(text: str | None = None):
+    def add(f):
+        EXAMPLES[f.__name__] = (f, text)
+        return f
+
+    return add
 
 
 def query(text: str | None = None):
@@ -452,6 +462,24 @@ def g2_perm_jaccard1(spark, d):
     return scoring.pairwise_jaccard(nodes).select("pred", F.round("jaccard", 6).alias("jaccard"))
 
 
+_CLASSES = "case when base like 'click%' then 1 when base like 'purchase%' then 2 when base like 'view%' then 3 else 0 end"
+
+
+@query(
+    f"with {_SPOT}, k as (select graph_id, node, count(*) - 1 pred from spot group by all), x as (select pred, {_CLASSES} truth from spot join k using (graph_id, node)), "
+    "np as (select pred, count(*) n from x group by 1), nt as (select truth, count(*) n from x where truth > 0 group by 1), "
+    "j as (select np.pred, nt.truth, (select count(*) from x where x.pred = np.pred and x.truth = nt.truth) c, np.n a, nt.n b from np, nt), "
+    "v as (select pred, truth, c / (a + b - c) j from j union all select -t, t, 0 from range(1, 4) r(t)) "
+    "select round(max(a.j + b.j + c.j), 6) jaccard from v a, v b, v c where a.truth = 1 and b.truth = 2 and c.truth = 3 and a.pred <> b.pred and a.pred <> c.pred and b.pred <> c.pred"
+)
+def g2_perm_jaccard3(spark, d):
+    """Three true motifs, by kind of event, and predictions by the spotlight's size, the background (size 1) among them."""
+    spot = pooling.pool(src.event_week(spark, d), 2)[1]["spot"]
+    pred = spot.groupBy("graph_id", "node").agg((F.count("*") - 1).alias("pred"))
+    nodes = spot.join(pred, ["graph_id", "node"]).select("graph_id", "pred", F.expr(_CLASSES).alias("truth"))
+    return scoring.assigned_jaccard(scoring.pairwise_jaccard(nodes, background=True)).select(F.round("jaccard", 6).alias("jaccard"))
+
+
 @query(f"with {_SPOT}, {_TRUTH} select spot.graph_id, spot.node, count(*) n, avg(case when t.node is null then 0 else 1 end) > 0.6 is_motif from spot left join truth t on t.graph_id = spot.graph_id and t.node = spot.base group by all")
 def g2_hierarchy_view(spark, d):
     spot = pooling.pool(src.event_week(spark, d), 2)[1]["spot"]
@@ -479,6 +507,14 @@ def g2_decode(spark, d):
     return pooling.decode(pooling.pool(e, 2)[1], e, _code(), 8).withColumn("sigma", F.round("sigma", 8)).select("graph_id", "spotlight", "node", "motif", "sigma")
 
 
+@query()
+def g2_decode_random_planes(spark, d):
+    """Motifs are the buckets of eight Gaussian planes over the spotlights' degree histograms."""
+    e = src.event_week(spark, d)
+    code = vectors.simhash(F.col("hist"), vectors.random_planes(8, 16))
+    return pooling.decode(pooling.pool(e, 2)[1], e, code, 16).withColumn("sigma", F.round("sigma", 8)).select("graph_id", "spotlight", "node", "motif", "sigma")
+
+
 @query(f"with {_SPOT}, k as (select graph_id, node, count(*) n_nodes from spot group by all) select n_nodes, count(*) n from k group by 1")
 def g2_spotlight_sizes(spark, d):
     spot = pooling.pool(src.event_week(spark, d), 2)[1]["spot"]
@@ -528,11 +564,21 @@ c as (select x.h a, y.h b, x.d, min(0.5 * abs(x.d - y.d)) m, count(distinct x.k)
 g as (select t.a, t.b, cast(greatest(abs(len(p.x) - len(q.x)), t.t + u.t) as double) g from t join t u on u.a = t.b and u.b = t.a join h p on p.h = t.a join h q on q.h = t.b), w as (select graph_id, h.h from l join h on h.x = l.x)"""
 
 
-@query(f"with {sql.G2}, {sql.sym('g2')}, {_ALL} select x.graph_id a, y.graph_id b, round(g.g, 4) ged, round(exp(-0.5 * g.g), 6) sim from g join w x on x.h = g.a join w y on y.h = g.b where x.graph_id < y.graph_id")
+#: Pairs of graphs as similar as this are listed.
+SIMILAR = 0.3
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, {_ALL}, r as (select h, min(graph_id) shape from w group by 1) select x.shape a, y.shape b, round(g.g, 4) ged, round(exp(-0.5 * g.g), 6) sim from g join r x on x.h = g.a join r y on y.h = g.b where x.shape < y.shape and exp(-0.5 * g.g) >= {SIMILAR}")
 def hausdorff_ged_g2(spark, d):
-    """Every pair of graphs."""
-    found = ged.hausdorff_distances(ged.degree_lists(src.event_week(spark, d)))
-    return found.select("a", "b", F.round("ged", 4).alias("ged"), F.round(ged.similarity(F.col("ged")), 6).alias("sim"))
+    """Similar pairs of shapes; hausdorff_shapes_g2 has their graphs."""
+    found = ged.hausdorff_similar(cut(ged.degree_lists(src.event_week(spark, d))), SIMILAR)
+    return found.select("a", "b", F.round("ged", 4).alias("ged"), F.round("sim", 6).alias("sim"))
+
+
+@query(f"with {sql.G2}, {sql.sym('g2')}, d as (select graph_id, a, count(*) d from s group by all), l as (select graph_id, list(d order by d) x from d group by 1) select graph_id, min(graph_id) over (partition by x) shape from l")
+def hausdorff_shapes_g2(spark, d):
+    """The shape of every graph."""
+    return ged.hausdorff_shapes(cut(ged.degree_lists(src.event_week(spark, d))))
 
 
 @query()
@@ -555,7 +601,7 @@ def ged_similarity_matrix_g2(spark, d):
 # -- generators
 
 
-@query("""with p as (select a.i src, b.i dst from range(20) a(i) join range(20) b(i) on a.i < b.i),
+@example("""with p as (select a.i src, b.i dst from range(20) a(i) join range(20) b(i) on a.i < b.i),
 x as (select 'star' shape, src, dst from p where dst < 9 and src = 0 union all
 select 'clique', src, dst from p where dst < 8 union all
 select 'wheel', src, dst from p where dst < 8 and (src = 0 or dst = src + 1 or (src = 1 and dst = 7)) union all
@@ -571,7 +617,7 @@ def motif_shapes(spark, d):
     return out.select("shape", "src", "dst")
 
 
-@query("""with p as (select g.i graph_id, a.i src, b.i dst from range(50) g(i), range(8) a(i), range(8) b(i) where a.i < b.i),
+@example("""with p as (select g.i graph_id, a.i src, b.i dst from range(50) g(i), range(8) a(i), range(8) b(i) where a.i < b.i),
 x as (select *, src = 0 as e, cast('0x' || substr(md5(concat_ws('|', 5, graph_id, src, dst)), 1, 8) as bigint) / 4294967296.0 < 0.2 f from p)
 select graph_id, src, dst from x where e <> f""")
 def motif_distort_hash(spark, d):
@@ -582,12 +628,12 @@ def motif_distort_hash(spark, d):
     return generators.distort(edges, nodes, 0.2, 5)
 
 
-@query("with p as (select g.i graph_id, a.i src, b.i dst from range(100) g(i), range(20) a(i), range(20) b(i) where a.i < b.i) select * from p where cast('0x' || substr(md5(concat_ws('|', 42, graph_id, src, dst)), 1, 8) as bigint) / 4294967296.0 < 0.1")
+@example("with p as (select g.i graph_id, a.i src, b.i dst from range(100) g(i), range(20) a(i), range(20) b(i) where a.i < b.i) select * from p where cast('0x' || substr(md5(concat_ws('|', 42, graph_id, src, dst)), 1, 8) as bigint) / 4294967296.0 < 0.1")
 def er_parents(spark, d):
     return generators.random_parents(spark, 100, 20, 0.1)
 
 
-@query()
+@example()
 def planted_pairs(spark, d):
     parents = generators.connected_parents(spark, 20, 12, 0.25)
     motif = [(r.src, r.dst) for r in generators.motif_shape(spark, "barbell", 6).collect()]
@@ -599,7 +645,7 @@ def swap_null_g2(spark, d):
     return generators.swap_null(src.event_week(spark, d))
 
 
-@query("select d.x dataset, h.x hash_dim, l.x level from (values ('star'), ('barbell'), ('clique')) d(x), (values (8), (16), (32)) h(x), (values (2), (3), (4)) l(x)")
+@example("select d.x dataset, h.x hash_dim, l.x level from (values ('star'), ('barbell'), ('clique')) d(x), (values (8), (16), (32)) h(x), (values (2), (3), (4)) l(x)")
 def grid_params(spark, d):
     return generators.parameter_grid(spark, {"dataset": ["star", "barbell", "clique"], "hash_dim": [8, 16, 32], "level": [2, 3, 4]}).select("dataset", F.col("hash_dim").cast("int").alias("hash_dim"), F.col("level").cast("int").alias("level"))
 
@@ -712,7 +758,7 @@ def results_key_values(spark, d):
     return results.from_key_values(long, ["graph_id"], ["edges", "sources"])
 
 
-@query("select 'barbell' || x || '-d0.0' || i as name, case when x = '' then 1 else cast(substr(x, 3) as int) end as n_motifs from (values ('', 1), ('-n2', 2), ('-n10', 5)) v(x, i)")
+@example("select 'barbell' || x || '-d0.0' || i as name, case when x = '' then 1 else cast(substr(x, 3) as int) end as n_motifs from (values ('', 1), ('-n2', 2), ('-n10', 5)) v(x, i)")
 def results_motif_count(spark, d):
     rows = spark.createDataFrame([("barbell-d0.01",), ("barbell-n2-d0.02",), ("barbell-n10-d0.05",)], "name string")
     return rows.select("name", results.motif_count(F.col("name")).alias("n_motifs"))

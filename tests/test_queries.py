@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lacewing.plans import registry
+from lacewing.plans import graph_queries, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,6 +32,13 @@ def test_query_equals_sql(spark, duck, name):
     assert cells(got) == cells(duck.execute(registry.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", sorted(graph_queries.EXAMPLES))
+def test_generators_equal_sql(spark, duck, name):
+    made, text = graph_queries.EXAMPLES[name]
+    got = made(spark, SF).toPandas()
+    assert name not in registry.QUERIES and len(got) and (text is None or cells(got) == cells(duck.execute(text).df()))
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -35,3 +35,30 @@ def test_edit_distances_cover_all_graphs(spark):
     sim = registry.QUERIES["ged_similarity_matrix_g2"](spark, SF)
     assert sim.count() == len(graphs) ** 2 == sim.select("i", "j").distinct().count()
     assert sim.filter(F.col("i") == F.col("j")).agg(F.min("sim")).first()[0] == 1.0
+
+
+def test_similar_shapes_and_their_members_are_all_similar_pairs(spark):
+    lists = ged.degree_lists(src.event_week(spark, SF)).cache()
+    n = lists.count()
+    rng = np.random.default_rng(1)
+    more = [(10**9 + i, sorted(rng.integers(1, 9, rng.integers(2, 12)).tolist())) for i in range(80)]
+    lists = lists.union(spark.createDataFrame(more, "graph_id long, degs array<int>")).cache()
+    every = {(r.a, r.b): r.ged for r in ged.hausdorff_distances(lists).collect()}
+    assert len(every) == (n + 80) * (n + 79) // 2
+    shape = {r.graph_id: r.shape for r in ged.hausdorff_shapes(lists).collect()}
+    for least in (0.9, 0.5, 0.3, 0.1):
+        found = {(r.a, r.b): r.ged for r in ged.hausdorff_similar(lists, least).collect()}
+        got = {}
+        for a, b in every:
+            x, y = sorted((shape[a], shape[b]))
+            if x == y:
+                got[a, b] = 0.0
+            elif (x, y) in found:
+                got[a, b] = found[x, y]
+        most = -2 * np.log(least)
+        assert got == {p: g for p, g in every.items() if np.exp(-0.5 * g) >= least}
+        shapes = len(set(shape.values()))
+        candidates = ged.hausdorff_candidates(lists, most).count()
+        assert len(found) <= candidates < shapes * (shapes - 1) / 2
+        if least >= 0.5:
+            assert candidates < 0.5 * shapes * (shapes - 1) / 2
