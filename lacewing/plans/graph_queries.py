@@ -583,7 +583,7 @@ def hausdorff_shapes_g2(spark, d):
 
 @query()
 def ged_bipartite_g2(spark, d):
-    return ged.pair_distances(ged.packed(src.event_week(spark, d)), "bipartite")
+    return ged.pair_distances(ged.packed(src.event_week(spark, d)), "bipartite").drop("settled")
 
 
 @query()

@@ -25,6 +25,15 @@ def test_exact_equals_a_star_and_many_equal_one():
         assert ged.bipartite_many(np.array([a, a]), np.array([b, b])).tolist() == [ged.bipartite(a, b)] * 2
 
 
+def test_a_spent_budget_gives_an_upper_bound():
+    rng = np.random.default_rng(5)
+    a, b = (ged.matrix(9, [p for p in itertools.combinations(range(9), 2) if rng.random() < 0.5]) for _ in range(2))
+    want = ged.exact(a, b)
+    assert ged.exact_within(a, b, 1 << 40) == (want, True)
+    bounds = [ged.exact_within(a, b, n) for n in (0, 20, 200)]
+    assert not bounds[0][1] and all(d >= want for d, _ in bounds)
+
+
 def test_edit_distances_cover_all_graphs(spark):
     graphs = graphs_of(spark)
     pairs = list(itertools.combinations(sorted(graphs), 2))
