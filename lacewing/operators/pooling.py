@@ -134,6 +134,60 @@ def pool(edges: DataFrame, levels: int, nodes: DataFrame | None = None, trained=
     return out
 
 
+def merge_tree(levels: list[dict[str, DataFrame]]) -> DataFrame:
+    """graph_id, level, node, parent: each node of each level with the node of the next that it became part of; the top has no parent."""
+    out = None
+    for t, level in enumerate(levels):
+        own = level["cluster"].select("graph_id", F.lit(t).alias("level"), "node", F.col("cluster").alias("parent"))
+        out = own if out is None else out.unionByName(own)
+    top = levels[-1]["cluster"].select("graph_id", F.lit(len(levels)).alias("level"), F.col("cluster").alias("node")).distinct()
+    return out.unionByName(top.withColumn("parent", F.lit(None).cast(top.schema["node"].dataType)))
+
+
+def ancestors(tree: DataFrame, depth: int) -> DataFrame:
+    """graph_id, level, node, top: each node's ancestor at the last level; pointers double in length each round."""
+    up = tree.select("graph_id", "level", "node", F.when(F.col("parent").isNull(), F.col("level")).otherwise(F.col("level") + 1).alias("above"), F.coalesce("parent", "node").alias("top"))
+    reach = 1
+    while reach < depth:
+        up = cut(up)
+        further = up.select("graph_id", F.col("level").alias("above"), F.col("node").alias("top"), F.col("above").alias("_a"), F.col("top").alias("_t"))
+        up = up.join(further, ["graph_id", "above", "top"]).select("graph_id", "level", "node", F.col("_a").alias("above"), F.col("_t").alias("top"))
+        reach *= 2
+    return up.select("graph_id", "level", "node", "top")
+
+
+def hierarchy(edges: DataFrame, levels: list[dict[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, top, level, node; graph_id, top, level, source, target, merge): the tree below each top node, with the edges of each level inside it.
+
+    A merge link goes from a node to one of the level below, at ``level``; the
+    others lie in one level.
+    """
+    tree = cut(merge_tree(levels))
+    under = cut(ancestors(tree, len(levels)))
+    merges = under.filter(F.col("level") < len(levels)).join(tree, ["graph_id", "level", "node"])
+    links = merges.select("graph_id", "top", "level", F.col("parent").alias("source"), F.col("node").alias("target"), F.lit(True).alias("merge"))
+    for t, own in enumerate([edges, *[level["edges"] for level in levels[:-1]]]):
+        here = under.filter(F.col("level") == t).select("graph_id", "node", "top")
+        a, b = here.toDF("graph_id", "src", "top"), here.toDF("graph_id", "dst", "top")
+        inner = own.select("graph_id", "src", "dst").join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst", "top"])
+        links = links.unionByName(inner.select("graph_id", "top", F.lit(t).alias("level"), F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(False).alias("merge")))
+    return under.select("graph_id", "top", "level", "node"), links
+
+
+def hierarchy_json(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """graph_id, top, json: each top node's tree as nodes and links, both ordered; a node is named level:node."""
+    named = lambda level, node: F.concat_ws(":", level, node)
+    n = nodes.select("graph_id", "top", F.struct("level", named(F.col("level"), F.col("node")).alias("id")).alias("x"))
+    n = n.groupBy("graph_id", "top").agg(F.sort_array(F.collect_list("x")).alias("n"))
+    source = named(F.col("level") + F.col("merge").cast("int"), F.col("source"))
+    e = links.select("graph_id", "top", F.struct("merge", source.alias("source"), named(F.col("level"), F.col("target")).alias("target")).alias("x"))
+    e = e.groupBy("graph_id", "top").agg(F.sort_array(F.collect_list("x")).alias("e"))
+    both = n.join(e, ["graph_id", "top"], "left")
+    id_and_level = F.transform("n", lambda x: F.struct(x["id"].alias("id"), x["level"].alias("level")))
+    ends = F.transform(F.coalesce("e", F.array().cast("array<struct<merge:boolean,source:string,target:string>>")), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["merge"].alias("merge")))
+    return both.select("graph_id", "top", F.to_json(F.struct(id_and_level.alias("nodes"), ends.alias("links"))).alias("json"))
+
+
 def filter_sigma(sigma: DataFrame, k: int, best: bool = True) -> DataFrame:
     """The k merged nodes of each graph with the largest (or smallest) totals."""
     order = F.desc("sigma") if best else F.asc("sigma")

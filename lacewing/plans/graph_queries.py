@@ -364,6 +364,23 @@ def g2_gallery_counts(spark, d):
     return _bucketed_g2(spark, d, 4).groupBy("bucket").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bucket")
 
 
+@query(
+    f"with {_CERT3}, r as (select *, row_number() over (partition by cert order by graph_id, nodes) rn from cert), "
+    "l as (select r.graph_id, r.nodes, list({'source': a, 'target': b} order by a, b) l from r join ind on ind.graph_id = r.graph_id and ind.nodes = r.nodes where rn <= 30 and a < b group by all) "
+    "select cert bucket, r.graph_id, cast(to_json({'nodes': list_transform(r.nodes, lambda x: {'id': x}), 'links': l}) as varchar) json from r join l on l.graph_id = r.graph_id and l.nodes = r.nodes"
+)
+def g2_gallery_json(spark, d):
+    """The first 30 instances of each bucket as nodes and links."""
+    from pyspark.sql import Window
+
+    e = src.event_week(spark, d)
+    ind = subgraphs.induced(subgraphs.enumerate_subgraphs(e, 3), e)
+    named = ind.join(subgraphs.certificates(ind).withColumnRenamed("cert", "bucket"), ["graph_id", "nodes"])
+    first = named.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("graph_id", "nodes"))).filter("rn <= 30")
+    links = F.transform("local", lambda x: F.struct(F.get("nodes", x["i"]).alias("source"), F.get("nodes", x["j"]).alias("target")))
+    return first.select("bucket", "graph_id", F.to_json(F.struct(F.transform("nodes", lambda x: F.struct(x.alias("id"))).alias("nodes"), links.alias("links"))).alias("json"))
+
+
 @query(f"with {_CERT3}, r as (select *, row_number() over (partition by cert order by graph_id, nodes) rn from cert), p as (select r.cert, r.graph_id, r.nodes, deg.d, count(*) n from r join deg on deg.graph_id = r.graph_id and deg.nodes = r.nodes where rn <= 30 group by all) select cert bucket, graph_id, array_to_string(nodes, ',') nodes, string_agg(d || '=' || n, ',' order by d) hist from p group by all")
 def g2_gallery_page(spark, d):
     """The first 30 instances of each bucket, with their degree histograms."""
@@ -507,6 +524,26 @@ def g2_decode(spark, d):
     return pooling.decode(pooling.pool(e, 2)[1], e, _code(), 8).withColumn("sigma", F.round("sigma", 8)).select("graph_id", "spotlight", "node", "motif", "sigma")
 
 
+_TREE = """x2 as (select distinct graph_id, cluster top from c1), pick as (select * from x2 order by graph_id, top limit 30),
+tn as (select graph_id, node top, 0 lv, '0:' || base id from spot union all select graph_id, cluster, 1, '1:' || node from c1 union all select graph_id, top, 2, '2:' || top from x2),
+tl as (select c1.graph_id, c1.cluster top, true mg, '1:' || c0.cluster s, '0:' || c0.node t from c0 join c1 on c1.graph_id = c0.graph_id and c1.node = c0.cluster
+  union all select graph_id, cluster, true, '2:' || cluster, '1:' || node from c1
+  union all select g2.graph_id, x.node, false, '0:' || g2.src, '0:' || g2.dst from g2 join spot x on x.graph_id = g2.graph_id and x.base = g2.src join spot y on y.graph_id = g2.graph_id and y.base = g2.dst and y.node = x.node
+  union all select e1.graph_id, x.cluster, false, '1:' || e1.src, '1:' || e1.dst from e1 join c1 x on x.graph_id = e1.graph_id and x.node = e1.src join c1 y on y.graph_id = e1.graph_id and y.node = e1.dst and y.cluster = x.cluster),
+jn as (select graph_id, top, list({'id': id, 'level': lv} order by lv, id) n from tn join pick using (graph_id, top) group by all),
+jl as (select graph_id, top, list({'source': s, 'target': t, 'merge': mg} order by mg, s, t) l from tl join pick using (graph_id, top) group by all)"""
+
+
+@query(f"with {_SPOT}, {_TREE} select graph_id, top, cast(to_json({{'nodes': n, 'links': coalesce(l, [])}}) as varchar) json from jn left join jl using (graph_id, top)")
+def g2_hierarchy_json(spark, d):
+    """The first 30 merge trees of two levels, with the edges of each level, as nodes and links."""
+    e = src.event_week(spark, d)
+    nodes, links = pooling.hierarchy(e, pooling.pool(e, 2))
+    first = nodes.select("graph_id", "top").distinct().orderBy("graph_id", "top").limit(30)
+    pick = lambda df: df.join(F.broadcast(first), ["graph_id", "top"], "left_semi")  # noqa: E731 - 30 rows
+    return pooling.hierarchy_json(pick(nodes), pick(links))
+
+
 @query()
 def g2_decode_random_planes(spark, d):
     """Motifs are the buckets of eight Gaussian planes over the spotlights' degree histograms."""
