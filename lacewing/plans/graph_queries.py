@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import ged, generators, graphs, isomorphism, labelled_ged, pooling, results, sampling, scoring, subgraphs, training, vectors
+from ..operators import ged, generators, graphs, isomorphism, labelled_ged, message_passing, pooling, results, sampling, scoring, subgraphs, training, vectors
 from ..sources import collections as src
 from . import sql
 
@@ -842,3 +842,12 @@ def g2_trained_sigma(spark, d):
     (pos, x_pos), _ = _even_and_odd(spark, d)
     scorer = training.Scorer(DEGREES, 8, 1)
     return pooling.pool(pos, 2, trained=training.TrainedScores(scorer, x_pos))[-1]["sigma"].select("graph_id", "node", F.round("sigma", 6).alias("sigma"))
+
+
+@query()
+def g2_convolution_folds(spark, d):
+    """Accuracy of two graph convolutions on a fold's graphs, at the step that did best on its validation graphs: is a week an even user's?"""
+    e = src.event_week(spark, d)
+    labels = graphs.degrees(e).select("graph_id", "node", F.least(F.col("deg") - 1, F.lit(DEGREES - 1)).alias("label"))
+    classes = graphs.nodes_of(e).select("graph_id").distinct().withColumn("class", (src.event_role() == "pos").cast("int"))
+    return message_passing.validated(e, graphs.one_hot(labels, DEGREES), src.stratified_folds(classes, 10), 10, DEGREES, dim=4, steps=10, rate=0.05)
