@@ -11,14 +11,14 @@ HEAVY_SHARE = 1024
 HEAVY_ROWS = 1000
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """The inner or left join of ``rows`` with ``lookup``, which has one row a key; keys are not null.
 
     Rows of a heavy key would all meet in one task. They stay where they are, and
     the lookup's rows of those keys, at most HEAVY_SHARE, are broadcast to them.
-    ``rows`` should be a written table: it is read once more to find such keys.
+    ``rows``, or ``counted`` with the same keys, should be a written table: it is read once more to find such keys.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= HEAVY_ROWS)
+    counts = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= HEAVY_ROWS)
     found = counts.orderBy(F.desc("_n")).limit(HEAVY_SHARE).drop("_n")
     heavy = found.collect()
     if not heavy:

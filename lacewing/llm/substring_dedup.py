@@ -34,9 +34,9 @@ WINDOW = 13
 GRAM = 5
 #: Words in a shard's index, on average.
 SHARD_WORDS = 400_000
-#: A minimizer with more distinct segments than this is routed window by window.
-HOT_SEGMENTS = 2000
-#: Hot minimizers are broadcast up to this many (8 MB), which HOT_SEGMENTS times as many contents must bring.
+#: A minimizer with more words than this in its distinct segments is routed window by window.
+HOT_WORDS = 50_000
+#: Hot minimizers are broadcast up to this many (8 MB), which HOT_WORDS times as many words must bring.
 BROADCAST_GRAMS = 1 << 20
 #: Minimizers that a task holds before it passes them on.
 TASK_ROWS = 600_000
@@ -119,6 +119,8 @@ class FMIndex:
     def __init__(self, text: np.ndarray, owner: np.ndarray):
         n = len(text)
         top = int(text.max(initial=1)) + 1
+        if top > 1 << 21:
+            raise ValueError(f"{top} symbols: three of them don't fit in a key of 63 bits")
         padded = np.concatenate([text, np.zeros(2, np.int64)])
         # prefix doubling, from three symbols on
         key, h = (padded[:n] * top + padded[1 : n + 1]) * top + padded[2:], 3
@@ -288,12 +290,14 @@ def _repeated_minimizers(docs: DataFrame) -> DataFrame:
 SEGMENT = "tid long, ord long, start int, gram long, seg long, words binary"
 
 
-def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _segments(docs: DataFrame, wanted: DataFrame, base: DataFrame) -> DataFrame:
     """Segments of neighbouring windows with one repeated minimizer, of one document for each sequence.
 
-    A content that a task has sent before travels without its words.
+    A content that a task has sent before travels without its words. Where very
+    many rows repeat doc_id and text, they stay where they are, and each task
+    that has some sends the segments.
     """
-    rows = docs.join(wanted.select("ord", "tkey", "tid", "grams"), ["ord", "tkey"]).select("tid", "ord", "grams", "text")
+    rows = join_unique(docs, wanted.select("ord", "tkey", "tid", "grams"), ["ord", "tkey"], counted=base).select("tid", "ord", "grams", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -337,10 +341,11 @@ def _cut_windows(segments: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(6)]
             for gram, seg, ord_, words in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 w = np.frombuffer(words, np.uint64)
-                for at in range(len(w) - WINDOW + 1):
-                    part = w[at : at + WINDOW]
-                    for column, v in zip(out, (gram, seg, at, sequence_key(part), ord_, part.tobytes()), strict=True):
-                        column.append(v)
+                starts = np.arange(len(w) - WINDOW + 1)
+                n = len(starts)
+                parts = [words[8 * at : 8 * (at + WINDOW)] for at in range(n)]
+                for column, v in zip(out, ([gram] * n, [seg] * n, starts.tolist(), range_keys(w, starts, starts + WINDOW).tolist(), [ord_] * n, parts), strict=True):
+                    column += v
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "seg", "at", "window", "ord", "words"])
 
@@ -391,12 +396,12 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     base = ws.keep(_base(docs), "base")
     first = base.filter(f"n_words >= {WINDOW}").groupBy("tid").agg(F.min(F.struct("ord", "tkey")).alias("f")).select("tid", "f.ord", "f.tkey")
     wanted = ws.keep(_repeated_minimizers(docs).join(first, "tid"), "wanted")
-    segments = ws.keep(_segments(docs, wanted), "segments")
+    segments = ws.keep(_segments(docs, wanted, base), "segments")
     # max skips the rows that travel without words; equal content has equal words
     contents = ws.keep(segments.groupBy("gram", "seg").agg(F.min("ord").alias("ord"), F.max("words").alias("words")), "contents")
     words = contents.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 8
     shards = int(words // SHARD_WORDS) + 1
-    hot = ws.keep(contents.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_SEGMENTS).select("gram"), "hot")
+    hot = ws.keep(contents.groupBy("gram").agg((F.sum(F.length("words")) / 8).alias("c")).filter(F.col("c") > HOT_WORDS).select("gram"), "hot")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_GRAMS else hot
     cold = contents.join(hot, "gram", "left_anti")
     windows = ws.keep(_cut_windows(contents.join(hot, "gram")), "windows")
@@ -408,8 +413,8 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     found = join_unique(segments.drop("words"), least.filter("seg is not null").unionByName(hot_least), ["gram", "seg"])
     repeats = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("ord"), F.col("start") + i.cast("int"))), lambda x: x.isNotNull())
     found = found.select("tid", "ord", repeats.alias("at")).filter(F.size("at") > 0)
-    gone = found.groupBy("tid").agg(F.flatten(F.collect_list("at")).alias("at")).join(first, "tid")
-    changed = ws.keep(_removed(docs, ws.keep(gone, "gone")), "changed")
+    gone = found.groupBy("tid").agg(F.flatten(F.collect_set("at")).alias("at")).join(first, "tid")
+    changed = ws.keep(_removed(docs, ws.keep(gone, "gone"), base).dropDuplicates(["tid"]), "changed")
     known = ws.keep(first.select("tid", F.col("ord").alias("first")).join(changed, "tid", "left"), "known")
     rows = join_unique(base, known, ["tid"], "left")
     ws.drop_all_but("base", "known")
@@ -421,9 +426,9 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     )
 
 
-def _removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(tid, n_removed, kept) of the sequences that lose words."""
-    rows = docs.join(gone, ["ord", "tkey"]).select("tid", "at", "text")
+def _removed(docs: DataFrame, gone: DataFrame, base: DataFrame) -> DataFrame:
+    """(tid, n_removed, kept) of the sequences that lose words; several equal rows where very many rows repeat doc_id and text."""
+    rows = join_unique(docs, gone, ["ord", "tkey"], counted=base).select("tid", "at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

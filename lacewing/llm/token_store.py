@@ -2,7 +2,7 @@
 
 A file holds one run of documents in ascending doc_id order::
 
-    magic  8 bytes  b"LWTOK\\x00\\x01\\x00"
+    magic  8 bytes  b"LWTOK\\x00\\x02\\x00"
     header 8 little-endian unsigned 64-bit integers: documents, tokens, bytes
            an id (2 or 4), rows without a doc_id, offset of the doc_ids (as
            two's complement), sizes in bytes of the two boundary sections and
@@ -304,8 +304,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, workspace: Wo
         if ends:
             yield close()
 
-    placed = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
-    ordered = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # rows that share a doc_id, or have none, are told apart by the text's hash and then by a number, so that no task gets all of them
+    keyed = rows.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.rand(11))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_n")]
+    placed = keyed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    ordered = placed.sortWithinPartitions(*order).select("doc_id", "text", "part")
     return workspace.keep(ordered.mapInArrow(files, MANIFEST), "manifest")
 
 
@@ -336,5 +339,5 @@ def read(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = starts.select("path", "start").repartition(min(count, 4096), "path")
+    spread = starts.select("path", "start").repartition(count, "path")
     return spread.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -272,9 +272,9 @@ def removed_by_definition(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 0])
+@pytest.mark.parametrize("hot", [50_000, 0])
 def test_substring_dedup_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_WORDS", hot)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
     rows = documents(10, 90)
     want = removed_by_definition(rows)
