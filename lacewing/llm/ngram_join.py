@@ -496,25 +496,29 @@ MEMBERS = "comp long, block int, sid long, label long, tokens binary"
 
 
 def _member_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(sid, comp, n, tokens) of the wanted sets; one document's text stands for each."""
+    """(sid, comp, block, blocks, n, tokens) of the wanted sets; one document's text stands for each."""
     few = wanted.count() <= BROADCAST_ROWS
-    w = wanted.select("tkey", "sid", "comp")
-    rows = docs.join(F.broadcast(w) if few else w, "tkey").select("sid", "comp", "text")
+    w = wanted.select("tkey", "sid", "comp", "block", "blocks")
+    rows = docs.join(F.broadcast(w) if few else w, "tkey").select("sid", "comp", "block", "blocks", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            want, comp = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out: list[list] = [[], [], [], []]
-            for i, tokens in _sets(b.column(2), n):
+            want = b.column(0).to_pylist()
+            at: list[int] = []
+            sizes: list[int] = []
+            sets: list[bytes] = []
+            for i, tokens in _sets(b.column(4), n):
                 # several rows can have that text: it counts once
                 if len(tokens) and want[i] not in seen and set_key(tokens) == want[i]:
                     seen.add(want[i])
-                    for column, v in zip(out, (want[i], comp[i], len(tokens), tokens.tobytes()), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["sid", "comp", "n", "tokens"])
+                    at.append(i)
+                    sizes.append(len(tokens))
+                    sets.append(tokens.tobytes())
+            own = [c.take(pa.array(at, pa.int64())) for c in b.columns[:4]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "comp", "block", "blocks", "n", "tokens"])
 
-    return rows.mapInArrow(run, "sid long, comp long, n long, tokens binary")
+    return rows.mapInArrow(run, "sid long, comp long, block int, blocks int, n long, tokens binary")
 
 
 def _block_links(members: DataFrame, threshold: Fraction) -> DataFrame:
@@ -622,10 +626,11 @@ def components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     edges = ws.keep(candidate_edges(docs, n, threshold), "edges")
     possible = possible_edges(edges, sets.filter("sid is not null"), threshold, ws)
     groups = ws.keep(connected_components(possible, ws, "candidates"), "groups")
-    distinct = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"))
+    distinct = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.max("n_shingles").alias("n"))
     wanted = groups.select(F.col("node").alias("sid"), F.col("root").alias("comp")).join(distinct, "sid")
-    wanted = ws.keep(wanted, "wanted")
-    members = _blocked(_member_sets(docs, wanted, n), "block").withColumn("label", F.col("sid"))
+    # blocks are laid out before the sets have their tokens, so that those needn't travel for it
+    wanted = ws.keep(_blocked(ws.keep(wanted, "grouped"), "block"), "wanted")
+    members = _member_sets(docs, wanted, n).withColumn("label", F.col("sid"))
     members = ws.keep(members, "members")
     links = ws.keep(_block_links(_packed(members), threshold), "links")
     links = ws.keep(_cross_blocks(members, links, threshold, ws), "all-links")
@@ -645,14 +650,28 @@ def distinct_rows(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4,
     The row that comes first by (doc_id, nulls last, then the text's digest)
     stays, once if it is repeated. Texts without words link with nothing and stay.
     """
+    ws = Workspace(docs.sparkSession, "distinct-rows")
     names = docs.columns
     text = docs["text"].cast("string")
     worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), worded.alias("worded"))
+    keys = [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("k")]
+    # ids and digests decide; the rows with their texts stay where they are
+    light = ws.keep(docs.select(*keys, worded.alias("worded")).groupBy("doc_id", "k", "worded").agg(F.count("*").alias("c")), "rows")
     # texts stand for their rows: copies are counted once before anything is joined
     found = components(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), n, threshold).filter("n_shingles > 0")
     found = found.groupBy(F.col("doc_id").alias("k")).agg(F.min("component_id").alias("comp"))
-    first = keyed.filter("worded").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f"))
+    first = light.filter("worded").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f"))
     stay = first.join(found, "k").groupBy("comp").agg(F.min(F.struct("f.none", "f.doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("_d"), F.col("s.k").alias("_k"))
-    kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_d"]) & (keyed["k"] == stay["_k"]), "left").filter("not worded or _k is not null")
-    return kept.dropDuplicates(["doc_id", "k"]).select("row.*")
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["_d"]) & (x["k"] == y["_k"])
+    names_of = lambda x: x.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"))
+    gone = ws.keep(names_of(light.filter("worded").join(stay, same(light, stay), "left_anti")), "gone")
+    repeated = ws.keep(names_of(light.filter("c > 1")), "repeated")
+    sent = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *keys)
+    kept = keyed.join(sent(gone), same(keyed, gone), "left_anti")
+    if not repeated.limit(1).count():
+        return kept.select("row.*")
+    repeated_once = sent(repeated)
+    once = kept.join(repeated_once, same(kept, repeated), "left_anti")
+    more = kept.join(repeated_once, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "k"])
+    return once.unionByName(more).select("row.*")

@@ -3,6 +3,7 @@
 from fractions import Fraction
 
 import corpus_pipeline
+from lacewing.llm import ngram_join
 
 from .fixtures import documents, frame, multiset
 from .test_pairs import brute, shingles
@@ -32,3 +33,20 @@ def test_null_and_repeated_ids(spark):
         assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == first
     assert len(got) == len(empty) + len(groups)
     assert (None, "unlike all others here") in got and (900002, words[3]) in got
+
+
+def test_distinct_rows_leave_texts_where_they_are(spark, capsys):
+    """Only rows that repeat doc_id and text are shuffled with their texts, whatever the broadcast threshold."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (1, f"{a} more"), (None, a), (5, b), (None, None), (7, " "), (8, "")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join.distinct_rows(frame(spark, rows, 3))
+        assert multiset((r.doc_id, r.text) for r in got.collect()) == multiset(rows[i] for i in (1, 3, 4, 5, 6))
+        got.explain()
+        assert "Exchange hashpartitioning" not in capsys.readouterr().out
+        twice = ngram_join.distinct_rows(frame(spark, rows * 2, 3))
+        assert multiset((r.doc_id, r.text) for r in twice.collect()) == multiset(rows[i] for i in (1, 3, 4, 5, 6))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
