@@ -17,6 +17,8 @@ from ..functions.lineage import cut
 REFERENCES = 10_000
 #: Vectors in a block, about.
 BLOCK = 1024
+#: Queries that a task holds at a time, and blocks of references that it meets them with, about.
+QUERIES, CHUNK = 8192, 64
 #: Pivots at most; their vectors and a few numbers about each travel to every task.
 PIVOTS = 1024
 
@@ -146,24 +148,30 @@ def _least(distances: np.ndarray, others: np.ndarray, owner: np.ndarray, n: int,
     return distances[pick], others[pick]
 
 
-def _nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, ids) of the k nearest rows of r to each row of q.
+def _nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, own: np.ndarray, most: np.ndarray, dists: np.ndarray, others: np.ndarray) -> None:
+    """Brings the nearest so far (``dists`` and ``others``, k columns) of the rows ``own`` of q up to date with the rows of r that are no farther than ``most``.
 
     Products of matrices choose candidates, with room for their rounding; the
     distances come from differences.
     """
-    dist, other = [], []
+    k = dists.shape[1]
     r2 = (r**2).sum(1)
-    for at in range(0, len(q), 64):
-        x = q[at : at + 64]
+    for at in range(0, len(own), BLOCK):
+        mine = own[at : at + BLOCK]
+        x = q[mine]
         x2 = (x**2).sum(1)
         d2 = np.maximum(0.0, x2[:, None] + r2 - 2 * x @ r.T)
-        limit = np.partition(d2, k - 1, axis=1)[:, k - 1] + 1e-11 * (x2 + r2.max())
-        i, j = np.nonzero(d2 <= limit[:, None])
-        d, o = _least(np.sqrt(((x[i] - r[j]) ** 2).sum(1)), ids[j], i, len(x), k)
-        dist.append(d)
-        other.append(o)
-    return np.concatenate(dist), np.concatenate(other)
+        limit = np.minimum(most[mine], dists[mine, -1]) ** 2
+        if k < len(r) and np.isinf(limit).any():
+            limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(d2 <= (limit + 1e-11 * (x2 + r2.max()))[:, None])
+        if not len(i):
+            continue
+        touched, owner = np.unique(i, return_inverse=True)
+        rows = mine[touched]
+        d = np.concatenate([dists[rows].ravel(), np.sqrt(((x[i] - r[j]) ** 2).sum(1))])
+        o = np.concatenate([others[rows].ravel(), ids[j]])
+        dists[rows], others[rows] = _least(d, o, np.concatenate([np.repeat(np.arange(len(rows)), k), owner]), len(rows), k)
 
 
 @dataclass(frozen=True)
@@ -221,36 +229,73 @@ def _numbered(rows: DataFrame, numbers: list[int], name: str) -> DataFrame:
     return rows.join(F.broadcast(table), "cell").withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.greatest(F.lit(1), F.col("_n"))).cast("int")).drop("_n")
 
 
-def _visits(queries: DataFrame, cells: Cells, choose) -> DataFrame:
-    """id, z, cell: the cells that ``choose`` (vectors, further columns) gives each query, as a matrix of flags."""
+def _flags(cells: Cells, choose, q: np.ndarray, further: list[np.ndarray]) -> np.ndarray:
+    """The cells that ``choose`` (vectors, further columns) gives each query, but empty ones."""
+    parts = [choose(q[at : at + 256], *[x[at : at + 256] for x in further]) for at in range(0, len(q), 256)]
+    return np.concatenate(parts) & (cells.sizes > 0)
+
+
+def _grouped(queries: DataFrame, cells: Cells) -> DataFrame:
+    """id, z, group: about QUERIES in a group; those of one cell, and of cells that follow each other along the pivots' main axis, go together."""
+    pivots = cells.pivots
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_distances(_rows(b.column(1)), pivots).argmin(1).astype(np.int32))], names=["id", "z", "cell"])
+
+    dealt = cut(queries.select("id", "z").mapInArrow(deal, "id long, z array<double>, cell int"))
+    counts = {r.cell: r.n for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    axis = np.linalg.svd(pivots - pivots.mean(0), full_matrices=False)[2][0]
+    starts, at = [], 0
+    for c in np.argsort(pivots @ axis, kind="stable").tolist():
+        if c in counts:
+            starts.append((c, at, counts[c]))
+            at += counts[c]
+    table = queries.sparkSession.createDataFrame(starts, "cell int, _s long, _n long")
+    place = F.col("_s") + F.pmod(F.xxhash64("id"), F.col("_n"))
+    return dealt.join(F.broadcast(table), "cell").select("id", "z", F.floor(place / QUERIES).cast("int").alias("group"))
+
+
+def _visits(queries: DataFrame, cells: Cells, choose, by: str) -> DataFrame:
+    """by, cell: the cells that ``choose`` gives the queries (id, z, group, further columns) of each id or group; a group's can come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                flags = choose(_rows(part.column(1)), *[c.to_numpy(zero_copy_only=False) for c in part.columns[2:]])
-                i, c = np.nonzero(flags & (cells.sizes > 0))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(c.astype(np.int32))], names=["id", "z", "cell"])
+            if b.num_rows:
+                flags = _flags(cells, choose, _rows(b.column(1)), [c.to_numpy(zero_copy_only=False) for c in b.columns[3:]])
+                i, c = np.nonzero(flags)
+                found = np.unique(np.stack([b.column(by).to_numpy()[i].astype(np.int64), c], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int32))], names=[by, "cell"])
 
     cells = replace(cells, blocks=None)  # what the tasks get
-    return cut(queries.mapInArrow(run, "id long, z array<double>, cell int"))
+    return queries.mapInArrow(run, f"{by} long, cell int")
+
 
+def _met(queries: DataFrame, cells: Cells, choose, work, schema: str) -> DataFrame:
+    """The rows that ``work`` gives for groups of queries and chunks of the blocks that they visit.
 
-def _met(visits: DataFrame, cells: Cells) -> DataFrame:
-    """qid, q, rid, r, w: blocks of queries beside each block of the cell that they visit; cells meet by key, and a large one in many tasks."""
-    count = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    chunks = [-(-count.get(c, 0) // BLOCK) for c in range(len(cells.pivots))]
-    packed = _numbered(visits, chunks, "chunk").groupBy("cell", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "z"))).alias("x"))
-    packed = packed.select("cell", F.col("x.id").alias("qid"), F.flatten("x.z").alias("q"))
-    table = visits.sparkSession.createDataFrame(list(enumerate(cells.numbers)), "cell int, _n int")
-    spread = packed.join(F.broadcast(table), "cell").select("cell", "qid", "q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("block"))
-    return spread.join(cells.blocks, ["cell", "block"]).select("qid", "q", "rid", "r", "w")
+    Queries travel once for each chunk, blocks once for each group that visits
+    them; no row is made for a query and a cell. ``work`` gets the ids, vectors
+    and further columns of the queries, their flags and the blocks.
+    """
+    needs = F.broadcast(cut(_visits(queries, cells, choose, "group").distinct()))  # at most a row a group and pivot
+    chunks = max(1, -(-sum(cells.numbers) // CHUNK))
+    chunk = F.pmod(F.xxhash64("cell", "block"), F.lit(chunks)).cast("int").alias("chunk")
+    blocks = queries.sparkSession.createDataFrame([(c, n) for c, m in enumerate(cells.numbers) for n in range(m)], "cell int, block int")
+    chosen = blocks.join(needs, "cell").select("group", chunk).distinct()
+    left = queries.withColumn("group", F.col("group").cast("long")).join(F.broadcast(chosen), "group")
+    right = cells.blocks.join(needs, "cell").select("group", chunk, "cell", "rid", "r", "w")
+    further = [c for c in queries.columns if c not in ("id", "z", "group")]
+    cells = replace(cells, blocks=None)
 
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        z, more = _rows(q["z"].combine_chunks()), [q[c].to_numpy() for c in further]
+        each = (tuple(r[c][i].values.to_numpy(zero_copy_only=False) for c in ("rid", "r", "w")) for i in range(len(r)))
+        blocks = ((c, rid, x.reshape(len(rid), -1), w) for c, (rid, x, w) in zip(r["cell"].to_pylist(), each, strict=True))
+        return work(q["id"].to_numpy(), z, more, _flags(cells, choose, z, more), blocks)
 
-def _pairs_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    for row in range(b.num_rows):
-        qid, q, rid, r, w = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(5))
-        yield qid, q.reshape(len(qid), -1), rid, r.reshape(len(rid), -1), w
+    return left.groupBy("group", "chunk").cogroup(right.groupBy("group", "chunk")).applyInArrow(meet, schema)
 
 
 def _first(rows: DataFrame, k: int) -> DataFrame:
@@ -259,14 +304,18 @@ def _first(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def _nearest_visited(visits: DataFrame, cells: Cells, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qid, q, rid, r, _ in _pairs_of(b):
-                d, o = _nearest_in_block(q, r, rid, min(k, len(rid)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, d.shape[1])), pa.array(o.ravel()), pa.array(d.ravel())], names=["id", "other", "dist"])
+def _nearest_visited(queries: DataFrame, cells: Cells, choose, k: int) -> DataFrame:
+    """id, other, dist: the k nearest of each id in each chunk of the cells that it visits, no farther than ``kth`` where there is one."""
+
+    def work(ids: np.ndarray, q: np.ndarray, more: list[np.ndarray], flags: np.ndarray, blocks) -> pa.Table:
+        most = more[0] if more else np.full(len(q), np.inf)
+        dists, others = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for cell, rid, r, _ in blocks:
+            _nearest_in_block(q, r, rid, np.flatnonzero(flags[:, cell]), most, dists, others)
+        i, j = np.nonzero(np.isfinite(dists))
+        return pa.table({"id": pa.array(ids[i]), "other": pa.array(others[i, j]), "dist": pa.array(dists[i, j])})
 
-    return _met(visits, cells).mapInArrow(run, "id long, other long, dist double")
+    return _met(queries, cells, choose, work, "id long, other long, dist double")
 
 
 def _home(cells: Cells, k: int):
@@ -289,18 +338,18 @@ def _near(cells: Cells, k: int):
     return lambda q, kth: (cells.bounds(q)[1] <= kth[:, None] * (1 + 1e-9)) & ~home(q)
 
 
-def _search(queries: DataFrame, refs: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame], Cells]:
-    """(id, other, dist of the k nearest; the visits in two passes; the cells) of distinct query vectors."""
+def _search(queries: DataFrame, refs: DataFrame, k: int) -> tuple[DataFrame, list[tuple], Cells]:
+    """(id, other, dist of the k nearest; the queries of the two passes and what they visit; the cells) of distinct query vectors."""
     # of references with one vector, the first k ids come before the others wherever they come
     same = Window.partitionBy("z").orderBy("id")
     cells = _in_cells(refs.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k).select("id", "z", F.lit(1).cast("long").alias("w")))
     bare = replace(cells, blocks=None)
-    home = _visits(queries, cells, _home(bare, k))
-    found = cut(_first(_nearest_visited(home, cells, k), k))
+    grouped = cut(_grouped(queries, cells))
+    home, near = _home(bare, k), _near(bare, k)
+    found = cut(_first(_nearest_visited(grouped, cells, home, k), k))
     # where fewer than k are there, no distance rules a cell out; then all are visited at home already
-    kth = found.groupBy("id").agg(F.max("dist").alias("kth"))
-    near = _visits(queries.join(kth, "id").select("id", "z", "kth"), cells, _near(bare, k))
-    return _first(found.unionByName(_nearest_visited(near, cells, k)), k), [home, near], cells
+    bounded = cut(grouped.join(found.groupBy("id").agg(F.max("dist").alias("kth")), "id").select("id", "z", "group", "kth"))
+    return _first(found.unionByName(_nearest_visited(bounded, cells, near, k)), k), [(grouped, home), (bounded, near)], cells
 
 
 def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -315,8 +364,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
 
     A query first visits the cells nearest to it that hold k references, then
     each other cell that the triangle inequality can't rule out at the k-th
-    distance found. Queries meet cells by key; an id's candidates are cut to k
-    in every task and never held together.
+    distance found. Groups of queries meet chunks of the cells' blocks by key;
+    an id's candidates are cut to k in every task and never held together.
     """
     members, distinct = _distinct(queries)
     refs = refs.select("id", F.col("z").cast("array<double>").alias("z"))
@@ -331,7 +380,8 @@ def search_cost(queries: DataFrame, refs: DataFrame, k: int) -> tuple[int, int]:
     """(pairs of distinct vectors that ``nearest`` looks at, all pairs)."""
     _, distinct = _distinct(queries)
     refs = refs.select("id", F.col("z").cast("array<double>").alias("z"))
-    _, visits, cells = _search(distinct, refs, k)
+    _, passes, cells = _search(distinct, refs, k)
+    visits = [_visits(q, cells, choose, "id") for q, choose in passes]
     seen = sum(r.n * int(cells.sizes[r.cell]) for v in visits for r in v.groupBy("cell").agg(F.count("*").alias("n")).collect())
     return seen, distinct.count() * int(cells.sizes.sum())
 
@@ -352,13 +402,16 @@ def kernel_sums(queries: DataFrame, refs: DataFrame, bandwidth: float = 1.0) ->
         kernel = lambda d: bare.sizes * np.exp(-(d**2) / (2 * bandwidth**2))
         return kernel(low) > 1e-12 / len(bare.pivots) * kernel(high).sum(1, keepdims=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qid, q, _, r, w in _pairs_of(b):
-                total = np.concatenate([np.exp(-(_distances(q[at : at + 64], r) ** 2) / (2 * bandwidth**2)) @ w for at in range(0, len(q), 64)])
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(total)], names=["rep", "total"])
+    def work(ids: np.ndarray, q: np.ndarray, _: list[np.ndarray], flags: np.ndarray, blocks) -> pa.Table:
+        total = np.zeros(len(q))
+        for cell, _, r, w in blocks:
+            own = np.flatnonzero(flags[:, cell])
+            for at in range(0, len(own), BLOCK):
+                mine = own[at : at + BLOCK]
+                total[mine] += np.exp(-(_distances(q[mine], r) ** 2) / (2 * bandwidth**2)) @ w
+        return pa.table({"rep": pa.array(ids), "total": pa.array(total)})
 
-    sums = _met(_visits(distinct, cells, matter), cells).mapInArrow(run, "rep long, total double").groupBy("rep").agg(F.sum("total").alias("total"))
+    sums = _met(cut(_grouped(distinct, cells)), cells, matter, work, "rep long, total double").groupBy("rep").agg(F.sum("total").alias("total"))
     return members.join(sums, "rep", "left").select("id", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 

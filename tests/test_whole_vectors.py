@@ -83,3 +83,20 @@ def test_few_and_no_references(spark, table):
     assert len(got) == 300 and all(sorted(o) == [0, 1, 2] for o in got.values())
     none = rows.filter("id < 0")
     assert {len(r.others) for r in vectors.nearest(rows, none, 2).collect()} == {0} and vectors.nearest(none, rows, 2).count() == 0
+
+
+def test_queries_meet_cells_in_groups(spark, monkeypatch):
+    """Where no cell is ruled out, rows are made for groups and cells, not for queries and cells."""
+    monkeypatch.setattr(vectors, "QUERIES", 100)
+    monkeypatch.setattr(vectors, "CHUNK", 3)
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    z = np.random.default_rng(4).normal(size=(500, 16))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "id long, z array<double>")
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    got = {r.id: r.others for r in vectors.nearest(rows, rows, 4).collect()}
+    assert got == {i: np.lexsort((np.arange(500), d[i]))[:4].tolist() for i in range(500)}
+    sums = {r.id: r.total for r in vectors.kernel_sums(rows, rows).collect()}
+    assert all(sums[i] == pytest.approx(np.exp(-d[i] ** 2 / 2).sum(), rel=1e-9) for i in range(500))
+    _, [_, (queries, choose)], cells = vectors._search(vectors._distinct(rows)[1], rows, 4)
+    visits = vectors._visits(queries, cells, choose, "id").count()
+    assert vectors._visits(queries, cells, choose, "group").distinct().count() <= 5 * len(cells.pivots) < visits / 5
