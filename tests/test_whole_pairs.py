@@ -71,3 +71,9 @@ def test_similar_shapes_and_their_members_are_all_similar_pairs(spark):
         assert len(found) <= candidates < shapes * (shapes - 1) / 2
         if least >= 0.5:
             assert candidates < 0.5 * shapes * (shapes - 1) / 2
+
+
+def test_hausdorff_query_has_every_pair(spark):
+    n = ged.degree_lists(src.event_week(spark, SF)).count()
+    got = registry.QUERIES["hausdorff_ged_g2"](spark, SF)
+    assert got.count() == n * (n - 1) // 2 == got.select("a", "b").distinct().count()
