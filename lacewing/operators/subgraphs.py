@@ -2,13 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
 from .graphs import adjacency, degrees, triangles
 
 
+#: Nodes of a set whose pairs fit the bits of a long.
+MOST_NODES = 11
+
+
+def _bit(i: Column, j: Column) -> Column:
+    """The bit of the pair of places i < j."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (j * (j - 1) / 2 + i).cast("int"))
+
+
+def _grown(edges: DataFrame, k: int) -> DataFrame:
+    """graph_id, nodes (ascending), bits: every connected node set of size k, once, and the pairs of its places that are induced edges.
+
+    A set comes from each of its connected sets of one node less, which knows
+    its own edges and meets the new node by one more. For every edge some node
+    other than its ends can be left out, so together they know them all.
+    """
+    if k > MOST_NODES:
+        raise ValueError(f"sets of {MOST_NODES} nodes at most")
+    adj = adjacency(edges)
+    subs = edges.select("graph_id", F.array("src", "dst").alias("nodes"), F.lit(1).cast("long").alias("bits"))
+    for size in range(2, k):
+        tips = subs.select("graph_id", "nodes", "bits", F.posexplode("nodes").alias("at", "a"))
+        grown = tips.join(adj, ["graph_id", "a"]).filter(~F.array_contains("nodes", F.col("b")))
+        before = sum((F.when(F.get("nodes", F.lit(i)) < F.col("b"), 1).otherwise(0) for i in range(size)), F.lit(0))
+        grown = grown.select("graph_id", "nodes", "bits", "at", "b", before.alias("p"))
+        place = lambda i: i + F.when(i >= F.col("p"), 1).otherwise(0)
+        bits = _bit(F.least(place(F.col("at")), F.col("p")), F.greatest(place(F.col("at")), F.col("p")))
+        for i, j in itertools.combinations(range(size), 2):
+            known = F.col("bits").bitwiseAND(F.lit(1 << (j * (j - 1) // 2 + i))) != 0
+            bits = bits.bitwiseOR(F.when(known, _bit(place(F.lit(i)), place(F.lit(j)))).otherwise(0))
+        grown = grown.select("graph_id", F.sort_array(F.concat("nodes", F.array("b"))).alias("nodes"), bits.alias("bits"))
+        subs = grown.groupBy("graph_id", "nodes").agg(F.bit_or("bits").alias("bits"))
+    return subs
+
+
 def enumerate_subgraphs(edges: DataFrame, k: int) -> DataFrame:
     """graph_id, nodes (ascending): every connected node set of size k, once."""
     adj = adjacency(edges)
@@ -20,6 +58,12 @@ def enumerate_subgraphs(edges: DataFrame, k: int) -> DataFrame:
     return subs
 
 
+def induced_subgraphs(edges: DataFrame, k: int) -> DataFrame:
+    """graph_id, nodes, local: ``induced`` of all connected sets of size k, whose edges are gathered as the sets grow."""
+    pairs = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << (j * (j - 1) // 2 + i))) != 0, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j in itertools.combinations(range(k), 2)])
+    return _grown(edges, k).select("graph_id", "nodes", F.array_compact(pairs).alias("local"))
+
+
 def extension_probability(n: Column, mean_degree: Column, budget: int = 50) -> Column:
     """The chance with which a sampler follows a branch so that about ``budget`` sets come out."""
     return F.least(F.lit(1.0), F.sqrt(F.lit(float(budget)) / F.greatest(F.lit(1.0), n * F.pow(F.greatest(mean_degree, F.lit(1.0)), F.lit(2.0)) / 3)))
@@ -41,6 +85,16 @@ def induced(subs: DataFrame, edges: DataFrame) -> DataFrame:
     return found.groupBy("graph_id", "nodes").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("local"))
 
 
+def by_pattern(ind: DataFrame, k: int, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Sets of size k with what ``made`` adds to (graph_id, nodes, local), made once for every graph on k places: right where induced edges alone decide it."""
+    pairs = list(itertools.combinations(range(k), 2))
+    rows = [(x, list(range(k)), [p for b, p in enumerate(pairs) if x >> b & 1]) for x in range(1, 1 << len(pairs))]
+    patterns = ind.sparkSession.createDataFrame(rows, "graph_id long, nodes array<int>, local array<struct<i:int,j:int>>")
+    added = made(patterns).drop("nodes", "local")
+    known = patterns.select("graph_id", F.col("local").alias("_l")).join(added, "graph_id").drop("graph_id")
+    return ind.join(F.broadcast(known), F.col("local") == F.col("_l")).drop("_l")  # 2 ** (k * (k - 1) / 2) rows
+
+
 def _degree(local: str, i: Column) -> Column:
     return F.size(F.filter(local, lambda e: (e["i"] == i) | (e["j"] == i)))
 

@@ -184,7 +184,7 @@ def v1_nearest_view(spark, d):
 
 def _wwl(spark, d):
     e = src.event_week(spark, d)
-    labelled = subgraphs.wl_labels(subgraphs.induced(subgraphs.enumerate_subgraphs(e, 4), e), None, 4)
+    labelled = subgraphs.wl_labels(subgraphs.induced_subgraphs(e, 4), None, 4)
     return vectors.wwl_classes(labelled)
 
 
