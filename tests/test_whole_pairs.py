@@ -34,16 +34,52 @@ def test_a_spent_budget_gives_an_upper_bound():
     assert not bounds[0][1] and all(d >= want for d, _ in bounds)
 
 
+def expanded(df, value, either=False):
+    """Every pair of graphs from pairs of shapes and their members."""
+    rows = df.collect()
+    shape = {r.a: r.b for r in rows if r.kind == "member"}
+    known = {(r.a, r.b): r[value] for r in rows if r.kind == "pair"}
+    assert len(known) + len(shape) == len(rows)
+    key = lambda a, b: tuple(sorted((shape[a], shape[b]))) if either else (shape[a], shape[b])
+    return {(a, b): known[key(a, b)] for a, b in itertools.combinations(sorted(shape), 2)}
+
+
 def test_edit_distances_cover_all_graphs(spark):
     graphs = graphs_of(spark)
     pairs = list(itertools.combinations(sorted(graphs), 2))
-    got = {(r.a, r.b): r.ged for r in registry.QUERIES["ged_bipartite_g2"](spark, SF).collect()}
-    assert got == {(a, b): ged.bipartite(graphs[a], graphs[b]) for a, b in pairs}
-    got = {(r.a, r.b): r.ged for r in registry.QUERIES["ged_astar_g2"](spark, SF).collect()}
-    assert got == {(a, b): ged.exact(graphs[a], graphs[b]) for a, b in pairs}
-    sim = registry.QUERIES["ged_similarity_matrix_g2"](spark, SF)
-    assert sim.count() == len(graphs) ** 2 == sim.select("i", "j").distinct().count()
-    assert sim.filter(F.col("i") == F.col("j")).agg(F.min("sim")).first()[0] == 1.0
+    want = {(a, b): ged.bipartite(graphs[a], graphs[b]) for a, b in pairs}
+    assert expanded(registry.QUERIES["ged_bipartite_g2"](spark, SF), "ged") == want
+    sim = expanded(registry.QUERIES["ged_similarity_matrix_g2"](spark, SF), "sim")
+    assert sim.keys() == want.keys() and all(np.isclose(sim[p], np.exp(-0.5 * want[p])) for p in want)
+    exact = {(a, b): ged.exact(graphs[a], graphs[b]) for a, b in pairs}
+    assert expanded(registry.QUERIES["ged_astar_g2"](spark, SF), "ged", either=True) == exact
+    packed = ged.packed(src.event_week(spark, SF))
+    for algorithm, right in (("bipartite", want), ("astar", exact)):
+        found = ged.pair_distances(packed, algorithm).collect()
+        assert len(found) == len(right) and {(r.a, r.b): r.ged for r in found} == right
+    matrix = ged.similarity_matrix(ged.pair_distances(packed, "bipartite").select("a", "b", ged.similarity(F.col("ged")).alias("sim")), packed.select("graph_id"))
+    assert matrix.count() == len(graphs) ** 2 == matrix.select("i", "j").distinct().count()
+    assert matrix.filter(F.col("i") == F.col("j")).agg(F.min("sim")).first()[0] == 1.0
+
+
+def test_copies_add_members_and_no_pairs(spark):
+    """Pairs listed don't grow with the square of the copies, and isomorphic graphs are searched in one direction."""
+    e = src.event_week(spark, SF)
+    copies = e.withColumn("graph_id", F.explode(F.array(*[F.col("graph_id") + 10**7 * i for i in range(3)])))
+    for algorithm in ("bipartite", "astar"):
+        costs, members = ged.shape_distances(ged.packed(copies), algorithm)
+        shapes = members.select("shape").distinct().count()
+        assert members.count() == 3 * e.select("graph_id").distinct().count()
+        assert costs.count() == (shapes * shapes if algorithm == "bipartite" else shapes * (shapes + 1) // 2)
+
+
+def test_exact_search_with_twins_and_larger_graphs(spark):
+    rng = np.random.default_rng(11)
+    star = ged.matrix(6, [(0, i) for i in range(1, 6)])
+    graphs = [star, ged.matrix(5, [(0, 3), (0, 4), (1, 3), (1, 4), (2, 3), (2, 4)]), *[ged.matrix(n, [p for p in itertools.combinations(range(n), 2) if rng.random() < q]) for n, q in ((5, 0.3), (6, 0.3), (6, 0.6))]]
+    for a, b in itertools.product(graphs, graphs):
+        want = min(ged.edit_cost(a, b, list(m)) for m in itertools.permutations(range(len(b)), len(a))) if len(a) <= len(b) else None
+        assert want is None or ged.exact_within(a, b, 1 << 40) == (want, True)
 
 
 def test_similar_shapes_and_their_members_are_all_similar_pairs(spark):
