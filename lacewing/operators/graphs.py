@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row, which filters aren't moved through: its other uses have the same plan, and Spark shuffles once for all."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions: graph_id, a, b."""
     forward = edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -36,16 +41,18 @@ def triangles(edges: DataFrame) -> DataFrame:
     """graph_id and the three nodes of each triangle, ascending.
 
     Edges point from the node of smaller degree, so no node has many outgoing
-    ones and hubs make few wedges.
+    ones. An edge carries its first node's list of later neighbours to the
+    second's, and what they share closes it.
     """
-    deg = degrees(edges)
+    deg = fenced(degrees(edges))
     d1, d2 = deg.toDF("graph_id", "src", "d1"), deg.toDF("graph_id", "dst", "d2")
     both = edges.join(d1, ["graph_id", "src"]).join(d2, ["graph_id", "dst"])
     swap = (F.col("d1") > F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("src") > F.col("dst")))
     out = both.select("graph_id", F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("u"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("v"))
-    wedge = out.toDF("graph_id", "u", "x").join(out.toDF("graph_id", "u", "y"), ["graph_id", "u"]).filter("x < y")
-    closed = wedge.join(edges.toDF("graph_id", "x", "y"), ["graph_id", "x", "y"])
-    t = F.sort_array(F.array("u", "x", "y"))
+    lists = out.filter("u is not null and v is not null").groupBy("graph_id", "u").agg(F.collect_list("v").alias("_near"))
+    ties = lists.filter(F.size("_near") > 1).select("graph_id", "u", "_near", F.explode("_near").alias("v"))
+    closed = ties.join(lists.toDF("graph_id", "v", "_l"), ["graph_id", "v"]).select("graph_id", "u", "v", F.explode(F.array_intersect("_near", "_l")).alias("w"))
+    t = F.sort_array(F.array("u", "v", "w"))
     return closed.select("graph_id", t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
 
 

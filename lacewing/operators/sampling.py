@@ -36,24 +36,27 @@ def extension_tree(edges: DataFrame, k_min: int, k_max: int, target: int = TARGE
     give it for about ``target`` sets. A graph with p = 1 has one round, in
     which it finds every set unless the budget is reached.
     """
-    adj = cut(adjacency(edges))
     deg = degrees(edges)
     facts = deg.groupBy("graph_id").agg(F.count("*").alias("n"), F.avg("deg").alias("mean"))
     chance = F.lit(float(p)) if p is not None else extension_probability(F.col("n"), F.col("mean"), target)
-    facts = facts.select("graph_id", "n", chance.alias("p"))
+    facts = cut(facts.select("graph_id", "n", chance.alias("p")))
+    # the graph's facts come with the neighbours, paths don't carry them
+    adj = cut(adjacency(edges).join(facts, "graph_id"))
     roots = deg.select("graph_id", F.array("node").alias("path"), F.lit(-1).alias("place")).join(facts, "graph_id")
     tries = F.sequence(F.lit(0), F.when(F.col("p") < 1, F.lit(rounds - 1)).otherwise(F.lit(0)))
-    paths = roots.select("*", F.explode(tries).alias("round"))
+    paths = roots.select("graph_id", "path", "place", F.explode(tries).alias("round"))
     found = None
     kept = Window.partitionBy("graph_id", "round").orderBy("h", "path")
     for size in range(2, k_max + 1):
-        tips = paths.filter(F.col("n") > size).select("*", F.posexplode("path").alias("j", "a"))
-        met = tips.join(adj, ["graph_id", "a"]).filter((F.col("b") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("b")))
-        met = met.withColumn("h", _uniform(F.lit(seed), F.lit(size), F.col("round"), F.col("graph_id"), F.col("path"), F.col("b"))).filter(F.col("h") < F.col("p"))
+        tips = paths.select("*", F.posexplode("path").alias("j", "a"))
+        met = tips.join(adj.filter(F.col("n") > size), ["graph_id", "a"]).filter((F.col("b") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("b")))
+        draw = _uniform(F.lit(seed), F.lit(size), F.col("round"), F.col("graph_id"), F.col("path"), F.col("b"))
+        met = met.filter(draw < F.col("p"))
         # the place is the first path node that w is tied to; all its rows have one hash, so none is missed
-        placed = met.groupBy("graph_id", "round", "path", "b", "h", "p", "n", F.col("place").alias("before")).agg(F.min("j").alias("place"))
+        placed = met.groupBy("graph_id", "round", "path", "b", F.col("place").alias("before")).agg(F.min("j").alias("place"))
         after = (F.col("place") > F.col("before")) | ((F.col("place") == F.col("before")) & (F.col("b") > F.element_at("path", -1)))
-        grown = placed.filter(after).select("graph_id", "round", F.concat("path", F.array("b")).alias("path"), "place", "h", "p", "n")
+        # the hash follows from the row: it is made again rather than carried
+        grown = placed.filter(after).select("graph_id", "round", F.concat("path", F.array("b")).alias("path"), "place", draw.alias("h"))
         # tasks drop what exceeds the budget before a graph's paths meet
         paths = cut(grown.withColumn("_r", F.row_number().over(kept)).filter(F.col("_r") <= budget).drop("_r", "h"))
         if size >= k_min:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
-from .graphs import adjacency, degrees, triangles
+from .graphs import adjacency, degrees, fenced, triangles
 
 
 #: Nodes of a set whose pairs fit the bits of a long.
@@ -72,7 +72,8 @@ def extension_probability(n: Column, mean_degree: Column, budget: int = 50) -> C
 def sample_subgraphs(subs: DataFrame, n: int) -> DataFrame:
     """n sets a graph, chosen by hash; a graph with fewer repeats its own in turn."""
     key = F.concat_ws("|", F.col("graph_id").cast("string"), F.array_join("nodes", ","))
-    ranked = subs.withColumn("rn", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.md5(key), "nodes"))).withColumn("m", F.count("*").over(Window.partitionBy("graph_id")))
+    counted = subs.withColumn("m", F.count("*").over(Window.partitionBy("graph_id")))  # first, so that the hashes are made where a graph's sets have met
+    ranked = counted.withColumn("rn", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.md5(key), "nodes")))
     copies = F.when(F.col("m") >= n, F.when(F.col("rn") <= n, 1).otherwise(0)).otherwise((F.lit(n) - F.col("rn") + F.col("m")) / F.col("m")).cast("int")
     return ranked.withColumn("pick", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select("graph_id", "nodes", "pick")
 
@@ -126,6 +127,7 @@ def certificate_counts_k3(edges: DataFrame) -> DataFrame:
     Sets that are paths are the neighbour pairs that no edge closes: the sum of
     deg * (deg - 1) / 2, less three for each triangle.
     """
+    edges = fenced(edges)
     wedges = degrees(edges).groupBy("graph_id").agg(F.sum(F.col("deg") * (F.col("deg") - 1) / 2).cast("long").alias("w"))
     closed = triangles(edges).groupBy("graph_id").agg(F.count("*").alias("t"))
     both = wedges.join(closed, "graph_id", "left").withColumn("t", F.coalesce("t", F.lit(0)))

@@ -23,7 +23,7 @@ def graphs_from_edges(df: DataFrame, graph_id: str, src: str, dst: str) -> DataF
 
 def cust_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: a graph a customer, a node a supplier, an edge two suppliers of one order."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()  # orders meet once for both
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("graph_id"))
     a = items.select("l_orderkey", F.col("l_suppkey").alias("src"))
     b = items.select("l_orderkey", F.col("l_suppkey").alias("dst"))

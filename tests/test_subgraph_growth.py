@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lacewing.operators import subgraphs
+from lacewing.operators import graphs, subgraphs
 
 GRAPHS = [(1, [("b", "a"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")]), (2, [("x", "m"), ("m", "a"), ("a", "z"), ("z", "x"), ("z", "k"), ("k", "m"), ("q", "r")]), (3, [("a", "b")])]
 
@@ -41,3 +41,21 @@ def test_labels_are_made_once_a_pattern(spark):
     got = subgraphs.by_pattern(ind, 3, lambda p: p.withColumn("size", count("nodes")))
     assert {r["size"] for r in got.collect()} == {3}
     assert seen.value <= 7
+
+
+def test_triangles_meet_lists_once(spark):
+    """Lists of later neighbours close all triangles; no wedge is a row."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    es = {p for p in itertools.combinations(range(12), 2) if rng.random() < 0.4}
+    df = graphs.triangles(spark.createDataFrame([(1, a, b) for a, b in es], "graph_id long, src long, dst long"))
+    want = {t for t in itertools.combinations(range(12), 3) if all(p in es for p in itertools.combinations(t, 2))}
+    assert sorted((r.a, r.b, r.c) for r in df.collect()) == sorted(want)
+    assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sampling_hashes_are_not_shuffled(spark):
+    plan = subgraphs.sample_subgraphs(subgraphs.enumerate_subgraphs(edges(spark), 3), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("row_number()") < plan.index("md5") < plan.index("count(1)")
