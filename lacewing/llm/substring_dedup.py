@@ -334,7 +334,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def _cut_windows(segments: DataFrame) -> DataFrame:
-    """(gram, seg, at, window, ord, words): each window of the segments by itself."""
+    """(gram, seg, at, window, ord, words): each different window of a segment by itself, with all its places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -342,14 +342,16 @@ def _cut_windows(segments: DataFrame) -> DataFrame:
             for gram, seg, ord_, words in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 w = np.frombuffer(words, np.uint64)
                 starts = np.arange(len(w) - WINDOW + 1)
-                n = len(starts)
-                parts = [words[8 * at : 8 * (at + WINDOW)] for at in range(n)]
-                for column, v in zip(out, ([gram] * n, [seg] * n, starts.tolist(), range_keys(w, starts, starts + WINDOW).tolist(), [ord_] * n, parts), strict=True):
+                keys, first, back, times = np.unique(range_keys(w, starts, starts + WINDOW), return_index=True, return_inverse=True, return_counts=True)
+                n = len(keys)
+                places = np.split(np.argsort(back, kind="stable").astype(np.int32), np.cumsum(times)[:-1])
+                parts = [words[8 * at : 8 * (at + WINDOW)] for at in first.tolist()]
+                for column, v in zip(out, ([gram] * n, [seg] * n, places, keys.tolist(), [ord_] * n, parts), strict=True):
                     column += v
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "seg", "at", "window", "ord", "words"])
 
-    return segments.select("gram", "seg", "ord", "words").mapInArrow(run, "gram long, seg long, at int, window long, ord long, words binary")
+    return segments.select("gram", "seg", "ord", "words").mapInArrow(run, "gram long, seg long, at array<int>, window long, ord long, words binary")
 
 
 def _searched(segments: DataFrame, shards: int) -> DataFrame:
@@ -409,7 +411,8 @@ def dedup(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     apart = windows.groupBy("window").agg(F.min("ord").alias("ord"), F.max("words").alias("words")).select(F.col("window").alias("gram"), F.lit(None).cast("long").alias("seg"), "ord", "words")
     least = ws.keep(_searched(cold.unionByName(apart), shards), "least")
     by_window = join_unique(windows.drop("words"), least.filter("seg is null").select(F.col("gram").alias("window"), F.get("least", F.lit(0)).alias("m")), ["window"])
-    hot_least = by_window.groupBy("gram", "seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("least"))
+    placed = F.flatten(F.transform(F.collect_list(F.struct("at", "m")), lambda x: F.transform(x["at"], lambda at: F.struct(at.alias("at"), x["m"].alias("m")))))
+    hot_least = by_window.groupBy("gram", "seg").agg(F.transform(F.sort_array(placed), lambda x: x["m"]).alias("least"))
     found = join_unique(segments.drop("words"), least.filter("seg is not null").unionByName(hot_least), ["gram", "seg"])
     repeats = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("ord"), F.col("start") + i.cast("int"))), lambda x: x.isNotNull())
     found = found.select("tid", "ord", repeats.alias("at")).filter(F.size("at") > 0)

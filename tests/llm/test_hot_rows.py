@@ -39,6 +39,19 @@ def test_texts_of_one_repeated_word(spark, monkeypatch):
     assert multiset(map(tuple, got)) == multiset(removed_by_definition(rows))
 
 
+def test_windows_repeated_in_a_segment_are_one_row(spark, monkeypatch):
+    """Rows of a repeated word pair follow the different windows, not their places."""
+    words = np.tile(np.array([3, 5], np.uint64), 150)
+    segment = spark.createDataFrame([(1, 2, 9, bytearray(words.tobytes()))], "gram long, seg long, ord long, words binary")
+    got = substring_dedup._cut_windows(segment).collect()
+    assert sorted(r["at"] for r in got) == [list(range(0, 288, 2)), list(range(1, 288, 2))]
+    assert all(np.frombuffer(r.words, np.uint64).tolist() == words[r["at"][0] :][:13].tolist() and r.ord == 9 for r in got)
+    monkeypatch.setattr(substring_dedup, "HOT_WORDS", 500)
+    rows = [(i, f"w{i} " + "over again " * (30 + i) + f"x{i}") for i in range(20)] + [(50, "again " + "over again " * 12)]
+    got = substring_dedup.dedup(frame(spark, rows, 3)).collect()
+    assert multiset(map(tuple, got)) == multiset(removed_by_definition(rows))
+
+
 def test_equal_rows_without_doc_id_are_dealt_to_all_parts(spark, monkeypatch):
     monkeypatch.setattr(token_store, "ROWS_A_PARTITION", 300)
     rows = [*many_equal_rows(), *[(100 + i, f"text {i}") for i in range(200)]]
