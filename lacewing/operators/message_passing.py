@@ -7,6 +7,11 @@ product. Each fold has parameters of its own; a node carries the features of
 all folds side by side, and one pass over the edges serves them all. Partial
 gradients leave each task as one row, and the driver holds only vectors of the
 parameters' size.
+
+Nodes whose surroundings are equal have equal features in every step, and so
+have graphs of equal nodes. ``validated`` names each by a hash of the multiset of
+its neighbours' names, and works on one node and one graph of each name, with
+their numbers; nothing is left out.
 """
 
 from __future__ import annotations
@@ -67,10 +72,66 @@ class Convolutions:
         return [p[0].reshape(self.folds, self.n_features, self.dim), p[1], p[2].reshape(self.folds, self.dim, self.dim), p[3], p[4], p[5][:, 0]]
 
 
+@dataclass
+class Laid:
+    """Where features go: ``links`` (to, near, w) from the first layer to the second, ``first`` (near, s0), ``members`` (graph, to, share)."""
+
+    links: DataFrame
+    first: DataFrame
+    members: DataFrame
+
+
+def _node_by_node(norm: DataFrame, first: DataFrame) -> Laid:
+    key = lambda c: F.struct("graph_id", F.col(c).alias("node"))
+    sizes = first.groupBy("graph_id").agg((1 / F.count("*")).alias("share"))
+    members = first.join(sizes, "graph_id").select(F.col("graph_id").alias("graph"), key("node").alias("to"), "share")
+    return Laid(norm.select(key("a").alias("to"), key("b").alias("near"), "w"), first.select(key("node").alias("near"), "s0"), members)
+
+
+def _named(rows: DataFrame, by: list[str], *of: str) -> DataFrame:
+    """by, name: a name of 128 bits that equal multisets of the columns ``of`` share; summed up wherever rows are, so no list is made."""
+    sums = [F.sum(F.xxhash64(F.lit(seed), *of).cast("decimal(20,0)")).alias(f"_{seed}") for seed in (0, 1)]
+    return rows.groupBy(*by).agg(F.count("*").alias("_n"), *sums).select(*by, F.md5(F.concat_ws("|", "_n", "_0", "_1")).alias("name"))
+
+
+def _spread(links: DataFrame, values: DataFrame, to: str, near: str, weight: str, column: str, width: int) -> DataFrame:
+    """to, column: the sum over links of the weight times the vector of ``near``."""
+    met = links.join(values, near).select(to, F.transform(column, lambda x: x * F.col(weight)).alias(column))
+    return _summed(met, column, [to], width)
+
+
+def alike(edges: DataFrame, x: DataFrame, targets: DataFrame, n_features: int) -> tuple[Laid, DataFrame]:
+    """(one node and one graph of each name, the graphs' targets): ``targets`` has graph_id, fold, y and weight; what comes back graph, fold, y, weight times n, and n.
+
+    Only graphs with a target count.
+    """
+    norm = cut(normalised(edges.join(targets.select("graph_id"), "graph_id", "left_semi")))
+    zero = x.select("graph_id", F.col("node").alias("b"), F.md5(F.concat_ws(",", F.col("x").cast("array<string>"))).alias("name"))
+    one = cut(_named(norm.join(zero, ["graph_id", "b"]), ["graph_id", "a"], "w", "name"))
+    near = one.select("graph_id", F.col("a").alias("b"), F.col("name").alias("near"))
+    two = cut(_named(norm.join(near, ["graph_id", "b"]), ["graph_id", "a"], "w", "near"))
+    # a node stands for all of its name
+    pick = F.min(F.struct("graph_id", "a")).alias("p")
+    lowest = one.groupBy("name").agg(pick).select("p.graph_id", "p.a", F.col("name").alias("near"))
+    values = norm.join(lowest, ["graph_id", "a"]).join(x.select("graph_id", F.col("node").alias("b"), F.col("x").alias("s0")), ["graph_id", "b"])
+    first = _summed(values.select("near", F.transform("s0", lambda v: v * F.col("w")).alias("s0")), "s0", ["near"], n_features)
+    upper = two.groupBy("name").agg(pick).select("p.graph_id", "p.a", F.col("name").alias("to"))
+    links = norm.join(upper, ["graph_id", "a"]).join(near, ["graph_id", "b"]).groupBy("to", "near").agg(F.sum("w").alias("w"))
+    graphs = cut(_named(two, ["graph_id"], "name"))
+    # graphs of one name are one in each fold, class and weight
+    kinds = targets.join(graphs, "graph_id").groupBy("name", "fold", "y", "weight").agg(F.count("*").alias("n"))
+    kinds = kinds.select(F.col("name").alias("graph"), "fold", "y", F.transform("weight", lambda v: v * F.col("n")).alias("weight"), "n")
+    chosen = graphs.groupBy("name").agg(F.min("graph_id").alias("graph_id")).withColumnRenamed("name", "graph")
+    counts = two.join(chosen, "graph_id").groupBy("graph", F.col("name").alias("to")).agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("graph").agg(F.sum("c").alias("size"))
+    members = counts.join(sizes, "graph").select("graph", "to", (F.col("c") / F.col("size")).alias("share"))
+    return Laid(cut(links), cut(first), cut(members)), cut(kinds)
+
+
 def _mapped(rows: DataFrame, use: list[str], schema: str, f) -> DataFrame:
-    """``f`` over the vectors in columns ``use`` of each batch; it gives the columns of ``schema`` after graph_id and node."""
+    """``f`` over the vectors in columns ``use`` of each batch; it gives the columns of ``schema`` after the key."""
     kinds = {x.name: x.dataType.simpleString() for x in rows.schema.fields}
-    keys = [c for c in ("graph_id", "node") if c in rows.columns]
+    keys = [c for c in ("graph", "to", "near") if c in rows.columns]
     names = [*keys, *[x.split()[0] for x in schema.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,24 +162,26 @@ def _gathered(rows: DataFrame, use: list[str], size: int, f) -> np.ndarray:
     return out
 
 
-def _hidden(model: Convolutions, norm: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(graph_id, node, s0, s1; graph_id, h): each node's inputs of both layers, and each graph's mean of the last one's outputs."""
+def _hidden(model: Convolutions, laid: Laid) -> tuple[DataFrame, DataFrame]:
+    """(to, s1; graph, h): the inputs of the last layer, and each graph's mean of its outputs."""
     w1, b1, w2, b2, _, _ = model.parts()
     folds, dim = model.folds, model.dim
     one = lambda s0: [np.maximum(np.einsum("ri,fio->rfo", s0, w1) + b1, 0.0).reshape(len(s0), -1)]
-    s1 = propagated(norm, _mapped(first, ["s0"], f"s1 {VECTOR}", one), "s1", folds * dim)
-    nodes = cut(first.join(s1, ["graph_id", "node"]))
+    nodes = cut(_spread(laid.links, _mapped(laid.first, ["s0"], f"s1 {VECTOR}", one), "to", "near", "w", "s1", folds * dim))
     two = lambda s: [np.maximum(np.einsum("rfi,fio->rfo", s.reshape(len(s), folds, dim), w2) + b2, 0.0).reshape(len(s), -1)]
-    last = _mapped(nodes, ["s1"], f"h {VECTOR}", two)
-    pooled = last.groupBy("graph_id").agg(F.array(*[F.avg(F.get("h", F.lit(i))) for i in range(folds * dim)]).alias("h"))
-    return nodes, pooled
+    return nodes, _spread(laid.members, _mapped(nodes, ["s1"], f"h {VECTOR}", two), "graph", "to", "share", "h", folds * dim)
 
 
 def outputs(model: Convolutions, norm: DataFrame, first: DataFrame) -> DataFrame:
     """graph_id, p: each graph's probability of class 1 under each fold's parameters."""
+    return _judged(model, _node_by_node(norm, first)).withColumnRenamed("graph", "graph_id")
+
+
+def _judged(model: Convolutions, laid: Laid) -> DataFrame:
+    """graph, p."""
     u, c = model.parts()[4:]
     p = lambda h: [1 / (1 + np.exp(-(np.einsum("rfo,fo->rf", h.reshape(len(h), *u.shape), u) + c)))]
-    return _mapped(_hidden(model, norm, first)[1], ["h"], f"p {VECTOR}", p)
+    return _mapped(_hidden(model, laid)[1], ["h"], f"p {VECTOR}", p)
 
 
 def loss_and_gradient(model: Convolutions, norm: DataFrame, first: DataFrame, targets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +191,15 @@ def loss_and_gradient(model: Convolutions, norm: DataFrame, first: DataFrame, ta
     is graph_id, y and weight, an array of each fold's weight of the graph: zero
     where it is held out of the fold.
     """
+    return _loss_and_gradient(model, _node_by_node(norm, first), targets.withColumnRenamed("graph_id", "graph"))
+
+
+def _loss_and_gradient(model: Convolutions, laid: Laid, targets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of graph, y and weight; a graph may have several rows."""
     w1, b1, w2, b2, u, c = model.parts()
     folds, dim = model.folds, model.dim
-    nodes, pooled = _hidden(model, norm, first)
-    judged = cut(pooled.join(targets.select("graph_id", F.array("y").alias("y"), "weight"), "graph_id"))
+    nodes, pooled = _hidden(model, laid)
+    judged = cut(pooled.join(targets.select("graph", F.array("y").alias("y"), "weight"), "graph"))
 
     def error(h, y, weight):
         h = h.reshape(len(h), folds, dim)
@@ -145,9 +213,8 @@ def loss_and_gradient(model: Convolutions, norm: DataFrame, first: DataFrame, ta
 
     found = _gathered(judged, ["h", "y", "weight"], folds * dim + 2 * folds, top)
     back = _mapped(judged, ["h", "y", "weight"], f"d {VECTOR}", lambda h, y, weight: [(error(h, y, weight)[2][:, :, None] * u).reshape(len(h), -1)])
-    sizes = first.groupBy("graph_id").agg(F.count("*").alias("_n"))
-    spread = back.join(sizes, "graph_id").select("graph_id", F.transform("d", lambda x: x / F.col("_n")).alias("d"))
-    level = cut(nodes.join(spread, "graph_id"))
+    back = _summed(back, "d", ["graph"], folds * dim)
+    level = cut(nodes.join(_spread(laid.members, back, "to", "graph", "share", "d", folds * dim), "to"))
 
     def last(s1, d):
         s1 = s1.reshape(len(s1), folds, dim)
@@ -160,7 +227,7 @@ def loss_and_gradient(model: Convolutions, norm: DataFrame, first: DataFrame, ta
 
     g2 = _gathered(level, ["s1", "d"], folds * (dim * dim + dim), second).reshape(folds, -1)
     down = _mapped(level, ["s1", "d"], f"d {VECTOR}", lambda s1, d: [np.einsum("rfo,fio->rfi", last(s1, d)[1], w2).reshape(len(d), -1)])
-    reached = first.join(propagated(norm, down, "d", folds * dim), ["graph_id", "node"])
+    reached = laid.first.join(_spread(laid.links, down, "near", "to", "w", "d", folds * dim), "near")
 
     def lowest(s0, d):
         dz = d.reshape(len(d), folds, dim) * (np.einsum("ri,fio->rfo", s0, w1) + b1 > 0)
@@ -176,8 +243,6 @@ def validated(edges: DataFrame, x: DataFrame, folds: DataFrame, n_folds: int, n_
 
     ``x`` has graph_id, node, x; ``folds`` graph_id, fold, class (0 or 1).
     """
-    norm = cut(normalised(edges))
-    first = cut(propagated(norm, x.withColumnRenamed("x", "s0"), "s0", n_features))
     held = F.array(*[(F.col("fold") == f) | (F.col("fold") == (f + 1) % n_folds) for f in range(n_folds)])
     counts = folds.groupBy("fold").count().collect()  # a row a fold
     size = {r.fold: r["count"] for r in counts}
@@ -185,15 +250,16 @@ def validated(edges: DataFrame, x: DataFrame, folds: DataFrame, n_folds: int, n_
     share = [1 / max(1, total - size.get(f, 0) - size.get((f + 1) % n_folds, 0)) for f in range(n_folds)]
     weight = F.zip_with(held, F.array(*map(F.lit, share)), lambda h, w: F.when(h, 0.0).otherwise(w))
     targets = cut(folds.select("graph_id", "fold", F.col("class").cast("double").alias("y"), weight.alias("weight")))
+    laid, targets = alike(edges, x, targets, n_features)
     model, adam = Convolutions(n_features, dim, n_folds), Adam(rate)
     best = [(-1.0, 0, 0.0)] * n_folds  # validation, step, test
     for step in range(1, steps + 1):
-        _, gradient = loss_and_gradient(model, norm, first, targets)
+        _, gradient = _loss_and_gradient(model, laid, targets)
         model.theta = adam.moved(model.theta, gradient)
         if step % every and step < steps:
             continue
-        right = outputs(model, norm, first).join(targets, "graph_id").select("fold", F.transform("p", lambda p: ((p > 0.5).cast("double") == F.col("y")).cast("double")).alias("right"))
-        got = {r.fold: r.right for r in right.groupBy("fold").agg(F.array(*[F.avg(F.get("right", F.lit(f))) for f in range(n_folds)]).alias("right")).collect()}
+        right = _judged(model, laid).join(targets, "graph").select("fold", "n", F.transform("p", lambda p: ((p > 0.5).cast("double") == F.col("y")).cast("double")).alias("right"))
+        got = {r.fold: r.right for r in right.groupBy("fold").agg(F.array(*[F.sum(F.get("right", F.lit(f)) * F.col("n")) / F.sum("n") for f in range(n_folds)]).alias("right")).collect()}
         for f in range(n_folds):
             judged = got.get((f + 1) % n_folds, [0.0] * n_folds)[f]
             if judged > best[f][0]:

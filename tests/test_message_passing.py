@@ -77,3 +77,23 @@ def test_validation_keeps_the_best_step(spark, data):
     folds = spark.createDataFrame([(g, g % 3, g % 2) for g in GRAPHS], "graph_id long, fold int, class int")
     rows = M.validated(edges, values, folds, 3, 3, dim=3, steps=2, every=1).orderBy("fold").collect()
     assert [r.fold for r in rows] == [0, 1, 2] and all(1 <= r.step <= 2 and 0 <= r.accuracy <= 1 for r in rows)
+
+
+def test_nodes_and_graphs_alike_stand_for_all(spark, data):
+    """One node and one graph of each name give the losses and gradients of all; twenty copies of the graphs add no rows to a step."""
+    edges, _, nodes, _ = data
+    copies = 20
+    x = spark.createDataFrame([(g + 10 * k, v, [1.0, float(sum(v in e for e in GRAPHS[g]))]) for k in range(copies) for g in GRAPHS for v in nodes[g]], "graph_id long, node long, x array<double>").cache()
+    many = spark.createDataFrame([(g + 10 * k, a, b) for k in range(copies) for g, es in GRAPHS.items() for a, b in es], "graph_id long, src long, dst long").cache()
+    rows = [(g + 10 * k, k % 2, float((g + k) % 3 == 0), [0.1 * (g % 2), 0.05]) for k in range(copies) for g in GRAPHS]
+    targets = spark.createDataFrame(rows, "graph_id long, fold int, y double, weight array<double>")
+    laid, kinds = M.alike(many, x, targets, 2)
+    # ends and middles of the path; a triangle; a hub and its leaves; an edge
+    assert laid.first.count() == laid.members.count() == 6 and laid.members.select("graph").distinct().count() == len(GRAPHS)
+    assert sum(r.n for r in kinds.collect()) == len(rows)
+    model = M.Convolutions(2, 3, 2)
+    model.theta = model.theta + 0.2 * np.random.default_rng(3).normal(size=model.theta.shape)
+    norm = M.normalised(many)
+    first = M.propagated(norm, x.withColumnRenamed("x", "s0"), "s0", 2)
+    for got, want in zip(M._loss_and_gradient(model, laid, kinds), M.loss_and_gradient(model, norm, first, targets), strict=True):
+        assert np.allclose(got, want)
