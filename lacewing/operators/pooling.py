@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,10 @@ from ..functions.lineage import cut
 from .graphs import adjacency, nodes_of
 
 
+#: Edges of a graph from which it is matched in rounds, over many tasks.
+LARGE = 100_000
+
+
 def edge_weight(level: int = 0) -> Column:
     """A score in (0, 1) that graph, level and edge determine; stands in for a trained one."""
     return md5_uniform(F.concat_ws("|", F.lit(level), F.col("graph_id"), "src", "dst"))
@@ -43,16 +50,43 @@ def linear(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
 def greedy_matching(scored: DataFrame, stochastic: bool = False, seed: int = 0) -> DataFrame:
     """graph_id, src, dst, s of a maximal matching that takes edges by descending score.
 
-    Each round takes every edge that beats all edges touching it (ties by src,
-    then dst) and drops what touches it: the same edges as one pass over each
-    graph in that order, in a few rounds over all graphs. ``stochastic`` first
-    skips an edge when a hash-drawn number exceeds its score.
+    Ties go by src, then dst. A graph of fewer than LARGE edges passes a task in
+    that order; the task remembers the nodes that the graph at hand has used.
+    Larger graphs are matched in rounds. ``stochastic`` first skips an edge when
+    a hash-drawn number exceeds its score.
     """
     left = scored.select("graph_id", "src", "dst", "s")
     if stochastic:
         left = left.filter(md5_uniform(F.concat_ws("|", F.lit(seed), "graph_id", "src", "dst")) <= F.col("s"))
     left = cut(left)
-    taken = None
+    large = cut(left.groupBy("graph_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LARGE).select("graph_id"))
+    if not large.limit(1).count():
+        return cut(_in_order(left))
+    return _in_order(left.join(large, "graph_id", "left_anti").select(*left.columns)).union(_in_rounds(left.join(large, "graph_id", "left_semi").select(*left.columns)))
+
+
+def _in_order(scored: DataFrame) -> DataFrame:
+    """The greedy matching, each graph in one task."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, used = None, set()
+        for b in batches:
+            own = []
+            for g, u, v in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if g != graph:
+                    graph, used = g, set()
+                free = u not in used and v not in used
+                if free:
+                    used.update((u, v))
+                own.append(free)
+            yield b.filter(pa.array(own, pa.bool_()))
+
+    return scored.repartition("graph_id").sortWithinPartitions("graph_id", -F.col("s"), "src", "dst").mapInArrow(take, scored.schema)
+
+
+def _in_rounds(scored: DataFrame) -> DataFrame:
+    """The same over many tasks: each round takes every edge that beats all edges touching it and drops what touches it."""
+    left, taken = cut(scored), None
     key = F.struct((-F.col("s")).alias("s"), "src", "dst")
     while left.limit(1).count():
         ends = left.select("graph_id", F.explode(F.array("src", "dst")).alias("v"), key.alias("k"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lacewing.operators import classification, graphs, subgraphs, vectors
+from lacewing.operators import classification, graphs, pooling, subgraphs, vectors
 from lacewing.sources import collections as src
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +35,21 @@ def test_labelled_patterns_are_labelled_once(spark):
     got = rows(subgraphs.by_labelled_pattern(labelled, made))
     assert got == rows(subgraphs.wl_histograms(subgraphs.wl_labels(ind, labels, 4), 32))
     assert seen == [labelled.select("local", "lab").distinct().count()] and seen[0] < len(got)
+
+
+def test_matching_takes_a_chain_in_one_pass(spark, monkeypatch):
+    """Scores fall along the chain, so that rounds would take an edge each; other graphs are random."""
+    rng = np.random.default_rng(7)
+    rows = [(0, f"v{i:03d}", f"v{i + 1:03d}", 1.0 - i / 400) for i in range(300)]
+    rows += [(g, f"v{a:02d}", f"v{b:02d}", float(rng.integers(1, 4))) for g in range(1, 9) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.4]
+    scored = spark.createDataFrame(rows, "graph_id long, src string, dst string, s double").repartition(3)
+    spark.sparkContext.setJobGroup("chain", "matching")
+    got = sorted(map(tuple, pooling.greedy_matching(scored).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert [r[1] for r in got if r[0] == 0] == [f"v{i:03d}" for i in range(0, 300, 2)] and jobs < 30
+    monkeypatch.setattr(pooling, "LARGE", 20)
+    few = scored.filter("graph_id > 0")
+    counts = {r.graph_id: r["count"] for r in few.groupBy("graph_id").count().collect()}
+    assert min(counts.values()) < 20 <= max(counts.values())
+    assert sorted(map(tuple, pooling.greedy_matching(few).collect())) == [r for r in got if r[0] > 0]
