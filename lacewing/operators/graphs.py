@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
+#: Later neighbours by degree order of some node from which a graph is peeled instead.
+LONG = 64
+
 
 def fenced(df: DataFrame) -> DataFrame:
     """``df`` behind a generator of one row, which filters aren't moved through: its other uses have the same plan, and Spark shuffles once for all."""
@@ -80,24 +83,39 @@ def peeled(edges: DataFrame) -> DataFrame:
     return nodes_of(edges).join(found, ["graph_id", "node"], "left").select("graph_id", "node", F.coalesce("round", F.lit(step)).alias("round"))
 
 
-def later_neighbours(edges: DataFrame) -> DataFrame:
-    """graph_id, a, later: a node's neighbours that are peeled later, as a list of bounded length."""
-    r = cut(peeled(edges))
+def _pointed(edges: DataFrame, rank: DataFrame) -> DataFrame:
+    """graph_id, a, later: a node's neighbours that come later by ``rank`` (graph_id, node and a number), ties by node."""
+    r = rank.toDF("graph_id", "node", "_r")
     both = edges.join(r.toDF("graph_id", "src", "_s"), ["graph_id", "src"]).join(r.toDF("graph_id", "dst", "_d"), ["graph_id", "dst"])
     up = F.struct("_s", "src") < F.struct("_d", "dst")
     pointed = both.select("graph_id", F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
     return pointed.groupBy("graph_id", "a").agg(F.collect_list("b").alias("later"))
 
 
+def later_neighbours(edges: DataFrame) -> DataFrame:
+    """graph_id, a, later: a node's neighbours that come later, as a list of bounded length.
+
+    Nodes go by degree, which takes no rounds; a graph in which that leaves some
+    node more than LONG is peeled, and its nodes go in that order.
+    """
+    edges = cut(edges.select("graph_id", "src", "dst"))
+    lists = cut(_pointed(edges, fenced(degrees(edges))))
+    long = cut(lists.filter(F.size("later") > LONG).select("graph_id").distinct())
+    if not long.limit(1).count():
+        return lists
+    rest = cut(edges.join(long, "graph_id", "left_semi").select("graph_id", "src", "dst"))
+    return lists.join(long, "graph_id", "left_anti").unionByName(_pointed(rest, cut(peeled(rest))))
+
+
 def cliques(edges: DataFrame, size: int) -> DataFrame:
     """graph_id, nodes (ascending): every clique of the size, once.
 
-    Nodes are taken in peeling order. A partial clique carries the nodes that
+    Nodes are taken in the order of ``later_neighbours``. A partial clique carries the nodes that
     are tied to all of it; one join a node cuts that list with the node's own.
     """
     if size == 2:
         return edges.select("graph_id", F.array("src", "dst").alias("nodes"))
-    lists = cut(later_neighbours(edges))
+    lists = later_neighbours(edges)
     step = lists.select("graph_id", F.col("a").alias("next"), F.col("later").alias("_l"))
     grown = lists.select("graph_id", F.array("a").alias("nodes"), F.col("later").alias("ties"))
     for k in range(2, size):

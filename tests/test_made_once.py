@@ -53,3 +53,14 @@ def test_matching_takes_a_chain_in_one_pass(spark, monkeypatch):
     counts = {r.graph_id: r["count"] for r in few.groupBy("graph_id").count().collect()}
     assert min(counts.values()) < 20 <= max(counts.values())
     assert sorted(map(tuple, pooling.greedy_matching(few).collect())) == [r for r in got if r[0] > 0]
+
+
+def test_graphs_of_short_lists_are_not_peeled(spark, monkeypatch):
+    edges = spark.createDataFrame([(g, a, b) for g in (1, 2) for a in range(12) for b in range(a + 1, 12) if (a * b + g) % 3], "graph_id long, src long, dst long")
+    count = lambda: sorted((r.graph_id, *r.nodes) for r in graphs.cliques(edges, 4).collect())
+    rounds, peeled = [], graphs.peeled
+    monkeypatch.setattr(graphs, "peeled", lambda e: rounds.append(1) or peeled(e))
+    want = count()
+    assert want and not rounds
+    monkeypatch.setattr(graphs, "LONG", 5)
+    assert count() == want and rounds
