@@ -536,6 +536,19 @@ def wwl_kernel(sets: DataFrame, lam: float = 1.0, within: tuple[str, ...] = ())
     return common.select(*keys, "i", "j", F.exp(-F.lit(lam) * (1 - F.col("_c") / n)).alias("kernel"))
 
 
+def wwl_class() -> Column:
+    """The name of a set's class, by ``rounds``: the MD5 of its nodes' labels in the last one."""
+    return F.md5(F.array_join(F.sort_array(F.element_at("rounds", -1)), ","))
+
+
+def class_kernel(named: DataFrame, lam: float = 1.0) -> DataFrame:
+    """i, j, n_i, n_j, kernel of the classes i <= j that share a label; ``named`` has each set's class i and rounds, and n, its number, or one row a set without."""
+    n = F.sum("n") if "n" in named.columns else F.count("*")
+    classes = cut(named.groupBy(F.col("i").alias("id")).agg(F.first("rounds").alias("rounds"), n.alias("n")))
+    n_i, n_j = classes.select(F.col("id").alias("i"), F.col("n").alias("n_i")), classes.select(F.col("id").alias("j"), F.col("n").alias("n_j"))
+    return wwl_kernel(classes.select("id", "rounds"), lam).join(n_i, "i").join(n_j, "j").select("i", "j", "n_i", "n_j", "kernel")
+
+
 def wwl_classes(labelled: DataFrame, lam: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """((graph_id, nodes, i), (i, j, n_i, n_j, kernel)): the class of each set, and the kernel of classes i <= j that share a label.
 
@@ -543,12 +556,8 @@ def wwl_classes(labelled: DataFrame, lam: float = 1.0) -> tuple[DataFrame, DataF
     any order, are of one class, since their kernels with any set are equal. A
     class is named by the MD5 of those labels; n_i and n_j are its sets.
     """
-    last = F.array_join(F.sort_array(F.element_at("rounds", -1)), ",")
-    keyed = cut(labelled.select("graph_id", "nodes", F.md5(last).alias("i"), "rounds"))
-    classes = cut(keyed.groupBy(F.col("i").alias("id")).agg(F.first("rounds").alias("rounds"), F.count("*").alias("n")))
-    n_i, n_j = classes.select(F.col("id").alias("i"), F.col("n").alias("n_i")), classes.select(F.col("id").alias("j"), F.col("n").alias("n_j"))
-    kernel = wwl_kernel(classes.select("id", "rounds"), lam).join(n_i, "i").join(n_j, "j")
-    return keyed.select("graph_id", "nodes", "i"), kernel.select("i", "j", "n_i", "n_j", "kernel")
+    keyed = cut(labelled.select("graph_id", "nodes", wwl_class().alias("i"), "rounds"))
+    return keyed.select("graph_id", "nodes", "i"), class_kernel(keyed, lam)
 
 
 def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, every: int = 1) -> DataFrame:

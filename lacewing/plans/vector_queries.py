@@ -182,10 +182,9 @@ def v1_nearest_view(spark, d):
     return vectors.nearest_rows(v, v, 20, 5).select("id", "other", "rank", F.round("dist", 5).alias("dist"))
 
 
-def _wwl(spark, d):
-    e = src.event_week(spark, d)
-    labelled = subgraphs.wl_labels(subgraphs.induced_subgraphs(e, 4), None, 4)
-    return vectors.wwl_classes(labelled)
+def _wwl(sets):
+    """Sets of four nodes with their class i and labels: induced edges alone decide them, so each pattern is labelled once."""
+    return subgraphs.by_pattern(sets, 4, lambda p: subgraphs.wl_labels(p, None, 4).withColumn("i", vectors.wwl_class()))
 
 
 # labels of the sets of four nodes after 0 to 4 rounds, and each set's class
@@ -195,7 +194,8 @@ _WWL = f"{sql.G2}, {sql.sym('g2')}, {sql.K3}, {sql.K4}, {sql.profile('k4')}, {sq
 @query(f"with {_WWL} select graph_id, array_to_string(nodes, ',') nodes, i from m")
 def g2_wwl_classes(spark, d):
     """The class of every four-node set: sets with equal labels after four rounds."""
-    return _wwl(spark, d)[0].withColumn("nodes", F.array_join("nodes", ","))
+    found = _wwl(subgraphs.induced_subgraphs(src.event_week(spark, d), 4))
+    return found.select("graph_id", F.array_join("nodes", ",").alias("nodes"), "i")
 
 
 @query(
@@ -206,7 +206,8 @@ def g2_wwl_classes(spark, d):
 )
 def g2_wwl_kernel(spark, d):
     """Kernel between classes of equal label sets that have a label in common."""
-    return _wwl(spark, d)[1].withColumn("kernel", F.round("kernel", 6))
+    counts = subgraphs.induced_subgraphs(src.event_week(spark, d), 4).groupBy("local").agg(F.count("*").alias("n"))  # a row a pattern
+    return vectors.class_kernel(_wwl(counts)).withColumn("kernel", F.round("kernel", 6))
 
 
 # -- result tables: runs are the lineitem rows of a part's ship mode, so to speak

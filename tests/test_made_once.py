@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lacewing.operators import classification, graphs, pooling, subgraphs, vectors
+from lacewing.plans import registry
 from lacewing.sources import collections as src
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,12 @@ def test_graphs_of_short_lists_are_not_peeled(spark, monkeypatch):
     assert want and not rounds
     monkeypatch.setattr(graphs, "LONG", 5)
     assert count() == want and rounds
+
+
+def test_classes_are_named_once_a_pattern(spark, monkeypatch):
+    """Labels are made for the 63 graphs on four places, not for the sets."""
+    sizes, made = [], subgraphs.wl_labels
+    monkeypatch.setattr(subgraphs, "wl_labels", lambda ind, *rest: sizes.append(ind.count()) or made(ind, *rest))
+    kernel = registry.QUERIES["g2_wwl_kernel"](spark, SF).collect()
+    counts = {r.i: r["count"] for r in registry.QUERIES["g2_wwl_classes"](spark, SF).groupBy("i").count().collect()}
+    assert sizes == [63, 63] and counts == {r.i: r.n_i for r in kernel}
