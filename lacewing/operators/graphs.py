@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from ..functions.lineage import cut
 
 #: Later neighbours by degree order of some node from which a graph is peeled instead.
 LONG = 64
+#: Nodes of a graph, and squared sizes of its groups in all, up to which it is counted in one pass.
+NODES, TIES = 1024, 1 << 16
 
 
 def fenced(df: DataFrame) -> DataFrame:
@@ -125,6 +130,101 @@ def cliques(edges: DataFrame, size: int) -> DataFrame:
     return grown.select("graph_id", "nodes", F.explode("ties").alias("next")).select("graph_id", F.array_sort(F.concat("nodes", F.array("next"))).alias("nodes"))
 
 
+def group_counts(groups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((graph_id, w, t, q), graph_ids of larger graphs, or None): wedges, triangles and cliques of four of graphs whose edges tie all nodes of a group.
+
+    ``groups`` has graph_id, group and node, with repeats; a null ties nothing.
+    Its rows are shuffled once and no edge is: a graph's arrive in order of
+    groups, and each node's neighbours are the bits of a number. Of a graph
+    beyond NODES or TIES nothing is kept but its graph_id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, group, larger, ties = None, None, False, 0
+        place: dict[int, int] = {}
+        near: list[int] = []
+        part: set[int] = set()
+        out: list[tuple] = []
+
+        def close() -> None:
+            """Ties the nodes of the group that ends."""
+            nonlocal larger, ties
+            ties += len(part) ** 2
+            larger = larger or len(part) > NODES or ties > TIES
+            if not larger and len(part) > 1:
+                for v in part:
+                    if v not in place:
+                        place[v] = len(near)
+                        near.append(0)
+                larger = len(near) > NODES
+                bits = 0
+                for v in part:
+                    bits |= 1 << place[v]
+                for v in part:
+                    near[place[v]] |= bits
+            if larger:
+                place.clear()
+                near.clear()
+            part.clear()
+
+        def finish() -> None:
+            close()
+            if larger:
+                out.append((graph, None, None, None))
+            elif near:
+                out.append((graph, *_counted(near)))
+            place.clear()
+            near.clear()
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["graph_id", "w", "t", "q"])
+            out.clear()
+            return batch
+
+        for b in batches:
+            for g, c, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if g != graph:
+                    if graph is not None:
+                        finish()
+                    graph, group, larger, ties = g, c, False, 0
+                elif c != group:
+                    close()
+                    group = c
+                if len(part) <= NODES:
+                    part.add(v)
+            if len(out) >= 10_000:
+                yield made()
+        if graph is not None:
+            finish()
+        if out:
+            yield made()
+
+    rows = groups.select("graph_id", "group", F.col("node").cast("long").alias("node")).dropna()
+    rows = rows.repartition("graph_id").sortWithinPartitions("graph_id", "group")
+    counts = cut(rows.mapInArrow(run, "graph_id long, w long, t long, q long"))
+    larger = counts.filter("w is null").select("graph_id")
+    return counts.filter("w is not null"), larger if larger.limit(1).count() else None
+
+
+def _counted(near: list[int]) -> tuple[int, int, int]:
+    """Wedges, triangles and cliques of four, from each node's neighbours as bits, its own among them or not."""
+    w = t = q = 0
+    for u, bits in enumerate(near):
+        d = (bits & ~(1 << u)).bit_count()
+        w += d * (d - 1) // 2
+        later = bits >> u + 1 << u + 1
+        while later:
+            low = later & -later
+            later ^= low
+            both = later & near[low.bit_length() - 1]
+            t += both.bit_count()
+            while both:
+                low = both & -both
+                both ^= low
+                q += (both & near[low.bit_length() - 1]).bit_count()
+    return w, t, q
+
+
 def line_graph(edges: DataFrame) -> DataFrame:
     """Edges between edges that share an endpoint; an edge is named 'src|dst'."""
     name = edges.select("graph_id", F.concat_ws("|", "src", "dst").alias("e"), F.explode(F.array("src", "dst")).alias("v"))

@@ -131,7 +131,11 @@ def certificate_counts_k3(edges: DataFrame) -> DataFrame:
     edges = fenced(edges)
     wedges = degrees(edges).groupBy("graph_id").agg(F.sum(F.col("deg") * (F.col("deg") - 1) / 2).cast("long").alias("w"))
     closed = triangles(edges).groupBy("graph_id").agg(F.count("*").alias("t"))
-    both = wedges.join(closed, "graph_id", "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    return certified(wedges.join(closed, "graph_id", "left").withColumn("t", F.coalesce("t", F.lit(0))))
+
+
+def certified(both: DataFrame) -> DataFrame:
+    """graph_id, cert, n of the sets of three, from each graph's wedges w and triangles t."""
     rows = both.select("graph_id", F.explode(F.array(F.struct(F.lit(PATH3).alias("cert"), (F.col("w") - 3 * F.col("t")).alias("n")), F.struct(F.lit(TRIANGLE).alias("cert"), F.col("t").alias("n")))).alias("x"))
     return rows.select("graph_id", "x.cert", F.col("x.n").cast("long").alias("n")).filter("n > 0")
 

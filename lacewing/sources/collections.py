@@ -31,6 +31,13 @@ def cust_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("graph_id", "src", "dst").distinct()
 
 
+def cust_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 as groups: graph_id, group, node. A supplier of one order is tied to all others of it."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_suppkey").alias("node"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("group"), F.col("o_custkey").cast("long").alias("graph_id"))
+    return items.join(orders, "group").select("graph_id", "group", "node")
+
+
 def cust_roles(spark: SparkSession, sf_dir: str, segment: str = "BUILDING") -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("graph_id"), F.when(F.col("c_mktsegment") == segment, "pos").otherwise("neg").alias("role"), F.col("c_mktsegment").alias("class"))
 
